@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, substring
+from quillspark.llm import mixing, neardup, substring
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return neardup.near_duplicates(docs, k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op8_substring_dedup": op8_substring_dedup}
+    return {"op1_mixing": op1_mixing, "op8_substring_dedup": op8_substring_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op8_substring_dedup": substring.SQL}
+    return {"op1_mixing": mixing.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL}
