@@ -1,3 +1,61 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""The corpus pipeline: documents to a mixed, deduplicated, tokenised corpus, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last one returns tokens. run() writes what a
+stage returns as Parquet in the shared folder and reads it for the next one.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, langid, mixing, neardup, substring
+from quillspark.llm.scratch import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; texts that are null or have no letter go."""
+    return langid.recognised(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return neardup.dedup(docs, k=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 13 words or more that a document with a smaller id has too."""
+    found = substring.dedup_passages(docs, window=13, layout=True)
+    found = found.withColumn("text", F.when(F.col("n_words") > 0, F.col("kept")).otherwise(F.lit("")))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the sources' budgets take, each as often as they take it."""
+    return mixing.mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the tokens of each text, and whether decoding gives the text again."""
+    found = bpe.tokenized(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
+#: Language identification is no SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
