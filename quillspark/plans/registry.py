@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import retrieval
+from quillspark.plans import catalog, retrieval, structure
 
-MODULES = (retrieval,)
+MODULES = (catalog, retrieval, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
