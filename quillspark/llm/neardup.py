@@ -5,8 +5,8 @@
    such rounds each bin that is left takes the least hash of a round of its own. So every coordinate fills, whatever the set's size.
 2. Texts with equal sets are one class, and go on as the smallest id among them.
 3. BANDS bands of ROWS coordinates are bucket keys. At a similarity of 0.85 a pair shares no bucket with a chance of 6e-11 (0.8: 5e-8).
-4. In each bucket one member is held against all others on full sets. Members that are then still in different components are
-   held against each other in further rounds, with more members at a time, until every pair of a bucket is either in one
+4. In each bucket about HUBS members (hubs) are held against all others on full sets. Members that are then still in different components are
+   held against each other in further rounds, with more hubs at a time, until every pair of a bucket is either in one
    component or has been compared. No bucket is capped, and pairs within a component are never listed.
 5. Components are found by passing least ids along the confirmed links.
 
@@ -30,6 +30,8 @@ from quillspark.llm.text import LOWER, SEQUENCE_BASE, binaries, content, mix, pi
 COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Partners of one member that are compared in one group; more are dealt to several groups.
 GROUP = 512
+#: Members of a bucket that are held against all others at once in the first round; 16 times as many in each further one.
+HUBS = 16
 #: Ids with roles that are broadcast to the scan of the texts (under 100 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _SEEDS = np.random.default_rng(7919).integers(0, 1 << 63, 2 * COORDINATES + BANDS + 2, dtype=np.uint64)
@@ -117,67 +119,87 @@ def to_sets(k: int):
     return run
 
 
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have percent / 100 of their union in common."""
+    if not len(one) or 100 * min(len(one), len(other)) < percent * max(len(one), len(other)):
+        return False
+    spot = np.searchsorted(other, one)
+    shared = int(np.count_nonzero(other[np.minimum(spot, len(other) - 1)] == one))
+    return 100 * shared >= percent * (len(one) + len(other) - shared)
+
+
 def compare(percent: int):
-    """Rows of (hub, chunk), the hub first, to confirmed links."""
+    """Rows of a (team, chunk), its hubs first, to confirmed links. Of the hubs that a row is similar to, those that are known to hang together give one link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hubs = None, []
+        at, hubs, ties = None, {}, {}
+
+        def root(x: int) -> int:
+            while ties.setdefault(x, x) != x:
+                ties[x] = x = ties[ties[x]]
+            return x
+
         for batch in batches:
             found = []
-            for hub, chunk, is_other, other, members in zip(*(batch.column(c) for c in ("hub", "chunk", "is_other", "id", "members"))):
-                one = np.frombuffer(members.as_buffer(), np.uint64)
-                hub = hub.as_py()
-                if at != (hub, chunk.as_py()):
-                    at, hubs = (hub, chunk.as_py()), []
-                if not is_other.as_py():
-                    hubs.append(one)
+            for team, chunk, against, id_, members in zip(*(batch.column(c) for c in ("team", "chunk", "hubs", "id", "members"))):
+                one, id_ = np.frombuffer(members.as_buffer(), np.uint64), id_.as_py()
+                if at != (team.as_py(), chunk.as_py()):
+                    at, hubs, ties = (team.as_py(), chunk.as_py()), {}, {}
+                if not against.is_valid:
+                    hubs.setdefault(id_, []).append(one)
                     continue
-                for theirs in hubs:
-                    if 100 * min(len(one), len(theirs)) < percent * max(len(one), len(theirs)) or not len(one):
-                        continue
-                    spot = np.searchsorted(theirs, one)
-                    shared = int(np.count_nonzero(theirs[np.minimum(spot, len(theirs) - 1)] == one))
-                    if 100 * shared >= percent * (len(one) + len(theirs) - shared):
-                        found.append((hub, other.as_py()))
-                        break
+                near = [h for h in against.as_py() if any(similar(one, s, percent) for s in hubs.get(h, ()))]
+                for i, h in enumerate(near):
+                    if i == 0 or root(h) != root(near[0]):
+                        found.append((id_, h))
+                        ties[root(h)] = root(near[0])
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (hub, other) whose full sets are similar enough, as links (a, b).
+def few(rows: DataFrame) -> DataFrame:
+    """rows to be broadcast if they are counted to be few; else Spark joins them by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    Each text is read once, turned into its set and sent to every group it has a role in. A hub with many partners has several groups.
+
+def confirmed(docs: DataFrame, against: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the ids of against (id, hubs) and those of their hubs whose full sets are similar enough.
+
+    Ids with the same least hub are a team; a team of many has several chunks. Each text is read once, and its set is sent once to its chunk, and to every chunk
+    that it is a hub in.
     """
-    pairs = written(pairs, "neardup-pairs")
-    many = pairs.groupBy("hub").count().filter(F.col("count") > GROUP)
-    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
-    groups = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / GROUP)
-    dealt = pairs.join(many, "hub", "left").select("hub", "other", F.pmod(F.xxhash64("other"), groups).alias("chunk"))
-    others = dealt.select(F.col("other").alias("id"), "hub", "chunk", F.lit(True).alias("is_other"))
-    hubs = dealt.select(F.col("hub").alias("id"), "hub", "chunk", F.lit(False).alias("is_other")).distinct()
-    roles = others.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("hub", "chunk", "is_other")).alias("roles"))
-    roles = written(roles, "neardup-roles")
-    roles = F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles
-    kind = "array<struct<hub:long,chunk:long,is_other:boolean>>"
+    against = written(against.withColumn("team", F.array_min("hubs")), "neardup-against")
+    many = few(against.groupBy("team").count().filter(F.col("count") > GROUP))
+    chunks = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / GROUP)
+    dealt = against.join(many, "team", "left").select("id", "team", F.pmod(F.xxhash64("id"), chunks).alias("chunk"), "hubs")
+    hubs = dealt.groupBy("team", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("all"))
+    hubs = hubs.select(F.explode("all").alias("id"), "team", "chunk", F.lit(None).cast("array<long>").alias("hubs"))
+    roles = dealt.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("team", "chunk", "hubs")).alias("roles"))
+    roles = few(written(roles, "neardup-roles"))
+    kind = "array<struct<team:long,chunk:long,hubs:array<long>>>"
     sets = docs.join(roles, "id").select("id", "roles", "text").mapInArrow(to_sets(k), f"id long, roles {kind}, members binary")
     each = sets.select("id", "members", F.explode("roles").alias("role")).select("role.*", "id", "members")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = each.repartition(parts, "hub", "chunk").sortWithinPartitions("hub", "chunk", "is_other")
-    return written(grouped.mapInArrow(compare(percent), "a long, b long").distinct(), "neardup-links")
+    grouped = each.repartition(parts, "team", "chunk").sortWithinPartitions("team", "chunk", F.col("hubs").isNotNull())
+    return written(grouped.mapInArrow(compare(percent), "a long, b long"), "neardup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and component, the least id that links (a, b) lead to, for every id in a link."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """id and component, the least id that links (a, b) lead to, for every id in a link.
+
+    Each turn an id takes the least component of its neighbours, and then the component which that one's own id has by now.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both, "components-links")
     labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component"))
     labels = written(labels, "components")
     while True:
-        theirs = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("least"))
-        lower = labels.join(theirs.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "least").alias("through"), F.col("component").alias("old"))
-        jump = labels.select(F.col("id").alias("through"), F.col("component").alias("further"))
-        lower = lower.join(jump, "through").select("id", F.least("through", "further").alias("component"), "old")
+        known = few(labels)
+        own = labels.select("id", F.col("component").alias("old"), "component")
+        heard = both.join(known.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.lit(None).cast("long").alias("old"), "component")
+        lower = own.unionByName(heard).groupBy("id").agg(F.max("old").alias("old"), F.min("component").alias("through"))
+        lower = lower.join(known.select(F.col("id").alias("through"), "component"), "through").select("id", "old", "component")
         lower = written(lower, "components")
         labels = lower.select("id", "component")
         if not lower.filter(F.col("component") != F.col("old")).limit(1).count():
@@ -188,35 +210,34 @@ def rounds(docs: DataFrame, classes: DataFrame, k: int, percent: int, more: Data
     """Components of the classes' ids, after every bucket has been settled. more: links known beforehand."""
     keys = classes.select("id", F.explode("bands").alias("key"))
     sign = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"sign{i}") for i in (1, 2)]
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n"), *sign).filter("n > 1")
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), *sign).filter("n > 1")
     # bands that hold the same members are one bucket
-    shared = written(shared.groupBy("hub", "n", "sign1", "sign2").agg(F.min("key").alias("key")).select("key", "hub"), "neardup-buckets")
-    members = written(keys.join(shared, "key").select("key", "id", "hub"), "neardup-members")
-    links = confirmed(docs, members.filter("id <> hub").select("hub", F.col("id").alias("other")).distinct(), k, percent)
-    links = links.unionByName(more)
-    state = members.select("key", "id", (F.col("id") == F.col("hub")).alias("tested"))
-    at_once = 1
+    shared = written(shared.groupBy("least", "n", "sign1", "sign2").agg(F.min("key").alias("key")).select("key", "least", "n"), "neardup-buckets")
+    members = keys.join(shared, "key")
+    drawn = F.pmod(F.xxhash64("id"), F.greatest(F.floor(F.col("n") / HUBS), F.lit(1))) == 0
+    state = written(members.select("key", "id", (drawn | (F.col("id") == F.col("least"))).alias("tested"), F.col("id").alias("component")), "neardup-state")
+    hubs = state.filter("tested").groupBy("key").agg(F.collect_list("id").alias("hubs"))
+    links, at_once = more, HUBS
     while True:
+        near = state.join(written(hubs, "neardup-hubs"), "key")
+        if at_once > HUBS:
+            near = near.select("id", F.transform(F.filter("hubs", lambda h: h["component"] != F.col("component")), lambda h: h["id"]).alias("hubs"))
+        near = near.groupBy("id").agg(F.array_remove(F.array_distinct(F.flatten(F.collect_list("hubs"))), F.col("id")).alias("hubs")).filter(F.size("hubs") > 0)
+        links = links.unionByName(confirmed(docs, near, k, percent))
         labels = components(links)
-        state = state.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        state = state.drop("component").join(few(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
         state = written(state, "neardup-state")
+        # of a bucket's untested members all must be held against the others, but for those of one component
         waiting = state.filter("not tested").groupBy("key", "component").agg(F.count("*").alias("n"))
-        # of the untested members all must be held against the others, but for those of one component
-        largest = waiting.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-        largest = written(largest.select("key", F.col("largest.component").alias("rest"), (F.col("all") - F.col("largest.n")).alias("left")), "neardup-open")
-        if not largest.limit(1).count():
+        open_ = waiting.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+        open_ = written(open_.select("key", F.col("largest.component").alias("rest"), (F.col("all") - F.col("largest.n")).alias("left")), "neardup-open")
+        if not open_.limit(1).count():
             return labels
-        few = state.filter("not tested").join(largest, "key").filter(F.col("component") != F.col("rest"))
-        one = few.groupBy("key").agg(F.min("id").alias("one"))
-        draw = F.pmod(F.xxhash64("id", F.lit(at_once)), F.greatest(F.col("left") / at_once, F.lit(1)).cast("long")) == 0
-        hubs = few.join(one, "key").filter(draw | (F.col("id") == F.col("one"))).select("key", F.col("id").alias("hub"), F.col("component").alias("theirs"))
-        hubs = written(hubs, "neardup-hubs")
-        against = state.filter("not tested").join(hubs, "key").filter((F.col("component") != F.col("theirs")))
-        pairs = against.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("other")).distinct()
-        links = links.unionByName(confirmed(docs, pairs, k, percent))
-        now = hubs.select("key", F.col("hub").alias("id"), F.lit(True).alias("now"))
-        state = state.join(now, ["key", "id"], "left").select("key", "id", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
-        at_once *= 8
+        at_once *= 16
+        state = state.filter("not tested").join(few(open_), "key")
+        drawn = F.pmod(F.xxhash64("id", F.lit(at_once)), F.greatest(F.floor(F.col("left") / at_once), F.lit(1))) == 0
+        state = written(state.select("key", "id", "component", ((F.col("component") != F.col("rest")) & drawn).alias("tested")), "neardup-state")
+        hubs = state.filter("tested").groupBy("key").agg(F.collect_list(F.struct("id", "component")).alias("hubs"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,8 +267,7 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, k, percent)
     found = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")), "neardup-kept")
     gone = found.filter("not kept and doc_id is not null").select("doc_id")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    stay = docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
     if not found.filter("n > 1 and doc_id is not null").limit(1).count():
         return stay
     least = stay.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
