@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import catalog, retrieval, structure
+from quillspark.plans import catalog, research, retrieval, structure, tables
 
-MODULES = (catalog, retrieval, structure)
+MODULES = (catalog, retrieval, structure, tables, research)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
