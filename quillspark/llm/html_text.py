@@ -79,7 +79,9 @@ class Lines(HTMLParser):
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS:
+        # the heading block of an article is part of it
+        furniture = is_furniture(tag, attrs) and not (tag == "header" and any(t in ("article", "main") for t, _, _ in self.open))
+        if tag in BLOCKS or furniture:
             self.cut()
         self.tags += 1
         if tag in VOID:
@@ -91,8 +93,6 @@ class Lines(HTMLParser):
         elif tag == "body":
             self.close_open("head", {"html"})
         self.count += 1
-        # the heading block of an article is part of it, unless it is more than headings
-        furniture = is_furniture(tag, attrs) and not (tag == "header" and any(t in ("article", "main") for t, _, _ in self.open))
         self.open.append((tag, self.count, furniture))
         self.hidden += furniture
         self.links += tag == "a"
@@ -114,6 +114,8 @@ class Lines(HTMLParser):
                 return
 
     def pop_to(self, at: int) -> None:
+        if any(furniture for _, _, furniture in self.open[at:]):
+            self.cut()
         for tag, _, furniture in self.open[at:]:
             self.hidden -= furniture
             self.links -= tag == "a"
@@ -159,8 +161,8 @@ def threshold(values: list[float]) -> float:
     at = sum(values) / len(values)
     for _ in range(50):
         low, high = [v for v in values if v < at], [v for v in values if v >= at]
-        if not low:
-            return at
+        if not low or not high:  # all are alike
+            return min(values)
         new = (sum(low) / len(low) + sum(high) / len(high)) / 2
         if abs(new - at) < 1e-9:
             break
