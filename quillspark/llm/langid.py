@@ -34,6 +34,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(token: str) -> list[str]:
+    if token.isalpha():
+        return [token]
     return [w for w in _LETTERS.findall(token) if any(map(str.isalpha, w))]
 
 
@@ -45,31 +47,34 @@ def grams(word: str, n: int) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length; the first is empty
+    words: dict[str, tuple[float, ...]]
+    grams: list[dict[str, tuple[float, ...]]]  # by length; the first is empty
 
-    def score(self, token: str) -> np.ndarray | None:
+    def score(self, token: str) -> list[float] | tuple[float, ...] | None:
         """The sum over the words of a space-separated string; None if it has no letter."""
         words = letter_words(token)
-        if not words:
-            return None
-        return sum(self.words[w] if w in self.words else self.back_off(w) for w in words)
-
-    def back_off(self, word: str) -> np.ndarray:
-        for n in range(LONGEST, 0, -1):
-            known = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
+        if len(words) == 1:
+            return self.words.get(words[0]) or self.back_off(words[0])
+        each = [self.words.get(w) or self.back_off(w) for w in words]
+        return [sum(scores) for scores in zip(*each)] if each else None
+
+    def back_off(self, word: str) -> list[float]:
+        marked = f"<{word}>"
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            find = self.grams[n].get
+            known = [found for i in range(len(marked) - n + 1) if (found := find(marked[i : i + n])) is not None]
             if known:
-                return np.mean(known, 0)
-        return np.zeros(len(self.languages))
+                return [sum(scores) / len(known) for scores in zip(*known)]
+        return [0.0] * len(self.languages)
 
 
-def log_frequencies(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, np.ndarray]:
+def log_frequencies(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, tuple[float, ...]]:
     """For each unit its smoothed log frequency in each language, less the mean over languages."""
     total = {lang: sum(c.get(lang, 0) for c in counts.values()) + 0.5 * len(counts) for lang in languages}
     found = {}
     for unit, c in counts.items():
-        logs = np.array([log((c.get(lang, 0) + 0.5) / total[lang]) for lang in languages])
-        found[unit] = logs - logs.mean()
+        logs = [log((c.get(lang, 0) + 0.5) / total[lang]) for lang in languages]
+        found[unit] = tuple(x - sum(logs) / len(logs) for x in logs)
     return found
 
 

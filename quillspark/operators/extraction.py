@@ -76,3 +76,18 @@ def keyword_rows(pages: DataFrame, by: list[str], keywords: str = "keywords", pa
     """A row per distinct keyword of a page, trimmed, in the order in which they stand; what stands again is left out."""
     tidy = F.array_distinct(F.filter(F.transform(keywords, lambda k: stripped(k)), lambda k: k != ""))
     return pages.select(*by, page, F.posexplode(tidy).alias("at", "keyword")).withColumn("at", (F.col("at") + 1).cast("long"))
+
+
+def bullet_metrics(docs: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Pairs from bullets: `- Label: value`, and a bullet with a value alone below a bullet with a label. by..., line_number, label, value."""
+    lines = docs.select(*by, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).filter(F.col("line").rlike(r"^\s*[-*•]\s+\S"))
+    body = stripped(F.regexp_replace("line", r"^\s*[-*•]\s+", ""))
+    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
+    parent = F.last(F.when(indent == 0, body), ignorenulls=True).over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    pair = rf"(?i)^(.{{2,80}}?)\s*[:=]\s*\**({VALUE})\**$"
+    own = body.rlike(pair)
+    alone = (indent > 0) & body.rlike(rf"(?i)^\**{VALUE}\**$")
+    label = F.when(own, F.regexp_extract(body, pair, 1)).when(alone, parent)
+    value = F.when(own, F.regexp_extract(body, pair, 2)).when(alone, F.regexp_replace(body, r"\*", ""))
+    found = lines.select(*by, (F.col("at") + 1).cast("long").alias("line_number"), metric_label(label).alias("label"), stripped(value).alias("value"))
+    return found.filter(F.col("label").isNotNull() & F.col("value").isNotNull()).filter(usable(F.col("label"), F.col("value")))

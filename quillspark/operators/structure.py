@@ -96,3 +96,32 @@ def degradation_signals(documents: DataFrame) -> Column:
         (F.col("fallback_share") > 0.5, "fallback_sections"),
     )
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
+
+
+def sheet_sections(sheets: DataFrame, by: list[str], page: str = "page", title: str = "title", tables: str = "dense_tables") -> DataFrame:
+    """A section per sheet and in it a subsection per dense table (0 and no title for a sheet without): by..., section, title, subsection, subsection_title."""
+    section = F.row_number().over(Window.partitionBy(*by).orderBy(page)).cast("long")
+    each = sheets.withColumn("section", section).select(*by, page, "section", title, F.posexplode_outer(tables).alias("at", "subsection_title"))
+    return each.select(*by, page, "section", title, F.coalesce(F.col("at") + 1, F.lit(0)).cast("long").alias("subsection"), F.coalesce("subsection_title", F.lit("")).alias("subsection_title"))
+
+
+def structure_type(filetype: Column, proposed: Column, confidence: Column, sections: Column) -> Column:
+    """type and confidence: slides and sheets by file type; else what is proposed (semantic, low by default), promoted to sections where there are two or more."""
+    kind = F.when(proposed.isin("sections", "chapters", "topic_based", "semantic"), proposed).otherwise("semantic")
+    sure = F.coalesce(confidence, F.lit("low"))
+    promoted = kind.isin("semantic", "topic_based") & (sections >= 2)
+    own = F.when(filetype == "pptx", "slides").when(filetype == "xlsx", "sheets")
+    return F.struct(
+        F.coalesce(own, F.when(promoted, "sections").otherwise(kind)).alias("structure_type"),
+        F.when(own.isNotNull(), "high").when(promoted & (sure == "low"), "medium").otherwise(sure).alias("structure_confidence"),
+    )
+
+
+def split_at_breakpoints(docs: DataFrame, text: str, breakpoints: str) -> DataFrame:
+    """A text cut before the lines whose numbers (from 1 on) are breakpoints: part, content."""
+    kept = [c for c in docs.columns if c not in (text, breakpoints)]
+    lines = docs.select(*kept, breakpoints, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    starts = (F.coalesce(F.array_contains(breakpoints, F.col("at") + 1), F.lit(False)) & (F.col("at") > 0)).cast("int")
+    part = F.sum(starts).over(Window.partitionBy(*kept).orderBy("at")).cast("long")
+    grouped = lines.withColumn("part", part).groupBy(*kept, "part").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    return grouped.select(*kept, "part", F.array_join("lines.line", "\n").alias("content"))

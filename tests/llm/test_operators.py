@@ -305,7 +305,7 @@ def test_toxicity(spark, docs, none):
     model = toxicity.fit(df, known)
     assert "dimwit" in model.lexicon.words and "krool" in " ".join(model.lexicon.stems)
     matcher = toxicity.Matcher(model.lexicon)
-    assert [matcher.add(w) for w in ("numbskull", "numbskul,", "nunbskull", "\"dimwit\"", "hello", "", "d1mwit", "kroolish")] == [1, 2, 2, 1, 0, 0, 2, 1]
+    assert [np.sign(matcher.add(w)) for w in ("numbskull", "numbskul,", "nunbskull", "\"dimwit\"", "hello", "", "d1mwit", "kroolish")] == [1, -1, -1, 1, 0, 0, -1, 1]
     plain, quoted = matcher.features("you are a dimwit and that is all"), matcher.features('he said "what a dimwit" and left')
     assert plain[0] > quoted[0] and quoted[2] > 0
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 100_000 + "dimwit vermin dimwit")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
@@ -327,7 +327,7 @@ def edit_distance(a, b):
 
 def test_automaton_against_edit_distances():
     terms, stems = ["scum", "idiot", "moron", "worthless", "disgusting"], ["lostra", "veju"]
-    automaton = toxicity.Automaton(toxicity.Lexicon(terms, stems))
+    automaton = toxicity.Automaton(toxicity.Lexicon(dict.fromkeys(terms, 1.0), dict.fromkeys(stems, 1.0)))
     rng = random.Random(10)
     for _ in range(3000):
         word = list(rng.choice(terms + stems) + rng.choice(["", "", "x", "ing"]))
