@@ -34,7 +34,7 @@ from quillspark.llm.text import pieces as slices
 # The splitting pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches of text whose tokens a worker remembers; beyond, it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 NEVER = 1 << 40
 #: Bytes that the transducer takes in at once.
 PORTION = 4096

@@ -29,7 +29,7 @@ from quillspark.llm.text import pieces
 
 SAMPLE, WORDS, GRAMS, LONGEST = 6_000, 60_000, 120_000, 5
 #: Space-separated strings whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
