@@ -17,11 +17,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashes of 32 bits in a fingerprint, and code points of a symbol at most.
 SIZE, SYMBOL = 128, 24
+#: Ranges of ids for each partition; many small ones spread evenly.
+FINER = 8
+INFINITY = float("inf")
 
 
 def symbols(text: str) -> list[str]:
@@ -77,25 +81,23 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = [i / parts for i in range(1, parts)]
-    edges = docs.agg(F.percentile_approx("id", marks, 10_000)).first()[0] if marks else None
-    edges = sorted(set(edges or []))
-    # a null id comes before all others
-    part = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(F.lit(edges).cast("array<long>"), lambda e: e <= F.col("id")))).cast("int")
-    rows = docs.withColumn("part", part).withColumn("past", F.lit(False))
+    marks = [i / (FINER * parts) for i in range(1, FINER * parts)]
+    edges = docs.agg(F.percentile_approx("id", marks, max(10_000, len(marks)))).first()[0]
+    edges = sorted({float(e) for e in edges or []})
+    # as doubles ids keep their order, so equal ones share a part; a null id comes before all others
+    place = F.coalesce(F.col("id").cast("double"), F.lit(-INFINITY))
+    rows = Bucketizer(splits=[-INFINITY, *(edges or [0.0]), INFINITY], inputCol="place", outputCol="range").transform(docs.withColumn("place", place))
+    rows = rows.select(F.col("range").cast("int").alias("part"), F.lit(False).alias("past"), "id", "text")
     heads = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("named"), "id")).alias("head")).orderBy("part").collect()  # one row a part
     if not heads:
-        return rows.select("part", "past", "id", "text")
-    before = {h.part: heads[i - 1].part for i, h in enumerate(heads)}
-    ids = [h.head.id for h in heads]
-    named = F.col("id").isin([i for i in ids if i is not None])
-    copies = rows.filter(named | F.col("id").isNull() if None in ids else named)
+        return rows
+    # a row for each part, so its broadcast is bounded by the number of parts
+    firsts = spark.createDataFrame([(h.part, h.head.id, heads[i - 1].part) for i, h in enumerate(heads)], "head_part int, head long, before int")
+    copies = rows.join(F.broadcast(firsts), (F.col("part") == F.col("head_part")) & F.col("id").eqNullSafe(F.col("head")))
     # of rows that share the id, the first is the one with the least text, null before all
-    copies = copies.groupBy("part", "id").agg(F.min("text").alias("text"), F.count_if(F.col("text").isNull()).alias("nulls"))
-    previous = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("part")]
-    copies = copies.select(previous.alias("part"), F.lit(True).alias("past"), "id", F.when(F.col("nulls") == 0, F.col("text")).alias("text"))
-    both = rows.select("part", "past", "id", "text").unionByName(copies)
-    return both.repartition(parts, "part").sortWithinPartitions("part", "past", "id", "text")
+    copies = copies.groupBy("before", "id").agg(F.min("text").alias("text"), F.count_if(F.col("text").isNull()).alias("nulls"))
+    copies = copies.select(F.col("before").alias("part"), F.lit(True).alias("past"), "id", F.when(F.col("nulls") == 0, F.col("text")).alias("text"))
+    return rows.unionByName(copies).repartition(parts, "part").sortWithinPartitions("part", "past", "id", "text")
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
