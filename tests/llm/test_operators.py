@@ -372,3 +372,13 @@ def test_conversations(spark):
     found = {r.conv_id: r for r in chat.chat_report(df).collect()}
     assert set(found) == {1, 4} and found[1].n_turns == 6
     assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_automaton_forgets(monkeypatch):
+    lexicon = toxicity.Lexicon({"nasty": 1.0, "horrible": 1.0}, {"scum": 0.5})
+    words = ["nasty", "nasti", "horible", "horrrible", "scummy", "scam", "kind", "", "naste", "nasty"]
+    want = [toxicity.Automaton(lexicon).edits(w) for w in words]
+    monkeypatch.setattr(toxicity, "KEPT_STATES", 1)
+    automaton = toxicity.Automaton(lexicon)
+    assert [automaton.edits(w) for w in words] == want
+    assert len(automaton.states) < 50
