@@ -4,7 +4,8 @@ The rows are dealt to blocks of about BLOCK rows. A block is an index of its own
 largest and smallest value, which bound what the term can add to any score. Every block meets all queries, in portions that stream by.
 For each query its terms are ordered by bound. Terms whose bounds together stay below the current k-th score are not essential: a row that
 has none of the others can't enter the result. The essential terms' postings are traversed and added up; then the other terms are probed in
-order of their bounds, only for rows that can still reach the k-th score. Each block gives its k best rows for a query, and those are merged.
+order of their bounds, only for rows that can still reach the k-th score, which partial sums raise by no more than is sure: terms still to come can
+lower them. Each block gives its k best rows for a query, and those are merged.
 
 Defined results: a component x counts as floor(scale * x), limited to +-2^62, and vectors may have different lengths (missing components are 0);
 vectors that are null, or hold null or non-finite components, take no part. A row isn't compared with itself, but rows that share an id are
@@ -95,14 +96,14 @@ class Index:
         """Rows and scores of the k best rows, ties by id; own: the query's own row, or -1."""
         width = min(len(query), len(self.postings))
         q = query[:width].astype(object)
-        bound = np.maximum(q * self.high[:width].astype(object), q * self.low[:width].astype(object)) if width else np.zeros(0, object)
+        ends = [q * x[:width].astype(object) for x in (self.high, self.low)] if width else [np.zeros(0, object)] * 2
         total = sum(abs(int(x)) * max(abs(int(h)), abs(int(lo))) for x, h, lo in zip(q, self.high, self.low))
         kind = np.float32 if total < 1 << 24 else np.float64 if total < 1 << 53 else object
         postings, q = self.columns(kind)[:width], q.astype(kind)
-        bound = np.maximum(bound, 0).astype(kind)  # a row without the term adds nothing
+        bound, loss = np.maximum(np.maximum(*ends), 0).astype(kind), np.minimum(np.minimum(*ends), 0).astype(kind)  # a row without the term adds nothing
         order = np.argsort(-bound, kind="stable")
         order = order[q[order] != 0]
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the terms from here on can add
+        rest, lost = (np.append(np.cumsum(x[order][::-1])[::-1], 0) for x in (bound, loss))  # the most and the least that the terms from here on can add
         n = len(self.ids)
         rows = np.arange(n)
         if own >= 0:
@@ -119,7 +120,8 @@ class Index:
             rows, sums = rows[stay], sums[stay]
             probed = order[at : at + PROBED]
             sums = sums + q[probed] @ postings[np.ix_(probed, rows)]
-            least = max(least, self.kth(sums, k) or least)
+            kth = self.kth(sums, k)
+            least = least if kth is None else max(least, kth + lost[min(at + PROBED, len(order))])
         if len(rows) > k:
             edge = np.partition(sums, len(sums) - k)[len(sums) - k]
             rows, sums = rows[sums >= edge], sums[sums >= edge]

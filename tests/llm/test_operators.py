@@ -178,6 +178,21 @@ def test_top_k_in_sparse_blocks(spark, monkeypatch):
         assert [(-int(s), int(r)) for r, s in zip(rows, scores)] == want
 
 
+def test_top_k_with_terms_that_lower_scores():
+    a, b, c = [10, *[0] * 8, -10], [9, *[0] * 8, 0], [0, *[1] * 8, 0]
+    index = topk.Index(np.array([a] * 20 + [b] * 20 + [c]), np.arange(41))
+    rows, scores = index.best(np.array([10, *[1] * 8, 5]), 20, -1)
+    assert list(rows) == list(range(20, 40)) and set(scores) == {90}
+    rng = np.random.default_rng(4)
+    for n in range(60):
+        sign = np.where(rng.random(40) < 0.4, -1, 1)
+        matrix = (rng.random((300, 40)) < rng.choice([0.1, 0.5])) * rng.integers(1, 60, (300, 40)) * sign * np.where(np.arange(40) < 3, 20, 1) * (1 << 50 if n % 5 == 0 else 1)
+        query = rng.integers(0, 30, 40) * (np.arange(40) < 3) * 20 + rng.integers(0, 4, 40)
+        rows, scores = topk.Index(matrix, np.arange(300)).best(query, 10, -1)
+        want = sorted((-int(x), i) for i, x in enumerate(matrix.astype(object) @ query.astype(object)))[:10]
+        assert [(-int(s), int(r)) for r, s in zip(rows, scores)] == want
+
+
 PAGES = {
     "": "",
     "<p>": "",
