@@ -190,7 +190,11 @@ class Matcher:
             else:
                 meant += weights[-1]
                 fuzzy += weights[-1] * (kinds[i] < 0)
-        dense = max(sum(w for j, w in zip(at, weights) if i <= j <= i + WINDOW) for i in at[:200])
+        dense, end = 0.0, 0
+        for start, i in enumerate(at):
+            while end < len(at) and at[end] <= i + WINDOW:
+                end += 1
+            dense = max(dense, sum(weights[start:end]))  # of WINDOW + 1 hits at most
         return [log(1 + meant), log(1 + fuzzy), log(1 + quoted), log(1 + dense), log(1 + 100 * meant / len(tokens)), max(weights)]
 
     @staticmethod

@@ -330,6 +330,16 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.toxicity_report(docs, known.limit(0)).collect()} == {0.0}
 
 
+def test_a_dense_passage_counts_wherever_it_stands():
+    matcher = toxicity.Matcher(toxicity.Lexicon({"dimwit": 1.0}, {}))
+    gap, scattered, passage = "plain " * 20, ("dimwit " + "plain " * 20) * 250, "dimwit " * 8
+    first, last = matcher.features(passage + gap + scattered), matcher.features(scattered + gap + passage)
+    assert first == last and first[3] == np.log(1 + 8)
+    mixed = "".join(random.Random(2).choices(["dimwit ", "plain "], [1, 3], k=3000)).split()
+    at = [i for i, w in enumerate(mixed) if w == "dimwit"]
+    assert matcher.features(" ".join(mixed))[3] == np.log(1 + max(sum(i <= j <= i + toxicity.WINDOW for j in at) for i in at))
+
+
 def edit_distance(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
