@@ -3,10 +3,12 @@
 The standard library's parser reads a page in portions and its events are cut into lines: the text between two block-level tags. Every line has
 its text, the number of tags in it, how much of it is linked, and the elements around it. Text-to-tag ratios of the lines that are not inside page furniture
 are smoothed with a Gaussian and divided into two clusters by a threshold; the upper cluster is content. The region around it is then kept as
-a whole: the article or main element that has content lines, or else the innermost element that holds most of the content. So short lines
-of an article stay, and nothing is capped.
+a whole: the article or main elements that have content lines, or else the innermost element that holds most of the content, and for content outside it
+the elements found in the same way there, until no content line is left out. So short lines of an article stay, and nothing is capped. Lines that are
+mostly links are left out of a page without such elements, unless they are headings or paragraphs.
 
-Furniture are elements that are so by name, by role or by a word of their class or id, and elements that are hidden.
+Furniture are elements that are so by name, by role or by a word of their class or id, and elements that are hidden. Headings and paragraphs are not
+furniture by their class or id, and in an article or main element the word header makes none.
 
 Defined results: a null or empty page has the empty text; a page without main text too; unclosed and stray tags are tolerated; text after an
 unclosed script is script. Other columns are carried along by `extracted`.
@@ -31,6 +33,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 FURNITURE = set("head script style noscript template nav header footer aside form button select textarea option svg canvas iframe object video audio dialog menu".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 MARKS = set("ad ads adbox adslot adunit advert adverts advertisement advertising alert banner billboard breadcrumb breadcrumbs byline captcha comment comments commentlist commentary consent cookie cookies copyright dialog disclaimer disqus footer gdpr header login masthead menu metadata modal nav navbar navigation navi newsletter notice notification overlay pager pagination popup promo promoted promotion recommended recommendations related reply replies respond responses search share sharing shares sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription tagcloud tags teaser toc toolbar tracking widget widgets".split())
+#: Elements whose class or id says nothing of their use, and whose text stays though it's linked.
+PROSE = set("h1 h2 h3 h4 h5 h6 p".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PORTION = 1 << 16
@@ -39,13 +43,13 @@ SIGMA, SHARE, LINKED = 1.5, 0.8, 0.5
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "furniture", "around")
+    __slots__ = ("text", "tags", "linked", "furniture", "around", "prose")
 
-    def __init__(self, text: str, tags: int, linked: int, furniture: bool, around: tuple[int, ...]) -> None:
-        self.text, self.tags, self.linked, self.furniture, self.around = text, tags, linked, furniture, around
+    def __init__(self, text: str, tags: int, linked: int, furniture: bool, around: tuple[int, ...], prose: bool) -> None:
+        self.text, self.tags, self.linked, self.furniture, self.around, self.prose = text, tags, linked, furniture, around, prose
 
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def is_furniture(tag: str, attrs: list[tuple[str, str | None]], marks: set[str] = MARKS) -> bool:
     if tag in FURNITURE:
         return True
     for name, value in attrs:
@@ -54,7 +58,7 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in MARKS for w in _WORDS.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and tag not in PROSE and any(w.lower() in marks for w in _WORDS.findall(value)):
             return True
         if name in ("class", "id") and tag == "article" and {"comment", "comments", "reply", "ad", "promo", "teaser", "related"} & {w.lower() for w in _WORDS.findall(value)}:
             return True
@@ -75,12 +79,14 @@ class Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.hidden > 0, tuple(n for _, n, _ in self.open)))
+            self.lines.append(Line(text, self.tags, self.linked, self.hidden > 0, tuple(n for _, n, _ in self.open), any(t in PROSE for t, _, _ in self.open)))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # the heading block of an article is part of it
-        furniture = is_furniture(tag, attrs) and not (tag == "header" and any(t in ("article", "main") for t, _, _ in self.open))
+        furniture = is_furniture(tag, attrs)
+        if furniture and any(t in ("article", "main") for t, _, _ in self.open):
+            furniture = tag != "header" and is_furniture(tag, attrs, MARKS - {"header"})
         if tag in BLOCKS or furniture:
             self.cut()
         self.tags += 1
@@ -188,14 +194,39 @@ def main_text(html: str | None) -> str:
         inside = {n for line in lines if line.linked <= LINKED * len(line.text) for n in line.around if n in main}
     if inside:
         return " ".join(line.text for line in lines if inside & set(line.around))
-    held: dict[int, int] = {}
-    for line in content:
-        for n in line.around:
-            held[n] = held.get(n, 0) + len(line.text)
-    total = sum(len(line.text) for line in content)
-    region = max((n for n, size in held.items() if size >= SHARE * total), default=0)
-    kept = [line for line in lines if not region or region in line.around]
-    return " ".join(line.text for line in kept if line.linked <= LINKED * len(line.text))
+    regions, alone = regions_of(content)
+    kept = [line for line in lines if not regions or regions & set(line.around) or id(line) in alone]
+    return " ".join(line.text for line in kept if line.prose or line.linked <= LINKED * len(line.text))
+
+
+def regions_of(content: list[Line]) -> tuple[set[int], set[int]]:
+    """Elements that hold the content lines, and the lines (by id()) beside those elements; no element if none holds most of the content."""
+    regions: set[int] = set()
+    alone: set[int] = set()
+    groups = [(content, 0)]  # lines, and how many of the elements around them hold a region already
+    while groups:
+        group, depth = groups.pop()
+        held: dict[int, int] = {}
+        for line in group:
+            for n in line.around[depth:]:
+                held[n] = held.get(n, 0) + len(line.text)
+        total = sum(len(line.text) for line in group)
+        region = max((n for n, size in held.items() if size >= SHARE * total), default=0)
+        if not region:
+            return set(), set()
+        regions.add(region)
+        path = next(line.around for line in group if region in line.around)
+        path = path[: path.index(region)]
+        left: dict[tuple[int, int], list[Line]] = {}
+        for line in group:
+            if region not in line.around:
+                shared = next((i for i, (x, y) in enumerate(zip(path, line.around)) if x != y), min(len(path), len(line.around)))
+                if shared == len(line.around):
+                    alone.add(id(line))
+                else:
+                    left.setdefault((shared, line.around[shared]), []).append(line)
+        groups += [(lines, at) for (at, _), lines in left.items()]
+    return regions, alone
 
 
 def extracted(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:

@@ -220,6 +220,17 @@ def test_html_without_an_article():
     assert len(html_text.main_text("<article>" + "<p>x y</p>" * 50_000 + "</article>")) == 4 * 50_000 - 1
 
 
+def test_html_keeps_all_content_of_a_page():
+    story = [f"<p>{i} {'a sentence of the story that goes on for a while ' * 4}</p>" for i in range(20)]
+    numbers = lambda page: [int(w) for w in html_text.main_text(page).split() if w.isdigit()]
+    assert numbers(f"<body><div>{''.join(story[:17])}</div><div>{''.join(story[17:])}</div></body>") == list(range(20))
+    assert numbers(f"<body><div>{''.join(story[:17])}</div><div><div>{story[17]}</div><div>{story[18]}</div></div>{story[19]}</body>") == list(range(20))
+    linked = f"<p>100 <a href=x>{'words of a link ' * 9}</a></p>"
+    assert numbers(f"<body><div>{''.join(story[:9])}{linked}{''.join(story[9:])}</div></body>") == [*range(9), 100, *range(9, 20)]
+    text = html_text.main_text(f"<article><section class='post-header'><h1>Name</h1></section>{''.join(story)}<h2 id='related-work'>Works</h2><p class='toc'>End</p></article>")
+    assert text.startswith("Name 0 a") and text.endswith("Works End")
+
+
 def test_language(spark, docs, none):
     words = {"en": "the of and this that with people house".split(), "fr": "le la les des une maison avec être".split(), "de": "der die das und nicht eine haus schön".split()}
     rng = random.Random(4)
