@@ -11,7 +11,7 @@ tells. A border that the paths from all these positions share is stable: the tok
 same however long a piece is. The decoder keeps the bytes of a code point that has begun, and nothing else.
 
 Defined results: null and empty texts have no tokens; strings of the file's added tokens in a text are those tokens. Every other
-column is carried along.
+column is carried along, but for those with the name of an added one, which that replaces.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.text import pieces as slices
 
 # The splitting pattern of the byte-level tokenizer.
@@ -387,10 +388,9 @@ def tokenized(docs: DataFrame, tokenizer: str | Path, text: str = "text", carry:
     """
     carry = docs.columns if carry is None else carry
     raw = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    kept = [names[docs.columns.index(c)] for c in carry]
+    plain, names = numbered(docs)
     at = names[docs.columns.index(text)]
+    kept = [names[docs.columns.index(c)] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(raw.value)
@@ -404,7 +404,7 @@ def tokenized(docs: DataFrame, tokenizer: str | Path, text: str = "text", carry:
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), ids, back], names=[*kept, "ids", "decoded"])
 
     schema = plain.select(kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return plain.mapInArrow(run, schema).toDF(*carry, "ids", "decoded")
+    return renamed(in_batches(plain, run, schema), carry, 2)
 
 
 def token_report(docs: DataFrame, tokenizer: str | Path) -> DataFrame:

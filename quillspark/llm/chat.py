@@ -7,7 +7,7 @@ rendered in one canonical form. The tables of the model are counts from labelled
 prior that trusts the markers is used.
 
 Defined results: a null or empty transcript has no turns and the empty rendering; blank lines belong to the turn they stand in, and
-are dropped at its ends. Other columns are carried along.
+are dropped at its ends. Other columns are carried along, but for those with the name of an added one, which that replaces.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.text import pieces
 
 ROLES = ["system", "user", "assistant"]
@@ -160,7 +161,7 @@ def count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> Model:
     """A model from (transcript, states): one state for each line. The counts have as many rows as the model has entries."""
-    counts = labelled.select("transcript", "states").mapInArrow(count_tables, "what string, state int, value int, n long")
+    counts = in_batches(labelled.select("transcript", "states"), count_tables, "what string, state int, value int, n long")
     rows = counts.groupBy("what", "state", "value").agg(F.sum("n").alias("n")).collect()
     return tables({(r.what, r.state, r.value): r.n for r in rows})
 
@@ -169,8 +170,9 @@ def parsed(transcripts: DataFrame, model: Model, text: str = "transcript") -> Da
     """transcripts with turns (role, text) and rendered, in place of the transcript."""
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
     carry = [c for c in transcripts.columns if c != text]
-    names = [f"c{i}" for i in range(len(carry))]
-    plain = transcripts.select(*carry, text).toDF(*names, "transcript")
+    plain, names = numbered(transcripts)
+    at = names.pop(transcripts.columns.index(text))
+    plain = plain.withColumnRenamed(at, "transcript")
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def parsed(transcripts: DataFrame, model: Model, text: str = "transcript") -> Da
                 yield pa.RecordBatch.from_arrays([*map(part.column, names), rows, pa.array(map(render, found), pa.string())], names=[*names, "turns", "rendered"])
 
     schema = plain.select(names).schema.add("turns", T.ArrayType(T.StructType().add("role", "string").add("text", "string"))).add("rendered", "string")
-    return plain.mapInArrow(run, schema).toDF(*carry, "turns", "rendered")
+    return renamed(in_batches(plain, run, schema), carry, 2)
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:

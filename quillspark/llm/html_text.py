@@ -11,7 +11,7 @@ Furniture are elements that are so by name, by role or by a word of their class
 furniture by their class or id, and in an article or main element the word header makes none.
 
 Defined results: a null or empty page has the empty text; a page without main text too; unclosed and stray tags are tolerated; text after an
-unclosed script is script. Other columns are carried along by `extracted`.
+unclosed script is script. Other columns are carried along by `extracted`, but for a text, which the new one replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.text import pieces
 
 # Names of HTML elements, and words that mark furniture in roles, classes and ids.
@@ -232,9 +233,8 @@ def regions_of(content: list[Line]) -> tuple[set[int], set[int]]:
 def extracted(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """pages with text; carry: the columns to keep, if not all."""
     carry = pages.columns if carry is None else carry
-    names = [f"c{i}" for i in range(len(pages.columns))]
+    plain, names = numbered(pages)
     at = names[pages.columns.index(html)]
-    plain = pages.toDF(*names)
     kept = [names[pages.columns.index(c)] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def extracted(pages: DataFrame, html: str = "html", carry: list[str] | None = No
                 texts = pa.array(map(main_text, part.column(at).to_pylist()), pa.string())
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), texts], names=[*kept, "text"])
 
-    return plain.mapInArrow(run, plain.select(kept).schema.add("text", "string")).toDF(*carry, "text")
+    return renamed(in_batches(plain, run, plain.select(kept).schema.add("text", "string")), carry, 1)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ The model is fitted on a sample of labelled rows: about SAMPLE of each language,
 GRAMS most frequent n-grams of that sample; these bounds are its size. Prediction covers every word of every text.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if there was nothing to learn from; ties go to the
-language that comes first by code point. Other columns are carried along.
+language that comes first by code point. Other columns are carried along, but for those with the name of an added one, which that replaces.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.scratch import written
 from quillspark.llm.text import pieces
 
@@ -116,11 +117,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return Model([], {}, [{}] * (LONGEST + 1))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 20, (SAMPLE << 20) // n))])
     sample = rows.filter(F.pmod("draw", F.lit(1 << 20)) < share[F.col("lang")])
-    words = sample.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long")
+    words = in_batches(sample.select("lang", "text"), count_words, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     languages = sorted(sizes)
     known = log_frequencies(most_frequent(words, WORDS), languages)
-    every = words.mapInArrow(count_grams, "lang string, size int, word string, n long")
+    every = in_batches(words, count_grams, "lang string, size int, word string, n long")
     every = written(every.groupBy("lang", "size", "word").agg(F.sum("n").alias("n")), "langid-grams")
     by_size = [log_frequencies(most_frequent(every.filter(F.col("size") == n), GRAMS // LONGEST), languages) if n else {} for n in range(LONGEST + 1)]
     return Model(languages, known, by_size)
@@ -165,10 +166,14 @@ class Scores:
 def predicted(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with lang_pred and score; carry: the columns to keep, if not all."""
     carry = docs.columns if carry is None else carry
+    return renamed(_predicted(docs, model, text, carry), carry, 2)
+
+
+def _predicted(docs: DataFrame, model: Model, text: str, carry: list[str]) -> DataFrame:
+    """The columns to carry, numbered, with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, names = numbered(docs)
     at = names[docs.columns.index(text)]
-    plain = docs.toDF(*names)
     kept = [names[docs.columns.index(c)] for c in carry]
     schema = plain.select(kept).schema.add("lang_pred", "string").add("score", "double")
 
@@ -179,7 +184,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", carry: list[str
                 found = [scores.predict(t) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return plain.mapInArrow(run, schema).toDF(*carry, "lang_pred", "score")
+    return in_batches(plain, run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -197,4 +202,5 @@ def language_report(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is in a language that the model knows; `und` goes."""
     model = fit(docs.filter(~held_out()))
-    return predicted(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    found = _predicted(docs, model, "text", docs.columns).filter("lang_pred <> 'und'")
+    return found.drop("lang_pred", "score").toDF(*docs.columns)

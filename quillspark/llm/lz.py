@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow import in_batches
+
 #: Hashes of 32 bits in a fingerprint, and code points of a symbol at most.
 SIZE, SYMBOL = 128, 24
 #: Ranges of ids for each partition; many small ones spread evenly.
@@ -128,7 +130,7 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row of docs: its fingerprint and that of its edited text (the last half taken from the next document), and how near they and the next document's are."""
     ordered = in_order(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
-    return ordered.mapInArrow(compare, SCHEMA).withColumnRenamed("doc_id", key)
+    return in_batches(ordered, compare, SCHEMA).withColumnRenamed("doc_id", key)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -21,19 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.scratch import written
+from quillspark.llm.arrow import in_batches, numbered
+from quillspark.llm.scratch import discard, written
 from quillspark.llm.text import LOWER, SEQUENCE_BASE, binaries, content, mix, pieces, span_hashes, window_starts, word_hashes, word_spans
 
 COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Partners of one member that are compared in one group; more are dealt to several groups.
 GROUP = 512
-#: Members of a bucket that are held against all others at once in the first round; 16 times as many in each further one.
+#: Members of a bucket that are held against all others at once in the first round; 16 times as many in each further one, up to MOST_HUBS.
 HUBS = 16
-#: Ids with roles that are broadcast to the scan of the texts (under 100 bytes each); beyond, texts are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Hubs of a bucket in one round at most, so an id's list of hubs has at most BANDS times as many; what is left waits for further rounds.
+MOST_HUBS = 4096
+#: Rows of so many bytes together are broadcast; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 _SEEDS = np.random.default_rng(7919).integers(0, 1 << 63, 2 * COORDINATES + BANDS + 2, dtype=np.uint64)
 
 
@@ -158,9 +161,10 @@ def compare(percent: int):
     return run
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """rows to be broadcast if they are counted to be few; else Spark joins them by a shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def few(rows: DataFrame, size: Column | int = 80) -> DataFrame:
+    """rows to be broadcast if their sizes in bytes add up to little; else Spark joins them by a shuffle."""
+    total = rows.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
 
 
 def confirmed(docs: DataFrame, against: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,13 +180,16 @@ def confirmed(docs: DataFrame, against: DataFrame, k: int, percent: int) -> Data
     hubs = dealt.groupBy("team", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("all"))
     hubs = hubs.select(F.explode("all").alias("id"), "team", "chunk", F.lit(None).cast("array<long>").alias("hubs"))
     roles = dealt.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("team", "chunk", "hubs")).alias("roles"))
-    roles = few(written(roles, "neardup-roles"))
+    listed = F.aggregate("roles", F.lit(0), lambda n, role: n + 64 + 8 * F.coalesce(F.size(role["hubs"]), F.lit(0)))
+    roles = written(roles, "neardup-roles")
     kind = "array<struct<team:long,chunk:long,hubs:array<long>>>"
-    sets = docs.join(roles, "id").select("id", "roles", "text").mapInArrow(to_sets(k), f"id long, roles {kind}, members binary")
+    sets = in_batches(docs.join(few(roles, 64 + listed), "id").select("id", "roles", "text"), to_sets(k), f"id long, roles {kind}, members binary")
     each = sets.select("id", "members", F.explode("roles").alias("role")).select("role.*", "id", "members")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = each.repartition(parts, "team", "chunk").sortWithinPartitions("team", "chunk", F.col("hubs").isNotNull())
-    return written(grouped.mapInArrow(compare(percent), "a long, b long"), "neardup-links")
+    links = written(in_batches(grouped, compare(percent), "a long, b long"), "neardup-links")
+    discard(against, roles)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,8 +207,10 @@ def components(links: DataFrame) -> DataFrame:
         heard = both.join(known.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.lit(None).cast("long").alias("old"), "component")
         lower = own.unionByName(heard).groupBy("id").agg(F.max("old").alias("old"), F.min("component").alias("through"))
         lower = lower.join(known.select(F.col("id").alias("through"), "component"), "through").select("id", "old", "component")
-        lower = written(lower, "components")
+        lower, before = written(lower, "components"), labels
+        discard(before)
         labels = lower.select("id", "component")
+        labels.scratch = lower.scratch
         if not lower.filter(F.col("component") != F.col("old")).limit(1).count():
             return labels
 
@@ -217,33 +226,38 @@ def rounds(docs: DataFrame, classes: DataFrame, k: int, percent: int, more: Data
     drawn = F.pmod(F.xxhash64("id"), F.greatest(F.floor(F.col("n") / HUBS), F.lit(1))) == 0
     state = written(members.select("key", "id", (drawn | (F.col("id") == F.col("least"))).alias("tested"), F.col("id").alias("component")), "neardup-state")
     hubs = state.filter("tested").groupBy("key").agg(F.collect_list("id").alias("hubs"))
-    links, at_once = more, HUBS
+    links, at_once, turn = more, HUBS, 0
     while True:
-        near = state.join(written(hubs, "neardup-hubs"), "key")
+        near_hubs = written(hubs, "neardup-hubs")
+        near = state.join(near_hubs, "key")
         if at_once > HUBS:
             near = near.select("id", F.transform(F.filter("hubs", lambda h: h["component"] != F.col("component")), lambda h: h["id"]).alias("hubs"))
         near = near.groupBy("id").agg(F.array_remove(F.array_distinct(F.flatten(F.collect_list("hubs"))), F.col("id")).alias("hubs")).filter(F.size("hubs") > 0)
         links = links.unionByName(confirmed(docs, near, k, percent))
         labels = components(links)
+        before = state
         state = state.drop("component").join(few(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
         state = written(state, "neardup-state")
+        discard(before, near_hubs)
         # of a bucket's untested members all must be held against the others, but for those of one component
         waiting = state.filter("not tested").groupBy("key", "component").agg(F.count("*").alias("n"))
         open_ = waiting.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
         open_ = written(open_.select("key", F.col("largest.component").alias("rest"), (F.col("all") - F.col("largest.n")).alias("left")), "neardup-open")
         if not open_.limit(1).count():
             return labels
-        at_once *= 16
+        at_once, turn = min(16 * at_once, MOST_HUBS), turn + 1
+        before = state
         state = state.filter("not tested").join(few(open_), "key")
-        drawn = F.pmod(F.xxhash64("id", F.lit(at_once)), F.greatest(F.floor(F.col("left") / at_once), F.lit(1))) == 0
+        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("left") / at_once), F.lit(1))) == 0
         state = written(state.select("key", "id", "component", ((F.col("component") != F.col("rest")) & drawn).alias("tested")), "neardup-state")
+        discard(before)
         hubs = state.filter("tested").groupBy("key").agg(F.collect_list(F.struct("id", "component")).alias("hubs"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id and kept for every row of docs: components of texts whose shingle sets have percent/100 of their union in common."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = docs.mapInArrow(describe(k), "id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    rows = in_batches(docs, describe(k), "id long, n_shingles long, d1 long, d2 long, bands array<long>")
     rows = written(rows, "neardup-sketches")
     real = rows.filter("n_shingles > 0 and id is not null")
     classes = real.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("id", "bands")).alias("first"))
@@ -263,15 +277,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows with a null id stay."""
+    """docs with one row of each group: that of the smallest doc_id; of rows that share it, the first by their JSON. Rows with a null id stay."""
     found = near_duplicates(docs, k, percent)
-    found = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")), "neardup-kept")
-    gone = found.filter("not kept and doc_id is not null").select("doc_id")
-    stay = docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
-    if not found.filter("n > 1 and doc_id is not null").limit(1).count():
-        return stay
-    least = stay.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return least.unionByName(stay.filter("doc_id is null"))
+    found = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("doc_id is not null"), "neardup-kept")
+    plain, names = numbered(docs)
+    id_ = names[docs.columns.index("doc_id")]
+    stay = plain.join(few(found.filter("not kept").select(F.col("doc_id").alias(id_))), id_, "left_anti").select(*names)
+    several = found.filter("kept and n > 1").select(F.col("doc_id").alias(id_))
+    if several.limit(1).count():
+        repeated = stay.join(several, id_, "left_semi").select(*names).groupBy(id_).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row"))
+        stay = stay.join(several, id_, "left_anti").select(*names).unionByName(repeated.select("row.*"))
+    return stay.toDF(*docs.columns)
 
 
 SQL = r"""

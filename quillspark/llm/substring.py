@@ -13,7 +13,7 @@ with a smaller id; removed windows of a document merge into maximal intervals.
 Equal windows are told by 64 bits of hash and the shard's number, which grows with the data; texts are not compared again.
 
 Defined results: a null or empty text has no words; a null id is larger than every other one; documents that share
-an id don't remove from each other; an empty table gives an empty result. Other columns are not read.
+an id don't remove from each other; an empty table gives an empty result. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.text import SECOND_BASE, binaries, content, pieces, window_hashes, window_starts, word_hashes, word_spans
 
 #: Text of one shard on average.
@@ -191,21 +193,44 @@ def remove(window: int, shards: int, layout: bool, carried: pa.Schema):
 
 
 def dedup_passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", layout: bool = False) -> DataFrame:
-    """Every row of docs without its text column, with n_words, n_removed, kept (the text that stays) and spans (intervals of removed words)."""
+    """Every row of docs without its text column, with n_words, n_removed, kept (the text that stays) and spans (intervals of removed words).
+
+    An added column takes the place of a carried one of the same name.
+    """
+    plain, names = numbered(docs)
+    at = dict(zip(docs.columns, names))
+    found = _dedup(plain, window, at[key], at[text], layout)
+    kept = [c for c in docs.columns if c != text]
+    return renamed(found.select(*[F.col("carried")[at[c]] for c in kept], "n_words", "n_removed", "kept", "spans"), kept, 4)
+
+
+def without_passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """docs with its text, and its size if there is such a column, without the passages; the white space of what stays is kept. A text without words becomes empty."""
+    plain, names = numbered(docs)
+    at = dict(zip(docs.columns, names))
+    found = _dedup(plain, window, at[key], at[text], layout=True)
+    left = F.when(F.col("n_words") > 0, F.col("kept")).otherwise(F.lit(""))
+    new = {text: left, size: F.length(left).cast("long")}
+    return found.select(*[new[c] if c in new else F.col("carried")[at[c]] for c in docs.columns]).toDF(*docs.columns)
+
+
+def _dedup(docs: DataFrame, window: int, key: str, text: str, layout: bool) -> DataFrame:
+    """carried (the other columns), n_words, n_removed, kept and spans of every row of docs."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id")
-    entries = docs.select(id_, F.col(text).alias("text")).mapInArrow(find_windows(window, shards), ENTRIES)
+    entries = in_batches(docs.select(id_, F.col(text).alias("text")), find_windows(window, shards), ENTRIES)
     answers = entries.groupBy("shard").applyInArrow(answer(shards), ANSWERS).withColumn("is_text", F.lit(False))
-    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("carried")
+    carried = F.struct(*[c for c in docs.columns if c != text]).alias("carried")
     texts = docs.select(id_, F.col(text).alias("text"), carried).withColumn("bucket", bucket_column(F.col("id"), shards)).withColumn("is_text", F.lit(True))
     both = texts.unionByName(answers, allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "is_text")
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))])
-    schema = f"carried {texts.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<first:int,past:int>>"
-    return dealt.mapInArrow(remove(window, shards, layout, out), schema).select("carried.*", "n_words", "n_removed", "kept", "spans")
+    spans = T.ArrayType(T.StructType().add("first", "integer").add("past", "integer"))
+    schema = T.StructType([texts.schema["carried"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string").add("spans", spans)
+    return in_batches(dealt, remove(window, shards, layout, out), schema)
 
 
 SQL = r"""

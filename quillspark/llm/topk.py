@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow import in_batches
 from quillspark.llm.scratch import written
 
 BLOCK = 8192
@@ -179,15 +180,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     """query_id, rank, vec_id and score: for each row that is a query the k rows with the largest inner products, ties to the smaller id."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantised(F.col(vector), scale).alias("vector")).filter("vector is not null")
     blocks = max(1, -(-vectors.count() // BLOCK))
-    packed_blocks = written(rows.repartition(blocks).mapInArrow(pack, PACKED), "topk-blocks")
-    portions = written(packed_blocks.mapInArrow(only_queries, PACKED), "topk-portions").withColumnRenamed("block", "portion")
+    packed_blocks = written(in_batches(rows.repartition(blocks), pack, PACKED), "topk-blocks")
+    portions = written(in_batches(packed_blocks, only_queries, PACKED), "topk-portions").withColumnRenamed("block", "portion")
     numbers = [r.block for r in packed_blocks.select("block").collect()]  # one for BLOCK rows
     if not numbers:
         numbers = [0]
     every = portions.withColumn("block", F.explode(F.lit(numbers))).withColumn("is_portion", F.lit(True))
     both = packed_blocks.withColumn("is_portion", F.lit(False)).unionByName(every, allowMissingColumns=True)
     dealt = both.repartition(len(numbers), "block").sortWithinPartitions("block", "is_portion")
-    found = dealt.mapInArrow(search(k), "portion long, own int, query_id long, vec_id long, score long")
+    found = in_batches(dealt, search(k), "portion long, own int, query_id long, vec_id long, score long")
     best = Window.partitionBy("portion", "own").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

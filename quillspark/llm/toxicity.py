@@ -11,7 +11,7 @@
 Fitting uses SAMPLE labelled rows of each class at most (about; drawn by a hash of the id) and keeps TERMS terms. Scores cover every word of every text.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits, as every text does if there was no label of
-either class to learn from (0 then). Rows with a null label aren't learned from. Other columns are carried along.
+either class to learn from (0 then). Rows with a null label aren't learned from. Other columns are carried along, but for a score, which the new one replaces.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.text import pieces
 
 SAMPLE, TERMS = 12_000, 400
@@ -234,7 +235,7 @@ def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(sample: DataFrame, sizes: list[int]) -> Lexicon:
     """sizes: texts of (clean, toxic)."""
-    counted = sample.mapInArrow(count_units, "unit string, kind int, n long")
+    counted = in_batches(sample, count_units, "unit string, kind int, n long")
     each = [F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(f"k{i}") for i in range(4)]
     by_unit = counted.groupBy("unit").agg(*each).filter((F.col("k2") + F.col("k3") >= SUPPORT) & (F.col("k2") > 0) & (F.col("k3") > 0))
     ratio = F.log((F.col("k2") + F.col("k3") + 0.5) / (sizes[1] + 1)) - F.log((F.col("k0") + F.col("k1") + 0.5) / (sizes[0] + 1))
@@ -304,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 found = features_of(matcher, piece.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column("toxic"), *map(pa.array, found.T)], names=["toxic", *(f"f{i}" for i in range(FEATURES))])
 
-    rows = np.array(sample.mapInArrow(run, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).collect(), float)
+    rows = np.array(in_batches(sample, run, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).collect(), float)
     if len(set(rows[:, 0])) < 2 if len(rows) else True:
         return None
     return Model(lexicon, regress(rows[:, 1:], rows[:, 0]))
@@ -313,12 +314,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def scored(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with score; carry: the columns to keep, if not all."""
     carry = docs.columns if carry is None else carry
+    plain, names = numbered(docs)
     if model is None:
-        return docs.select(*carry, F.lit(0.0).alias("score"))
+        return renamed(plain.select(*[names[docs.columns.index(c)] for c in carry], F.lit(0.0).alias("score")), carry, 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text)]
-    plain = docs.toDF(*names)
     kept = [names[docs.columns.index(c)] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +329,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", carry: list
                 scores = [model.score(matcher.features(t)) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
 
-    return plain.mapInArrow(run, plain.select(kept).schema.add("score", "double")).toDF(*carry, "score")
+    return renamed(in_batches(plain, run, plain.select(kept).schema.add("score", "double")), carry, 1)
 
 
 def held_out(key: str = "doc_id") -> Column:
