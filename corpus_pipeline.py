@@ -26,9 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 13 words or more that a document with a smaller id has too."""
-    found = substring.dedup_passages(docs, window=13, layout=True)
-    found = found.withColumn("text", F.when(F.col("n_words") > 0, F.col("kept")).otherwise(F.lit("")))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return substring.without_passages(docs, window=13)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
