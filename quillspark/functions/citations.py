@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the form of a marker in a text.
 MARKER = r"(?i)\[REF:([\d,\s\-]+)\]"
 
 

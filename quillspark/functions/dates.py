@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The forms in which documents state their date, in the order in which they are tried.
+# The forms in which documents state their date, in the order in which they are tried; case is ignored.
 DATE_PATTERNS = (
-    r"Q[1-4]\s*20\d{2}",
+    r"(?i)Q[1-4]\s*20\d{2}",
     r"20\d{2}-\d{2}-\d{2}",
-    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+20\d{2}",
-    r"FY\s*20\d{2}",
+    r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+20\d{2}",
+    r"(?i)FY\s*20\d{2}",
 )
 
 

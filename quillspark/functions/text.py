@@ -10,7 +10,7 @@ DATE_CELL = r"^\d{4}-\d{2}-\d{2}(\s\d{2}:\d{2}:\d{2})?$"
 IN_BRACKETS = r"^\(([0-9,.]+)\)$"
 BLANK = r"^\s+|\s+$"
 # Section titles that carry no content of their own.
-BOILERPLATE = ("table of contents", "contents", "disclaimer", "disclosures", "legal notice", "appendix", "glossary", "references", "index", "acknowledgements")
+BOILERPLATE = ("references", "bibliography", "works cited", "acknowledgements", "acknowledgments", "abstract", "table of contents", "list of figures", "list of tables", "appendix")
 
 
 def stripped(text: Column) -> Column:
@@ -87,9 +87,13 @@ def breadcrumb(section: Column, subsection: Column) -> Column:
 
 def is_boilerplate(title: Column) -> Column:
     """Whether a title, without numbering and a colon at its end, names boilerplate."""
-    plain = F.lower(stripped(title))
-    plain = F.regexp_replace(F.regexp_replace(plain, r"^[\d.\sivx-]+", ""), r":+$", "")
-    return stripped(plain).isin(*BOILERPLATE)
+    return bare_title(title).isin(*BOILERPLATE)
+
+
+def bare_title(title: Column) -> Column:
+    """In small letters, without numbering before it and colons after it, with single spaces."""
+    plain = F.lower(stripped(F.regexp_replace(title, r"^[\d.\sIVXivx-]+", "")))
+    return stripped(F.regexp_replace(F.regexp_replace(plain, r":+$", ""), r"\s+", " "))
 
 
 def template(text: Column, values: dict[str, str]) -> Column:

@@ -89,3 +89,15 @@ def missing(current: DataFrame, *having: DataFrame, key: str = "file_path") -> D
 
 def with_document_id(df: DataFrame, path: str = "file_path") -> DataFrame:
     return df.withColumn("document_id", stable_id(F.lit("document"), F.col(path)))
+
+
+def without_paths(rows: DataFrame, paths: DataFrame, key: str = "file_path") -> DataFrame:
+    """rows but for those of the paths to delete."""
+    return rows.join(paths.select(key).distinct(), key, "left_anti")
+
+
+def restored(archives: DataFrame, wanted: DataFrame, run: str = "run_id", key: str = "file_path") -> DataFrame:
+    """For each wanted path its row of the newest archived run that has it."""
+    best = Window.partitionBy(key).orderBy(F.desc(run))
+    rows = archives.join(wanted.select(key).distinct(), key, "left_semi")
+    return rows.withColumn("at", F.row_number().over(best)).filter("at = 1").drop("at")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import char_tokens, stripped, xml_escaped
@@ -54,17 +55,29 @@ def batches(lines: DataFrame, by: list[str], budget: int, header: int = 10) -> D
 
 
 def packed_columns(columns: DataFrame, by: list[str], limit: int, position: str = "position", tokens: str = "tokens") -> DataFrame:
-    """columns with batch: in the order of positions, a new batch starts where the next column would exceed the limit (a column alone may)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("position"), F.col(tokens).cast("long").alias("tokens"))))
-    state = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<position:bigint,batch:bigint>>").alias("done"))
-
-    def step(acc: Column, c: Column) -> Column:
-        fits = (acc["used"] + c["tokens"] <= limit) | (acc["used"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        used = F.when(fits, acc["used"] + c["tokens"]).otherwise(c["tokens"])
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(acc["done"], F.array(F.struct(c["position"].cast("long").alias("position"), batch.alias("batch")))).alias("done"))
-
-    return columns.groupBy(*by).agg(F.aggregate(ordered, state, step).alias("state")).select(*by, F.explode("state.done").alias("done")).select(*by, "done.*")
+    """by..., position, batch: in the order of positions, a new batch starts where the next column would exceed the limit.
+
+    A table with a column that exceeds the limit by itself can't be packed: its batches are null. Rows stream by in the order of (by, position), and only the
+    last row's state is kept.
+    """
+    largest = columns.groupBy(*by).agg(F.max(tokens).alias("largest")).filter(F.col("largest") <= limit).drop("largest").withColumn("fits", F.lit(True))
+    marked = columns.select(*by, F.col(position).cast("long").alias("position"), F.col(tokens).cast("long").alias("tokens")).join(largest, by, "left")
+    ordered = marked.repartition(*by).sortWithinPartitions(*by, "position")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, batch, used = None, 0, 0
+        for part in parts:
+            found = []
+            for key, size, fits in zip(part[by].itertuples(index=False, name=None), part["tokens"], part["fits"]):
+                if key != at:
+                    at, batch, used = key, 0, 0
+                if used and used + size > limit:
+                    batch, used = batch + 1, 0
+                used += size
+                found.append(batch if fits is True else None)
+            yield part[[*by, "position"]].assign(batch=pd.array(found, "Int64"))
+
+    return ordered.mapInPandas(run, ordered.select(*by, "position").schema.add("batch", "long"))
 
 
 def merged_descriptions(batches: DataFrame, by: list[str], order: str = "batch") -> DataFrame:
@@ -73,14 +86,43 @@ def merged_descriptions(batches: DataFrame, by: list[str], order: str = "batch")
     return real.groupBy(*by, "position").agg(F.max_by("description", order).alias("description"))
 
 
-def described(profiles: DataFrame) -> DataFrame:
-    """name and a description of each profiled column, by rule."""
+def described(profiles: DataFrame, distribution: DataFrame, samples: DataFrame) -> DataFrame:
+    """name and a description of each profiled column, by rule: ranges of numbers and dates, counts of booleans, the five commonest values, or three samples.
+
+    distribution: name, rank, value of columns with few values; samples: name, at, value.
+    """
+    listed = lambda rows, place, most: rows.filter(F.col(place) <= most).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list(F.struct(place, "value")))["value"], ", ").alias(place))
+    rows = profiles.join(listed(distribution, "rank", 5), "name", "left").join(listed(samples, "at", 3), "name", "left")
     text = (
-        F.when(F.col("dtype") == "numeric", F.concat(F.lit("Numbers from "), F.col("min_number").cast("string"), F.lit(" to "), F.col("max_number").cast("string")))
-        .when(F.col("dtype") == "date", F.concat(F.lit("Dates from "), F.col("min_date"), F.lit(" to "), F.col("max_date")))
-        .otherwise(F.concat(F.col("unique_count").cast("string"), F.lit(" distinct values of type "), F.col("dtype")))
+        F.when((F.col("dtype") == "numeric") & F.col("min_number").isNotNull(), F.format_string("%s contains numeric values ranging from %s to %s.", "name", F.col("min_number").cast("string"), F.col("max_number").cast("string")))
+        .when(F.col("dtype") == "numeric", F.format_string("%s contains numeric values for analysis.", "name"))
+        .when((F.col("dtype") == "date") & F.col("min_date").isNotNull(), F.format_string("%s contains date values from %s to %s.", "name", "min_date", "max_date"))
+        .when(F.col("dtype") == "date", F.format_string("%s contains date values for time-based filtering.", "name"))
+        .when(F.col("dtype") == "boolean", F.format_string("%s contains boolean values with %d true and %d false entries.", "name", "true_count", "false_count"))
+        .when(F.col("rank").isNotNull(), F.format_string("%s contains categorical values such as %s.", "name", "rank"))
+        .when(F.col("at").isNotNull(), F.format_string("%s contains text values such as %s.", "name", "at"))
+        .otherwise(F.format_string("%s contains %s values.", "name", "dtype"))
     )
-    return profiles.select("name", text.alias("description"))
+    return rows.select("name", text.alias("description"))
+
+
+def suggested_queries(roles: DataFrame, titles: DataFrame, by: list[str]) -> DataFrame:
+    """by..., queries: three to five questions that a table can answer, by rule. roles: by..., position, name, role; titles: by..., title."""
+    first = lambda role: F.min_by("name", F.when(F.col("role") == role, F.col("position"))).alias(role)
+    have = roles.groupBy(*by).agg(*map(first, ("measure", "filter", "identifier", "text_content")))
+    rows = titles.join(have, by, "left")
+    say = lambda text, *parts: F.format_string(text, *parts)
+    both = lambda *names: F.forall(F.array(*names), lambda x: x.isNotNull())
+    asked = F.array_compact(F.array(
+        F.when(both("measure", "filter"), say("What is the total %s by %s?", "measure", "filter")),
+        F.when(both("measure"), say("What is the average %s in %s?", "measure", "title")),
+        F.when(both("filter"), say("How many rows fall into each %s category?", "filter")),
+        F.when(both("identifier", "measure"), say("Which %s values have the highest %s?", "identifier", "measure")),
+        F.when(both("text_content"), say("What details are recorded in %s?", "text_content")),
+    ))
+    asked = F.when(F.size(asked) == 0, F.array(say("What records are included in %s?", "title"))).otherwise(asked)
+    padded = F.concat(asked, F.array_repeat(say("What does the %s dataset contain?", "title"), F.greatest(F.lit(0), 3 - F.size(asked))))
+    return rows.select(*by, F.slice(padded, 1, 5).alias("queries"))
 
 
 def routing(tables: DataFrame, by: list[str]) -> DataFrame:

@@ -8,68 +8,124 @@ from pyspark.sql import functions as F
 from quillspark.functions.dates import first_date
 from quillspark.functions.text import stripped
 
-# What a metric's value looks like, labels that say nothing, words that allow a plain count, and qualifiers at the end of a label.
-VALUE = r"[($+-]*\d[\d,]*(?:\.\d+)?\)?\s*(?:%|bps|bn|billion|mm|million|[kmb]|x)?"
-GENERIC_LABELS = ("total", "amount", "value", "number", "date", "page", "note", "figure", "table", "source", "section", "item", "year", "quarter")
-COUNT_WORDS = ("employees", "customers", "branches", "clients", "accounts", "users", "units", "locations", "headcount", "transactions")
-QUALIFIERS = r"\s+(?:of|was|is|were|are|stood|reached|totaled|totalled|increased to|decreased to|rose to|fell to|came in)$"
-UNIT = r"(?i)[$%]|\d\s*(?:bps|bn|billion|mm|million|[kmb]|x)\b"
+# What a metric's value looks like, and its units.
+UNITS = "%|bp|bps|pt|pts|d|days|k|m|mm|b|bn"
+VALUE = rf"[\$\£\€\¥C]?\$?\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:{UNITS})(?![A-Za-z]))?"
+# Pairs in prose, with a colon or equals sign, and with "at".
+PAIRS = (
+    rf"(?i)^([A-Z][A-Za-z0-9_ /&\-]{{1,60}}?)\s*[:=]\s*({VALUE})\s*(?:[).,;:]*)$",
+    rf"(?i)^([A-Za-z][A-Za-z0-9_ /&\-\(\)]{{1,60}}?)\s+at\s+({VALUE})\s*(?:[).,;:]*)$",
+)
+# Headers of the label column and of the value column.
+LABEL_HEADERS = ("metric", "metrics", "card", "cards", "kpi", "kpis", "label", "labels")
+VALUE_HEADERS = ("value", "values", "current", "current value", "amount")
+# Labels that say nothing.
+GENERIC_LABELS = (
+    "adverse", "base", "response", "severe", "value", "values", "retail", "commercial", "markets", "cards", "payments", "deposits", "other", "visuals",
+    "second dense table", "mm range", "pct range", "stage values",
+)
+# Phrases and words of labels that are no metric's.
+NOISY_PHRASES = ("formula region", "dense table", "example rows", "key table rows", "used range", "sheet name", "file type", "column headers")
+NOISY_WORDS = (
+    "appendix", "column", "columns", "currency", "currencies", "example", "examples", "grid", "listing", "page", "range", "record", "records", "region",
+    "row", "rows", "scenario", "sheet", "symbol", "symbols", "table", "unicode", "worksheet",
+)
+# Parts of labels that allow a plain number, and words at the end of a label that go.
+COUNT_TERMS = ("backlog", "complaint", "complaints", "incident", "incidents", "record", "records", "case", "cases", "count", "rows")
+QUALIFIERS = ("estimated", "estimate", "listed", "measured", "observed", "reported", "shown")
 
 
 def document_dates(pages: DataFrame, by: list[str], page: str = "page", content: str = "content", most: int = 5) -> DataFrame:
     """The first date-like text of each document's first pages: by page, then by the order of the patterns."""
-    found = pages.filter(F.col(page) <= most).withColumn("date", first_date(F.col(content))).filter("date is not null")
+    found = pages.filter(F.col(page) <= most).withColumn("date", stripped(first_date(F.col(content)))).filter("date is not null")
     return found.groupBy(*by).agg(F.min_by("date", page).alias("date"))
 
 
 def clauses(text: Column) -> Column:
     """Parts between semicolons and line ends, cut again before a comma with a label that starts a new pair."""
-    first = F.split(text, r"[;\n]")
-    cut = F.flatten(F.transform(first, lambda c: F.split(c, r",\s+(?=[A-Z][^,:=]*(?:\s*[:=]|\s+at\s))")))
-    return F.filter(F.transform(cut, lambda c: F.regexp_replace(c, r"^[\s*-]+|[\s*-]+$", "")), lambda c: c != "")
+    first = F.split(text, r"[;\n]", -1)
+    cut = F.flatten(F.transform(first, lambda c: F.split(c, r",\s+(?=[A-Z][A-Za-z0-9_ /&\-\(\)]{1,60}\s*(?:[:=]|\bat\b))", -1)))
+    return F.transform(F.filter(cut, lambda c: stripped(c) != ""), lambda c: F.regexp_replace(c, r"^[ *-]+|[ *-]+$", ""))
+
+
+def tidy_label(text: Column) -> Column:
+    """Without white space and punctuation at its ends, and with single spaces."""
+    return F.regexp_replace(F.regexp_replace(stripped(text), r"^[:;,.]+|[:;,.]+$", ""), r"\s+", " ")
 
 
 def metric_label(text: Column) -> Column:
-    """A label without decoration and trailing qualifiers, its first letter a capital."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"^[\s*_#>:;,.-]+|[\s*_:;,.-]+$", ""), r"\s+", " ")
-    plain = F.regexp_replace(plain, QUALIFIERS, "")
-    return F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain)))
+    """A label without qualifiers at its end; one in small letters gets a capital."""
+    plain = stripped(F.regexp_replace(stripped(tidy_label(text)), rf"(?i)(?:(?:^| )(?:{'|'.join(QUALIFIERS)})\.*)+$", ""))
+    return F.when(F.lower(plain) == plain, F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain)))).otherwise(plain)
+
+
+def label_key(label: Column) -> Column:
+    """What labels have in common that count as the same."""
+    return F.lower(tidy_label(label))
+
 
+def metric_value(text: Column) -> Column:
+    return F.regexp_replace(stripped(text), r"[.,;:]+$", "")
 
-def looks_like_sequence(value: Column) -> Column:
-    """Whether a value is a series of numbers; thousands in groups of three after the first comma are one number."""
-    parts = F.split(F.regexp_replace(value, r"[^\d,]", ""), ",")
-    groups = F.filter(parts, lambda p, i: (i > 0) & (F.length(p) != 3))
-    return (F.size(parts) > 1) & ((F.size(groups) > 0) | (F.length(F.get(parts, F.lit(0))) > 3))
+
+def looks_like_sequence(value: Column, strict: bool = False) -> Column:
+    """Whether a value is a series of numbers. Groups of three digits after the first comma are thousands of one number; strict: any comma makes a series."""
+    bare = F.regexp_replace(stripped(value), rf"(?i)^[\$\£\€\¥C]?\$?\s*|\s*(?:{UNITS})$", "")
+    parts = F.filter(F.split(bare, ","), lambda p: p != "")
+    if strict:
+        return F.size(parts) > 1
+    odd = F.filter(parts, lambda p, i: F.when(i == 0, F.length(F.regexp_replace(p, r"\..*$", "")) > 3).otherwise(~p.rlike(r"^\d{3}(?:\.\d+)?$")))
+    return (F.size(parts) > 1) & (F.size(odd) > 0)
 
 
 def usable(label: Column, value: Column) -> Column:
-    """Whether a pair says something: no generic label, a label of letters and of at most 8 words, one number, and a unit unless the label counts things."""
-    low = F.lower(label)
-    counts = F.arrays_overlap(F.split(low, r"\s+"), F.array(*map(F.lit, COUNT_WORDS)))
-    return (low != "") & ~low.isin(*GENERIC_LABELS) & low.rlike(r"\p{L}{2}") & (F.size(F.split(low, r"\s+")) <= 8) & ~looks_like_sequence(value) & (value.rlike(UNIT) | counts)
+    """Whether a pair says something: no generic or noisy label, one number, and no bare number unless the label counts things or begins with total."""
+    key = label_key(label)
+    noisy = F.arrays_overlap(F.split(key, " "), F.array(*map(F.lit, NOISY_WORDS))) | key.rlike(rf"\b(?:{'|'.join(NOISY_PHRASES)})\b")
+    counts = key.startswith("total ") | key.rlike("|".join(COUNT_TERMS))
+    bare = value.rlike(r"^\d+(?:\.\d+)?$")
+    return (key != "") & (value != "") & ~key.isin(*GENERIC_LABELS) & ~noisy & ~looks_like_sequence(value) & (~bare | counts)
+
+
+def last_of_label(pairs: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """by..., label, value: of pairs whose labels count as the same, the last one."""
+    last = Window.partitionBy(*by, label_key(F.col("label"))).orderBy(*[F.desc(c) for c in order])
+    return pairs.withColumn("last", F.row_number().over(last)).filter("last = 1").select(*by, "label", "value")
 
 
 def text_metrics(texts: DataFrame, by: list[str], text: str) -> DataFrame:
     """Pairs `Label: value`, `Label = value` and `Label at value` in prose: by..., label, value; of equal labels the last one stands."""
     rows = texts.select(*by, F.posexplode(clauses(F.col(text))).alias("at", "clause"))
-    pair = rf"(?i)^(.{{2,80}}?)(?:\s*[:=]\s*|\s+at\s+)({VALUE})\.?$"
-    found = rows.filter(F.col("clause").rlike(pair)).select(*by, "at", metric_label(F.regexp_extract("clause", pair, 1)).alias("label"), stripped(F.regexp_extract("clause", pair, 2)).alias("value"))
-    found = found.filter(usable(F.col("label"), F.col("value")))
-    last = F.row_number().over(Window.partitionBy(*by, F.lower("label")).orderBy(F.desc("at")))
-    return found.withColumn("last", last).filter("last = 1").drop("last", "at")
-
-
-def table_metrics(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs from cells (by..., row, col, value) of tables whose first row names a label column and a value column."""
-    label_names = ("metric", "kpi", "measure", "indicator", "name", "item")
-    value_names = ("value", "amount", "result", "current", "actual")
-    first = cells.withColumn("first", F.min("row").over(Window.partitionBy(*by)))
-    heads = first.filter(F.col("row") == F.col("first")).groupBy(*by, "first").agg(F.min(F.when(F.lower(stripped(F.col("value"))).isin(*label_names), F.col("col"))).alias("label_col"), F.min(F.when(F.lower(stripped(F.col("value"))).isin(*value_names), F.col("col"))).alias("value_col"))
-    heads = heads.filter("label_col is not null and value_col is not null")
-    body = cells.join(heads, by).filter(F.col("row") > F.col("first"))
-    pairs = body.groupBy(*by, "row").agg(F.max(F.when(F.col("col") == F.col("label_col"), F.col("value"))).alias("label"), F.max(F.when(F.col("col") == F.col("value_col"), F.col("value"))).alias("value"))
-    return pairs.filter("label is not null and value is not null").select(*by, "row", metric_label(F.col("label")).alias("label"), stripped(F.col("value")).alias("value"))
+    part = lambda i: F.when(F.col("clause").rlike(PAIRS[0]), F.regexp_extract("clause", PAIRS[0], i)).when(F.col("clause").rlike(PAIRS[1]), F.regexp_extract("clause", PAIRS[1], i))
+    found = rows.select(*by, "at", metric_label(part(1)).alias("label"), metric_value(part(2)).alias("value")).filter("label is not null")
+    return last_of_label(found.filter(usable(F.col("label"), F.col("value"))), by, ["at"])
+
+
+def region_metrics(cells: DataFrame, by: list[str], search: int = 3) -> DataFrame:
+    """Pairs from cells (by..., row, col, value) below a row whose first two filled cells are headers of labels and values.
+
+    The header is looked for in the first `search` rows that have cells: 3 for a region of a sheet, 1 for a table in a text. Narrative notes are left out.
+    """
+    filled = cells.withColumn("value", stripped(F.col("value"))).filter("value <> ''")
+    of_row = filled.groupBy(*by, "row").agg(F.slice(F.array_sort(F.collect_list(F.struct("col", "value"))), 1, 2).alias("first"))
+    of_row = of_row.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("row"))).filter(F.col("at") <= search)
+    one, two = F.get("first", F.lit(0)), F.get("first", F.lit(1))
+    heads = of_row.filter(label_key(one["value"]).isin(*LABEL_HEADERS) & label_key(two["value"]).isin(*VALUE_HEADERS))
+    heads = heads.groupBy(*by).agg(F.min(F.struct(F.col("row").alias("head"), one["col"].alias("label_col"), two["col"].alias("value_col"))).alias("h")).select(*by, "h.*")
+    body = filled.join(heads, by).filter(F.col("row") > F.col("head"))
+    pairs = body.groupBy(*by, "row").agg(F.max(F.when(F.col("col") == F.col("label_col"), F.col("value"))).alias("name"), F.max(F.when(F.col("col") == F.col("value_col"), F.col("value"))).alias("value"))
+    pairs = pairs.filter("name is not null and value is not null").filter(~F.lower("name").startswith("narrative note"))
+    pairs = pairs.select(*by, "row", metric_label(F.col("name")).alias("label"), metric_value(F.col("value")).alias("value"))
+    return last_of_label(pairs.filter(usable(F.col("label"), F.col("value"))), by, ["row"])
+
+
+def merged_metrics(found: list[DataFrame], by: list[str]) -> DataFrame:
+    """Metrics of several sources (by..., label, value) in one: where a label occurs in several, the last source stands."""
+    rows = [f.select(*by, F.lit(i).alias("source_at"), "label", "value") for i, f in enumerate(found)]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return last_of_label(every, by, ["source_at"])
 
 
 def keyword_rows(pages: DataFrame, by: list[str], keywords: str = "keywords", page: str = "page") -> DataFrame:
@@ -79,15 +135,14 @@ def keyword_rows(pages: DataFrame, by: list[str], keywords: str = "keywords", pa
 
 
 def bullet_metrics(docs: DataFrame, by: list[str], text: str) -> DataFrame:
-    """Pairs from bullets: `- Label: value`, and a bullet with a value alone below a bullet with a label. by..., line_number, label, value."""
-    lines = docs.select(*by, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).filter(F.col("line").rlike(r"^\s*[-*•]\s+\S"))
-    body = stripped(F.regexp_replace("line", r"^\s*[-*•]\s+", ""))
-    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    parent = F.last(F.when(indent == 0, body), ignorenulls=True).over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    pair = rf"(?i)^(.{{2,80}}?)\s*[:=]\s*\**({VALUE})\**$"
-    own = body.rlike(pair)
-    alone = (indent > 0) & body.rlike(rf"(?i)^\**{VALUE}\**$")
-    label = F.when(own, F.regexp_extract(body, pair, 1)).when(alone, parent)
-    value = F.when(own, F.regexp_extract(body, pair, 2)).when(alone, F.regexp_replace(body, r"\*", ""))
-    found = lines.select(*by, (F.col("at") + 1).cast("long").alias("line_number"), metric_label(label).alias("label"), stripped(value).alias("value"))
-    return found.filter(F.col("label").isNotNull() & F.col("value").isNotNull()).filter(usable(F.col("label"), F.col("value")))
+    """Pairs from cards: a bullet `- Label` without indent and without a colon, and below it the first nested bullet `- Value: 12%`. by..., label, value."""
+    lines = docs.select(*by, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).filter(stripped(F.col("line")) != "")
+    top = ~F.col("line").startswith(" ")
+    upto = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("card", F.sum(top.cast("int")).over(upto)).withColumn("body", stripped(F.col("line")))
+    label = stripped(F.substring("body", F.lit(3), F.length("body")))
+    cards = lines.filter(top & F.col("body").startswith("- ") & ~label.contains(":") & (label != "")).select(*by, "card", label.alias("name"))
+    pattern = rf"(?i)^-\s*Value\s*:\s*({VALUE})$"
+    values = lines.filter(~top & F.col("body").rlike(pattern)).groupBy(*by, "card").agg(F.min_by(F.regexp_extract("body", pattern, 1), "at").alias("value"))
+    pairs = cards.join(values, [*by, "card"]).select(*by, "card", metric_label(F.col("name")).alias("label"), metric_value(F.col("value")).alias("value"))
+    return last_of_label(pairs.filter(usable(F.col("label"), F.col("value"))), by, ["card"])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.citations import page_link
 from quillspark.functions.text import stripped, xml_escaped
+from quillspark.sources.scratch import written
 
 STATUSES = ("answered", "needs_deep_research", "irrelevant")
 IRRELEVANT = "Not relevant to the research statement."
@@ -33,27 +34,32 @@ def findings_of(decisions: DataFrame) -> DataFrame:
     return decisions.filter(F.col("status").isin("answered", "needs_deep_research") & (F.col("finding") != ""))
 
 
-def numbered(findings: DataFrame, part: str, order: list[str], number: str = "ref_id") -> DataFrame:
-    """findings with consecutive numbers in the order of (part, order...).
+def numbered(rows: DataFrame, order: list[Column | str], number: str = "ref_id") -> DataFrame:
+    """rows with consecutive numbers from 1 on in the order given, nulls first.
 
-    Numbers are counted within each part, and a part starts where the counts of those before it end; so no task needs all rows.
+    Rows are dealt by ranges of that order and sorted within them; a range starts where the counts of those before it end, so no task has more rows than its range.
     """
-    sizes = findings.groupBy(part).agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy(F.col(part).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col(part).alias("of_part"), F.coalesce(before, F.lit(0)).alias("before"))
-    inside = findings.withColumn("place", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    joined = inside.join(starts, F.col(part).eqNullSafe(F.col("of_part")))
-    return joined.withColumn(number, (F.col("before") + F.col("place")).cast("long")).drop("of_part", "before", "place")
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(dealt.select(F.monotonically_increasing_id().alias("numbered_place"), F.struct(*rows.columns).alias("numbered_row")), "numbered")
+    placed = placed.withColumn("numbered_range", F.shiftright("numbered_place", 33))
+    sizes = placed.groupBy("numbered_range").agg(F.count("*").alias("size"))  # one row a range
+    before = F.sum("size").over(Window.orderBy("numbered_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("numbered_range", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = placed.join(F.broadcast(starts), "numbered_range")
+    return joined.select("numbered_row.*", (F.col("before") + F.col("numbered_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(number))
 
 
 def findings_text(findings: DataFrame, by: list[str]) -> DataFrame:
-    """Text of each group: `## document`, then its findings by page. findings: by..., document_name, page, finding, ref_id."""
+    """A text for each document of a group, `## document` and then its findings by page: by..., document_name, text. findings: by..., document_name, page, finding, ref_id.
+
+    The text of a group is these texts in the order of document_name; they stay rows, as a group may be a third of all findings.
+    """
     paged = F.when(F.col("page").isNotNull(), F.concat(F.lit("**Page "), F.col("page").cast("string"), F.lit(":** "))).otherwise("")
     line = F.concat(paged, F.col("finding"), F.lit(" [REF:"), F.col("ref_id").cast("string"), F.lit("]"))
     lines = findings.withColumn("line", line).groupBy(*by, "document_name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("page", F.lit(0)).alias("page"), "ref_id", "line"))).alias("lines"))
     block = F.concat(F.lit("## "), F.col("document_name"), F.lit("\n"), F.array_join("lines.line", "\n"))
-    blocks = lines.select(*by, "document_name", block.alias("block")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("document_name", "block"))).alias("blocks"))
-    return blocks.select(*by, F.array_join("blocks.block", "\n\n").alias("text"))
+    return lines.select(*by, "document_name", block.alias("text"))
 
 
 def status_summary(findings: DataFrame, by: list[str]) -> DataFrame:

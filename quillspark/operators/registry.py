@@ -66,3 +66,38 @@ def conversation_text(messages: DataFrame, by: str = "conv_id") -> DataFrame:
     line = F.concat(F.lit("["), F.upper("role"), F.lit("]: "), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return messages.groupBy(by).agg(F.array_join(ordered["line"], "\n\n").alias("conversation"))
+
+
+def table_pages(tables: dict[str, DataFrame], keys: dict[str, list[str]], limit: int, offset: int = 0) -> DataFrame:
+    """table_name, row_count, columns and rows: for each table its size, its column names, and a page of its rows as JSON in the order of its key."""
+    made = []
+    for name, rows in tables.items():
+        page = preview(rows, keys[name], limit, offset).select(F.struct(*keys[name]).alias("key"), F.to_json(F.struct("*")).alias("row"))
+        page = page.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]).alias("rows"))
+        counts = rows.agg(F.count("*").alias("row_count"))
+        made.append(counts.crossJoin(page).select(F.lit(name).alias("table_name"), "row_count", F.lit(",".join(rows.columns)).alias("columns"), "rows"))  # one row each
+    found = made[0]
+    for more in made[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def usage_totals(calls: DataFrame, by: list[str], input_price: float, output_price: float) -> DataFrame:
+    """Tokens and their cost, at prices for a thousand, by group. calls: by..., input_tokens, output_tokens."""
+    cost = F.col("input_tokens") / 1000 * input_price + F.col("output_tokens") / 1000 * output_price
+    return calls.groupBy(*by).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum(cost), 6).alias("cost"))
+
+
+def custom_metadata(details: Column, reserved: list[str]) -> Column:
+    """A stage's details (a map) without the reserved keys, as JSON."""
+    return F.to_json(F.map_filter(details, lambda k, v: ~k.isin(*reserved)))
+
+
+def flag(text: Column) -> Column:
+    """Whether a text says true, 1 or yes."""
+    return F.coalesce(F.lower(stripped(text)).isin("true", "1", "yes"), F.lit(False))
+
+
+def append_stages(records: DataFrame, path: str) -> None:
+    """Appends the metrics of stages to the log."""
+    records.write.mode("append").parquet(path)

@@ -101,3 +101,35 @@ def batches(rows: DataFrame, by: list[str], order: list[Column], size: int) -> D
     """rows with the number of their batch of `size` in the order given, per group."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("batch", F.floor((at - 1) / size).cast("long"))
+
+
+def first_filled(text: str, *order: str) -> Column:
+    """The first value that isn't empty, in the order of columns, as an aggregate."""
+    return F.min_by(text, F.when(F.coalesce(text, F.lit("")) != "", F.struct(*order)))
+
+
+def chunk_groups(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Chunks of whole documents in groups of a section and a subsection (null: none): by..., section, subsection, section_name, subsection_name, path, level, place, chunk_ids.
+
+    Names and paths are the first that aren't empty. Numbered sections come first, and in a section the chunks without a subsection; a chunk counts once, where it stands first.
+    chunks: by..., chunk_id, page, chunk, section, section_name, subsection, subsection_name, path.
+    """
+    at = F.struct(F.coalesce("page", F.lit(0)).alias("page"), "chunk")
+    once = Window.partitionBy(*by, "section", "subsection", "chunk_id").orderBy(at)
+    rows = chunks.filter(F.coalesce("chunk_id", F.lit("")) != "").withColumn("turn", F.row_number().over(once)).filter("turn = 1")
+    names = chunks.groupBy(*by, "section").agg(first_filled("section_name", "page", "chunk").alias("section_name"), first_filled("path", "page", "chunk").alias("section_path"))
+    own = chunks.groupBy(*by, "section", "subsection").agg(first_filled("subsection_name", "page", "chunk").alias("subsection_name"), first_filled("path", "page", "chunk").alias("own_path"))
+    groups = rows.groupBy(*by, "section", "subsection").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "chunk_id")))["chunk_id"].alias("chunk_ids"))
+    same = lambda cols: [F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in cols]
+    joined = groups.alias("g").join(own.alias("o"), same([*by, "section", "subsection"])).select("g.*", "o.subsection_name", "o.own_path")
+    joined = joined.alias("g").join(names.alias("o"), same([*by, "section"])).select("g.*", "o.section_name", "o.section_path")
+    whole = F.col("subsection").isNull()
+    order = Window.partitionBy(*by).orderBy(F.col("section").asc_nulls_last(), F.coalesce("subsection", F.lit(-1)))
+    place = F.row_number().over(order).cast("long")
+    return joined.select(*by, "section", "subsection", "section_name", F.when(~whole, F.col("subsection_name")).alias("subsection_name"), F.when(whole, F.col("section_path")).otherwise(F.col("own_path")).alias("path"), F.when(whole, "document_full").otherwise("subsection").alias("level"), place.alias("place"), "chunk_ids")
+
+
+def documents_by_id(documents: DataFrame, wanted: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """The documents of the wanted ids, and the wanted ids that there is no document for."""
+    ids = wanted.select(key).distinct()
+    return documents.join(ids, key, "left_semi"), ids.join(documents.select(key), key, "left_anti")

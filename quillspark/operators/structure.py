@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import breadcrumb
+from quillspark.functions.text import breadcrumb, stripped
+from quillspark.sources.scratch import written
 
 
 def pages_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -87,22 +88,26 @@ def paragraphs_within(docs: DataFrame, text: str, budget: int) -> DataFrame:
 
 
 def degradation_signals(documents: DataFrame) -> Column:
-    """Rules by which a finished document is taken to be poor: title, default structure over more than 5 pages, no vector, fallback description, mostly fallback sections."""
+    """Rules by which a finished document is taken to be poor: title, default structure over more than 5 pages, no vector, fallback description, mostly fallback sections.
+
+    A document without sections has a null fallback_share, which is no signal.
+    """
+    # fixed values: the names of the signals as they are stored
     rules = (
-        (F.coalesce(F.trim("title"), F.lit("")) == "", "empty_title"),
-        ((F.col("page_count") > 5) & F.col("default_structure"), "default_structure"),
-        (F.col("summary_embedding").isNull(), "no_summary_embedding"),
-        (F.col("fallback_description"), "fallback_description"),
-        (F.col("fallback_share") > 0.5, "fallback_sections"),
+        (F.coalesce(F.trim("title"), F.lit("")) == "", "empty metadata"),
+        ((F.col("page_count") > 5) & F.col("default_structure"), "default structure classification"),
+        (F.col("summary_embedding").isNull(), "missing summary embedding"),
+        (F.col("fallback_description"), "fallback document description"),
+        (F.col("fallback_share") > 0.5, "empty section summaries"),
     )
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
 
 
 def sheet_sections(sheets: DataFrame, by: list[str], page: str = "page", title: str = "title", tables: str = "dense_tables") -> DataFrame:
-    """A section per sheet and in it a subsection per dense table (0 and no title for a sheet without): by..., section, title, subsection, subsection_title."""
+    """A section per sheet and in it a subsection per dense table, or one named like the sheet: by..., section, title, subsection, subsection_title."""
     section = F.row_number().over(Window.partitionBy(*by).orderBy(page)).cast("long")
     each = sheets.withColumn("section", section).select(*by, page, "section", title, F.posexplode_outer(tables).alias("at", "subsection_title"))
-    return each.select(*by, page, "section", title, F.coalesce(F.col("at") + 1, F.lit(0)).cast("long").alias("subsection"), F.coalesce("subsection_title", F.lit("")).alias("subsection_title"))
+    return each.select(*by, page, "section", title, F.coalesce(F.col("at") + 1, F.lit(1)).cast("long").alias("subsection"), F.coalesce("subsection_title", title).alias("subsection_title"))
 
 
 def structure_type(filetype: Column, proposed: Column, confidence: Column, sections: Column) -> Column:
@@ -125,3 +130,38 @@ def split_at_breakpoints(docs: DataFrame, text: str, breakpoints: str) -> DataFr
     part = F.sum(starts).over(Window.partitionBy(*kept).orderBy("at")).cast("long")
     grouped = lines.withColumn("part", part).groupBy(*kept, "part").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
     return grouped.select(*kept, "part", F.array_join("lines.line", "\n").alias("content"))
+
+
+def split_at_blank_lines(docs: DataFrame, text: str, most: int) -> DataFrame:
+    """A text cut at the blank line nearest to its middle line, and each half again, until no part has more than `most` words: part, content.
+
+    Without a blank line the middle is taken; a single line stays whole. Turns of all texts are made at once; a turn halves the lines, so a text of n lines takes log2(n) turns.
+    """
+    kept = [c for c in docs.columns if c != text]
+    size = lambda part: F.greatest(F.lit(1), F.size(F.filter(F.split(part, r"\s+"), lambda w: w != "")))
+    at_end = lambda part: F.regexp_replace(part, r"\s+$", "")
+    open_ = docs.select(*kept, F.lit("").alias("path"), F.coalesce(text, F.lit("")).alias("content"))
+    done = None
+    while True:
+        lines = F.split("content", r"(?<=\n)", -1)
+        lines = F.filter(lines, lambda x: x != "")
+        settled = (size(F.col("content")) <= most) | (F.size(lines) <= 1)
+        part = written(open_.withColumn("settled", settled), "blank-lines")
+        ready = part.filter("settled").select(*kept, "path", "content")
+        done = ready if done is None else done.unionByName(ready)
+        rest = part.filter("not settled").withColumn("lines", lines)
+        if not rest.limit(1).count():
+            break
+        middle = F.floor(F.size("lines") / 2).cast("int")
+        blanks = F.filter(F.transform("lines", lambda x, i: F.when((i > 0) & (stripped(x) == ""), F.struct(F.abs(i - middle).alias("far"), (-i).alias("i")))), lambda x: x.isNotNull())
+        cut = rest.withColumn("cut", F.coalesce(-F.array_min(blanks)["i"], middle))
+        halves = F.array(F.struct(F.lit("0").alias("step"), F.slice("lines", F.lit(1), F.col("cut")).alias("part")), F.struct(F.lit("1").alias("step"), F.slice("lines", F.col("cut") + 1, F.size("lines")).alias("part")))
+        each = cut.select(*kept, "path", F.explode(halves).alias("h"))
+        open_ = each.select(*kept, F.concat("path", "h.step").alias("path"), at_end(F.array_join("h.part", "")).alias("content")).filter(stripped(F.col("content")) != "")
+    number = F.row_number().over(Window.partitionBy(*kept).orderBy("path")) - 1
+    return done.withColumn("part", number.cast("long")).drop("path")
+
+
+def detection_ways(documents: DataFrame, most: int = 100) -> Column:
+    """How a document's sections are found: slides and sheets by their own rules; others by a model up to `most` pages, beyond by headings."""
+    return F.when(F.col("filetype") == "pptx", "slides").when(F.col("filetype") == "xlsx", "sheets").when(F.col("page_count") <= most, "model").otherwise("headings")

@@ -8,24 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import char_tokens, column_letters, label_like, numeric, stripped, value_shape, value_type
+from quillspark.sources.scratch import discard, written
 
 # Parts of names that tell identifiers and measures.
-IDENTIFIER_NAME = r"(^|[_\s])(id|key|code|number|no|num|ref|identifier)([_\s]|$)|(key|id)$"
-MEASURE_NAME = r"amount|price|total|value|rate|ratio|balance|cost|revenue|sales|size|qty|quantity|percent|pct|margin|tax|discount"
+IDENTIFIER_PARTS = ("id", "identifier", "reference", "ref", "account", "acct", "code", "key", "number")
+MEASURE_PARTS = ("amount", "amt", "total", "balance", "revenue", "cost", "price", "value", "score", "rate", "count", "quantity", "qty", "percent", "pct")
 #: Distinct values up to which a distribution is listed; samples of a column.
 LISTED, SAMPLES = 20, 5
 
 
-def cells(rows: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Long form of some columns: row (from the order given), col, name, value as text.
-
-    The row number counts within the whole table, which is one sheet.
-    """
-    at = F.row_number().over(Window.orderBy(*order)).cast("long")
-    each = F.array(*[F.struct(F.lit(i + 1).alias("col"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
-    return rows.select(at.alias("row"), F.explode(each).alias("cell")).select("row", "cell.*")
-
-
 def unpivoted(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long form without row numbers: name, value as text; nothing is shuffled."""
     each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -52,12 +43,14 @@ def profile(values: DataFrame) -> DataFrame:
         (F.sum(F.when(F.col("kind") == "numeric", F.col("number") * F.col("n"))) / F.sum(F.when(F.col("kind") == "numeric", F.col("n")))).alias("mean"),
         F.min(F.when(F.col("kind") == "date", F.col("value"))).alias("min_date"),
         F.max(F.when(F.col("kind") == "date", F.col("value"))).alias("max_date"),
+        F.sum(F.when(F.col("kind") == "boolean", F.when(F.upper(stripped(F.col("value"))) == "TRUE", F.col("n")).otherwise(0))).alias("true_count"),
+        F.sum(F.when(F.col("kind") == "boolean", F.when(F.upper(stripped(F.col("value"))) == "FALSE", F.col("n")).otherwise(0))).alias("false_count"),
         F.min(F.when(real, F.col("size"))).cast("long").alias("min_length"),
         F.max(F.when(real, F.col("size"))).cast("long").alias("max_length"),
         (sum_if(real, F.col("size") * F.col("n")) / F.nullif(sum_if(real, F.col("n")), F.lit(0))).alias("avg_length"),
     )
     dtype = F.when(F.size("kinds") == 0, "text").when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).otherwise("mixed")
-    return agg.select("name", "row_count", "null_count", "unique_count", dtype.alias("dtype"), "min_number", "max_number", F.round("mean", 4).alias("mean"), "min_date", "max_date", "min_length", "max_length", F.round("avg_length", 1).alias("avg_length"))
+    return agg.select("name", "row_count", "null_count", "unique_count", dtype.alias("dtype"), "min_number", "max_number", F.round("mean", 4).alias("mean"), "min_date", "max_date", "true_count", "false_count", "min_length", "max_length", F.round("avg_length", 1).alias("avg_length"))
 
 
 def value_distribution(values: DataFrame) -> DataFrame:
@@ -69,17 +62,16 @@ def value_distribution(values: DataFrame) -> DataFrame:
 
 
 def column_roles(profiles: DataFrame) -> DataFrame:
-    """profiles with role: filter, identifier, measure or text_content."""
-    filled = F.col("row_count") - F.col("null_count")
-    share = F.col("unique_count") / F.nullif(filled, F.lit(0))
-    name = F.lower("name")
-    unique = (F.col("unique_count") >= F.greatest(F.lit(1), filled - 1)) | (share >= 0.8)
+    """profiles with role: filter, identifier, measure or text_content. Shares are of all rows, empty ones too."""
+    share = F.coalesce(F.try_divide("unique_count", "row_count"), F.lit(0.0))
+    has = lambda parts: F.lower("name").rlike("|".join(parts))
+    unique = (F.col("unique_count") >= F.greatest(F.lit(1), F.col("row_count") - 1)) | (share >= 0.8)
     role = (
         F.when(F.col("dtype").isin("date", "boolean"), "filter")
-        .when(name.rlike(IDENTIFIER_NAME) & unique, "identifier")
+        .when(has(IDENTIFIER_PARTS) & unique, "identifier")
         .when(F.col("dtype") == "numeric", "measure")
-        .when((F.col("unique_count") <= LISTED) & ((filled <= LISTED) | (share <= 0.35)), "filter")
-        .when(name.rlike(MEASURE_NAME) & (F.col("dtype") == "mixed"), "measure")
+        .when((F.col("unique_count") <= LISTED) & ((F.col("row_count") <= LISTED) | (share <= 0.35)), "filter")
+        .when(has(MEASURE_PARTS) & (F.col("dtype") == "mixed"), "measure")
         .otherwise("text_content")
     )
     return profiles.withColumn("role", role)
@@ -172,17 +164,33 @@ def bands(cells: DataFrame, by: list[str], axis: str, name: str) -> DataFrame:
     return cells.join(numbered, [*by, axis])
 
 
-def regions(cells: DataFrame, by: list[str], depth: int = 4) -> DataFrame:
-    """cells with region: sheets split at blank rows and columns, in turns. Each turn splits all sheets at once; `depth` turns settle nestings of that depth."""
-    split = cells.withColumn("region", F.lit(""))
-    for _ in range(depth):
+def regions(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells with region: sheets split at blank rows and columns, in turns, until nothing can be split. Each turn splits all sheets at once and is written."""
+    split, before = written(cells.withColumn("region", F.lit("")), "regions"), None
+    while before is None or split.select(*by, "region").distinct().count() > before.select(*by, "region").distinct().count():
+        if before is not None:
+            discard(before)
+        before = split
         for axis in ("row", "col"):
-            split = bands(split, [*by, "region"], axis, "band").withColumn("region", F.concat("region", F.lit("."), "band")).drop("band")
+            split = bands(split, [*by, "region"], axis, "band").withColumn("region", F.md5(F.concat_ws(".", "region", F.col("band").cast("string")).cast("binary"))).drop("band")
+        split = written(split, "regions")
     corner = split.groupBy(*by, "region").agg(F.min("row").alias("top"), F.min("col").alias("left"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("top", "left", "region")).cast("long")
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("top", "left")).cast("long")
     return split.join(corner.withColumn("number", number).select(*by, "region", "number"), [*by, "region"]).drop("region").withColumnRenamed("number", "region")
 
 
+def grid_stats(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Bounds and counts of a grid's filled cells: by..., min_row, max_row, min_col, max_col, n_cells, populated_rows, populated_cols, formula_cells, widest_row."""
+    filled = cells.filter(stripped(F.coalesce("value", F.lit(""))) != "")
+    of_row = filled.groupBy(*by, "row").agg(F.count("*").alias("width"), F.min("col").alias("first"), F.max("col").alias("last"), F.count_if(F.col("value").startswith("=")).alias("formulas"))
+    whole = of_row.groupBy(*by).agg(
+        F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("first").alias("min_col"), F.max("last").alias("max_col"), F.sum("width").alias("n_cells"),
+        F.count("*").alias("populated_rows"), F.sum("formulas").alias("formula_cells"), F.max("width").alias("widest_row"),
+    )
+    used = filled.select(*by, "col").distinct().groupBy(*by).agg(F.count("*").alias("populated_cols"))
+    return whole.join(used, by)
+
+
 def region_scores(cells: DataFrame, by: list[str]) -> DataFrame:
     """How much a region looks like a dense table (0 to 0.99), from the regularity of its rows, its fill, its shape and its texts. cells: by..., row, col, value."""
     filled = cells.filter(stripped(F.coalesce("value", F.lit(""))) != "")
@@ -196,6 +204,7 @@ def region_scores(cells: DataFrame, by: list[str]) -> DataFrame:
     long_text = F.when(length >= 80, 1.0).when(length <= 20, 0.0).otherwise((length - 20) / 60)
     n_rows, n_cols = F.col("max_row") - F.col("min_row") + 1, F.col("max_col") - F.col("min_col") + 1
     one = lambda x: F.least(F.lit(1.0), x)
+    # fixed values: the weights of a region's features and the score of a dense table
     score = (
         0.35 * regular
         + 0.25 * (F.col("n_cells") / (n_rows * n_cols))

@@ -11,14 +11,20 @@ from quillspark.plans.structure import LINES, lines
 from quillspark.sources.tables import table
 
 
+#: Keys of parts in one stored block of rows.
+BLOCK = 500
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region_id and raw_rows: a header row 0 and the parts of a brand."""
+    """region_id and raw_rows: a header row, and blocks of the parts of a brand."""
     part = table(spark, sf_dir, "part")
     names = ("Key", "Name", "Type", "Size")
     cell = lambda i, v: F.struct(F.lit(2 * i + 1).alias("column_number"), v.cast("string").alias("value"))
     row = F.struct(F.col("p_partkey").cast("int").alias("row_number"), F.array(*[cell(i, F.col(c)) for i, c in enumerate(("p_partkey", "p_name", "p_type", "p_size"))]).alias("cells"))
     head = F.struct(F.lit(-1).alias("row_number"), F.array(*[cell(i, F.lit(n)) for i, n in enumerate(names)]).alias("cells"))
-    return part.groupBy("p_brand").agg(F.collect_list(row).alias("rows")).select(F.col("p_brand").alias("region_id"), F.to_json(F.concat(F.array(head), "rows")).alias("raw_rows"))
+    blocks = part.groupBy("p_brand", F.floor(F.col("p_partkey") / BLOCK)).agg(F.collect_list(row).alias("rows")).select("p_brand", "rows")
+    heads = part.select("p_brand").distinct().select("p_brand", F.array(head).alias("rows"))
+    return blocks.unionByName(heads).select(F.col("p_brand").alias("region_id"), F.to_json("rows").alias("raw_rows"))
 
 
 def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +38,23 @@ def dense_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("position"), (F.length("p_name") % 9 + F.col("p_size") % 5 + 1).alias("tokens"))
+    columns = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("position"), (F.length("p_name") % 9 + F.col("p_size") % 5 + 1 + F.when(F.col("p_brand") == "Brand#12", 40).otherwise(0)).alias("tokens"))
     return dense.packed_columns(columns, ["p_brand"], 40)
 
 
 def column_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.described(table_plans.column_profile(spark, sf_dir).filter("dtype <> 'numeric'"))
+    values = table_plans.texts(spark, sf_dir)
+    return dense.described(table_plans.tables.profile(values), table_plans.tables.value_distribution(values), table_plans.pick_samples(spark, sf_dir))
+
+
+def suggested_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a page per supplier, whose table has some of four columns."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("title"))
+    made = [("measure", "balance", 2), ("filter", "nation", 3), ("identifier", "key", 5), ("text_content", "comment", 7)]
+    each = F.array(*[F.when(F.col("s_suppkey") % n == 0, F.struct(F.lit(n).alias("position"), F.lit(name).alias("name"), F.lit(role).alias("role"))) for role, name, n in made])
+    roles = supplier.select("s_suppkey", F.explode(F.array_compact(each)).alias("c")).select("s_suppkey", "c.*")
+    found = dense.suggested_queries(roles, supplier, ["s_suppkey"])
+    return found.select("s_suppkey", F.array_join("queries", "; ").alias("queries"))
 
 
 def batch_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +92,12 @@ def breakpoint_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bullet_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.format_string("Figures\n- Order total: **$%d**\n* Open share\n  - %d%%\n- Total: %d\n- note\n  - words", F.floor("o_totalprice").cast("long"), F.col("o_custkey") % 100, F.col("o_custkey"))
+    made = F.format_string("Figures\n- Order total\n  - Trend: up\n  - Value: $%d\n  - Value: $1\n- Open share shown\n  - Value: %d%%\n- Total: %d\n  - Value: 3%%\n- note\n  - words", F.floor("o_totalprice").cast("long"), F.col("o_custkey") % 100, F.col("o_custkey"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", made.alias("text")).groupBy("o_orderkey").agg(F.min("text").alias("text"))
     return extraction.bullet_metrics(orders, ["o_orderkey"], "text")
 
 
-QUERIES = {f.__name__: f for f in (dense_cells, dense_research, column_packing, column_descriptions, batch_descriptions, routes, sheet_sections, structure_types, breakpoint_parts, bullet_metrics)}
+QUERIES = {f.__name__: f for f in (dense_cells, dense_research, column_packing, column_descriptions, suggested_queries, batch_descriptions, routes, sheet_sections, structure_types, breakpoint_parts, bullet_metrics)}
 
 SQL = {
     "dense_cells": """
@@ -94,20 +111,39 @@ m AS (SELECT region_id, greatest(avg(tokens), 1) AS mean FROM n WHERE i <= 10 GR
 SELECT region_id, (i - 1) // greatest(1, floor(50 / mean))::BIGINT AS batch, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY i) AS content
 FROM n JOIN m USING (region_id) GROUP BY ALL""",
     "column_packing": """
-WITH RECURSIVE c AS (SELECT p_brand, p_partkey AS position, length(p_name) % 9 + p_size % 5 + 1 AS tokens, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+WITH RECURSIVE c AS (
+  SELECT p_brand, p_partkey AS position, length(p_name) % 9 + p_size % 5 + 1 + CASE WHEN p_brand = 'Brand#12' THEN 40 ELSE 0 END AS tokens, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
 w AS (
   SELECT p_brand, position, i, 0::BIGINT AS batch, tokens AS used FROM c WHERE i = 1
   UNION ALL SELECT c.p_brand, c.position, c.i, CASE WHEN w.used + c.tokens <= 40 THEN w.batch ELSE w.batch + 1 END, CASE WHEN w.used + c.tokens <= 40 THEN w.used + c.tokens ELSE c.tokens END
   FROM w JOIN c ON c.p_brand = w.p_brand AND c.i = w.i + 1)
-SELECT p_brand, position, batch FROM w""",
-    "column_descriptions": f"WITH {table_plans.PROFILE} SELECT name, unique_count || ' distinct values of type ' || dtype AS description FROM profiles WHERE dtype <> 'numeric'",
+SELECT p_brand, position, CASE WHEN p_brand <> 'Brand#12' THEN batch END AS batch FROM w""",
+    "column_descriptions": f"""WITH {table_plans.PROFILE},
+d AS (
+  SELECT name, string_agg(value, ', ' ORDER BY rank) AS listed FROM (
+    SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY name) AS many
+    FROM (SELECT name, value, count(*) AS n FROM values_of WHERE trim(value) <> '' GROUP BY ALL)) WHERE many <= 20 AND rank <= 5 GROUP BY 1),
+s AS (
+  SELECT name, string_agg(value, ', ' ORDER BY r) AS samples FROM (
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY r) AS i FROM (
+      SELECT name, value, min(r) AS r FROM (UNPIVOT (SELECT p_partkey AS r, p_name, p_brand, p_type, p_size::VARCHAR AS p_size FROM part) ON p_name, p_brand, p_type, p_size INTO NAME name VALUE value) GROUP BY ALL)) WHERE i <= 3 GROUP BY 1)
+SELECT name, name || CASE dtype WHEN 'numeric' THEN ' contains numeric values ranging from ' || min_number || ' to ' || max_number || '.' WHEN 'boolean' THEN ' contains boolean values with ' || true_count || ' true and ' || false_count || ' false entries.'
+  ELSE CASE WHEN listed IS NOT NULL THEN ' contains categorical values such as ' || listed || '.' WHEN samples IS NOT NULL THEN ' contains text values such as ' || samples || '.' ELSE ' contains ' || dtype || ' values.' END END AS description
+FROM profiles LEFT JOIN d USING (name) LEFT JOIN s USING (name)""",
+    "suggested_queries": """
+WITH q AS (SELECT s_suppkey, s_name AS t, s_suppkey % 2 = 0 AS m, s_suppkey % 3 = 0 AS f, s_suppkey % 5 = 0 AS i, s_suppkey % 7 = 0 AS x FROM supplier),
+a AS (SELECT s_suppkey, t, list_filter([CASE WHEN m AND f THEN 'What is the total balance by nation?' END, CASE WHEN m THEN 'What is the average balance in ' || t || '?' END,
+  CASE WHEN f THEN 'How many rows fall into each nation category?' END, CASE WHEN i AND m THEN 'Which key values have the highest balance?' END, CASE WHEN x THEN 'What details are recorded in comment?' END,
+  CASE WHEN NOT (m OR f OR x) THEN 'What records are included in ' || t || '?' END], lambda z: z IS NOT NULL) AS qs FROM q),
+p AS (SELECT s_suppkey, list_concat(qs, list_transform(range(greatest(0, 3 - len(qs))), lambda z: 'What does the ' || t || ' dataset contain?')) AS qs FROM a)
+SELECT s_suppkey, array_to_string(qs[1:5], '; ') AS queries FROM p""",
     "batch_descriptions": """
 SELECT user_id, event_id % 7 AS position, arg_max(event_type || '-' || event_id, event_id) AS description FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2""",
     "routes": """
 SELECT p_size, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS region_ids, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS filter_columns, 'p_retailprice' AS measure_columns FROM part GROUP BY 1""",
     "sheet_sections": f"""WITH {LINES},
 s AS (SELECT doc_id, page, content[1:5] AS title, list_filter(string_split(content, ' ')[1:3], lambda w: regexp_matches(w, '^[A-Z]')) AS ts FROM lines)
-SELECT doc_id, page, page AS section, title, 0 AS subsection, '' AS subsection_title FROM s WHERE len(ts) = 0
+SELECT doc_id, page, page AS section, title, 1 AS subsection, title AS subsection_title FROM s WHERE len(ts) = 0
 UNION ALL SELECT doc_id, page, page, title, unnest(range(1, len(ts) + 1)), unnest(ts) FROM s WHERE len(ts) > 0""",
     "structure_types": """
 WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'chapters' WHEN 1 THEN 'semantic' ELSE 'topic_based' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS sure FROM documents)
@@ -117,7 +153,7 @@ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'slides' WHEN doc_id % 5 = 1 THEN '
 p AS (SELECT *, sum(CASE WHEN page > 1 AND page IN (doc_id % 4, 6) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page)::BIGINT AS part FROM lines)
 SELECT doc_id, part, md5(string_agg(content, chr(10) ORDER BY page)) AS content_md5 FROM p GROUP BY doc_id, part""",
     "bullet_metrics": """
-WITH o AS (SELECT o_orderkey, min(printf('%d/%d', floor(o_totalprice)::BIGINT, o_custkey % 100)) AS k, min(printf('Figures\\n- Order total: **$%d**\\n* Open share\\n  - %d%%\\n- Total: %d', floor(o_totalprice)::BIGINT, o_custkey % 100, o_custkey)) AS t FROM orders GROUP BY 1)
-SELECT o_orderkey, 2 AS line_number, 'Order total' AS label, regexp_extract(t, '([$]\\d+)', 1) AS value FROM o
-UNION ALL SELECT o_orderkey, 4, 'Open share', regexp_extract(t, '(\\d+%)', 1) FROM o""",
+WITH o AS (SELECT o_orderkey, min(floor(o_totalprice)::BIGINT) AS t, min(o_custkey) AS c FROM orders GROUP BY 1)
+SELECT o_orderkey, 'Order total' AS label, '$' || t AS value FROM o
+UNION ALL SELECT o_orderkey, 'Open share', c % 100 || '%' FROM o""",
 }

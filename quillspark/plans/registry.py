@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import catalog, dense, research, retrieval, structure, tables
+from quillspark.plans import catalog, dense, research, retrieval, sheets, sources, structure, summaries, tables
 
-MODULES = (catalog, retrieval, structure, tables, dense, research)
+MODULES = (catalog, retrieval, structure, tables, dense, research, sources, sheets, summaries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

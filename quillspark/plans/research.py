@@ -15,11 +15,10 @@ from quillspark.sources.tables import table
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One decision for each document of a source: proposed statuses by rule, some bad, some doubled, some for documents that aren't there."""
     docs = table(spark, sf_dir, "documents")
-    batch = docs.select("source", (F.col("doc_id") % 1000).alias("document_index"), F.col("doc_id").alias("document_id"))
+    batch = docs.select("source", F.col("doc_id").alias("document_index"), F.col("doc_id").alias("document_id"))
     status = F.when(F.col("doc_id") % 5 == 0, "answered").when(F.col("doc_id") % 5 == 1, "irrelevant").when(F.col("doc_id") % 5 == 2, "unsure").otherwise("needs_deep_research")
-    made = docs.filter("doc_id % 7 <> 3").select("source", (F.col("doc_id") % 1000 + F.when(F.col("doc_id") % 13 == 0, 100000).otherwise(0)).alias("document_index"), status.alias("status"), F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("fact "), F.col("doc_id").cast("string"))).alias("finding"), (F.col("doc_id") % 9).alias("page"), F.lit(1).alias("at"))
+    made = docs.filter("doc_id % 7 <> 3").select("source", (F.col("doc_id") * F.when(F.col("doc_id") % 13 == 0, -1).otherwise(1)).alias("document_index"), status.alias("status"), F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("fact "), F.col("doc_id").cast("string"))).alias("finding"), (F.col("doc_id") % 9).alias("page"), F.lit(1).alias("at"))
     again = made.filter("document_index % 4 = 0").withColumn("status", F.lit("answered")).withColumn("at", F.lit(2))
-    batch = batch.join(batch.groupBy("source", "document_index").count().filter("count = 1").drop("count"), ["source", "document_index"], "left_semi")
     return findings.validated(batch, made.unionByName(again), ["source"])
 
 
@@ -34,7 +33,7 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = docs.join(labels, "doc_id").select("doc_id", F.col("source").alias("data_source"), F.concat(F.lit("doc "), (F.col("doc_id") % 50).cast("string")).alias("document_name"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 9 + 1).alias("page"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("finding"))
-    return findings.numbered(rows, "data_source", ["document_name", F.col("page").asc_nulls_first(), "doc_id"])
+    return findings.numbered(rows, ["data_source", "document_name", F.col("page").asc_nulls_first(), "doc_id"])
 
 
 def findings_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +54,11 @@ def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns with a marker in the middle and one at the end, written in several ways."""
+    """Whole conversation turns with markers before and after them, written in several ways."""
     rows = table(spark, sf_dir, "conversations")
     n = F.col("turn") + 1
     style = F.when(F.col("conv_id") % 3 == 0, F.format_string("[REF:%d,%d-%d]", n, n + 2, n + 4)).when(F.col("conv_id") % 3 == 1, F.format_string("[ref: %d-%d]", n + 2, n)).otherwise(F.format_string("[REF:%d]", n))
-    return rows.select("conv_id", "turn", F.concat(F.left("text", F.lit(20)), style, F.lit(" and "), F.lit("[REF:2, 7]"), F.lit(".")).alias("text"))
+    return rows.select("conv_id", "turn", F.concat(style, F.lit(" "), F.col("text"), style, F.lit(" and "), F.lit("[REF:2, 7]"), F.lit(".")).alias("text"))
 
 
 def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,22 +135,25 @@ def date_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics in sentences made of orders."""
-    made = F.format_string("Order total: $%d; Units shipped at %d, Margin rate = %d%%\nTotal: %d; Employees: %d", F.floor("o_totalprice").cast("long"), F.col("o_orderkey") % 50, F.col("o_custkey") % 100, F.col("o_custkey"), F.col("o_orderkey") % 1000)
-    return extraction.text_metrics(table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 1").select("o_orderkey", made.alias("text")).groupBy("o_orderkey").agg(F.min("text").alias("text")), ["o_orderkey"], "text")
+    """Metrics in sentences made of orders, among pairs that are none."""
+    made = F.format_string(
+        "order total: $%d; Complaint cases at %d, Margin rate = %d%%.\nTotal: %d; Employees: %d; Base: $5; Total orders reported: %d\n- Spread (net) at %d bps; Row count: 3; Prices: $1,2,3; Cost: €%d,123 mm;; order total: $%d",
+        F.floor("o_totalprice").cast("long"), F.col("o_orderkey") % 50, F.col("o_custkey") % 100, F.col("o_custkey"), F.col("o_orderkey") % 1000, F.col("o_orderkey"), F.col("o_orderkey") % 70, F.col("o_orderkey") % 90 + 1, F.col("o_custkey"),
+    )
+    return extraction.text_metrics(table(spark, sf_dir, "orders").select("o_orderkey", made.alias("text")).groupBy("o_orderkey").agg(F.min("text").alias("text")), ["o_orderkey"], "text")
 
 
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six space-separated strings of a line as its keywords."""
-    pages = lines(spark, sf_dir).withColumn("keywords", F.slice(F.split("content", " ", -1), 1, 6))
+    """The space-separated strings of a line as its keywords."""
+    pages = lines(spark, sf_dir).withColumn("keywords", F.split("content", " ", -1))
     return extraction.keyword_rows(pages, ["doc_id"])
 
 
 DECISIONS = """
 batch AS (
-  SELECT source, doc_id % 1000 AS document_index, doc_id AS document_id FROM documents QUALIFY count(*) OVER (PARTITION BY source, doc_id % 1000) = 1),
+  SELECT source, doc_id AS document_index, doc_id AS document_id FROM documents),
 made AS (
-  SELECT source, doc_id % 1000 + CASE WHEN doc_id % 13 = 0 THEN 100000 ELSE 0 END AS document_index,
+  SELECT source, doc_id * CASE WHEN doc_id % 13 = 0 THEN -1 ELSE 1 END AS document_index,
     CASE doc_id % 5 WHEN 0 THEN 'answered' WHEN 1 THEN 'irrelevant' WHEN 2 THEN 'unsure' ELSE 'needs_deep_research' END AS status,
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'fact ' || doc_id END AS finding, doc_id % 9 AS page FROM documents WHERE doc_id % 7 <> 3),
 joined AS (
@@ -167,7 +169,7 @@ rows_of AS (
 indexed AS (SELECT *, row_number() OVER (ORDER BY data_source, document_name, page NULLS FIRST, doc_id) AS ref_id FROM rows_of)"""
 CITED = """
 texts AS (
-  SELECT conv_id, turn, text[1:20] AS head, CASE conv_id % 3 WHEN 0 THEN [turn + 1, turn + 3, turn + 4, turn + 5] WHEN 1 THEN [turn + 1, turn + 2, turn + 3] ELSE [turn + 1] END AS first
+  SELECT conv_id, turn, text AS body, CASE conv_id % 3 WHEN 0 THEN [turn + 1, turn + 3, turn + 4, turn + 5] WHEN 1 THEN [turn + 1, turn + 2, turn + 3] ELSE [turn + 1] END AS first
   FROM conversations)"""
 LOG = """
 log AS (
@@ -191,14 +193,15 @@ FROM decisions GROUP BY source""",
     "findings_indexed": f"WITH {INDEXED} SELECT ref_id, doc_id, data_source, document_name, page FROM indexed",
     "findings_text": f"""WITH {INDEXED},
 l AS (SELECT data_source, document_name, string_agg(CASE WHEN page IS NULL THEN '' ELSE '**Page ' || page || ':** ' END || finding || ' [REF:' || ref_id || ']', chr(10) ORDER BY coalesce(page, 0), ref_id) AS body FROM indexed GROUP BY ALL)
-SELECT data_source, string_agg('## ' || document_name || chr(10) || body, chr(10) || chr(10) ORDER BY document_name) AS text FROM l GROUP BY 1""",
+SELECT data_source, document_name, '## ' || document_name || chr(10) || body AS text FROM l""",
     "status_summary": f"""WITH {INDEXED}
 SELECT data_source, count(*) AS n_findings, count(DISTINCT document_name) AS n_documents, count(DISTINCT CASE WHEN page IS NOT NULL THEN document_name || '/' || page END) AS n_pages FROM indexed GROUP BY 1""",
     "reference_links": f"""WITH {INDEXED}
 SELECT ref_id, CASE WHEN page IS NULL THEN '[' || document_name || '.pdf](/files/' || doc_id || ')' ELSE '[' || document_name || '.pdf, Pg. ' || page || '](/files/' || doc_id || '#page=' || page || ')' END AS link FROM indexed""",
-    "citation_parse": f"WITH {CITED} SELECT conv_id, turn, array_to_string(list_concat(first, [2, 7]), ',') AS cited FROM texts",
+    "citation_parse": f"WITH {CITED} SELECT conv_id, turn, array_to_string(list_concat(first, first, [2, 7]), ',') AS cited FROM texts",
     "citation_replace": f"""WITH {CITED}
-SELECT conv_id, turn, head || array_to_string(list_transform(list_filter(first, lambda n: n <= 6), lambda n: '<' || n || '>'), ' ') || ' and <2>.' AS text FROM texts""",
+SELECT conv_id, turn, links || ' ' || body || links || ' and <2>.' AS text
+FROM (SELECT *, array_to_string(list_transform(list_filter(first, lambda n: n <= 6), lambda n: '<' || n || '>'), ' ') AS links FROM texts)""",
     "distinct_filters": """
 WITH v AS (SELECT source, 'lang' AS level, lang AS value FROM documents UNION ALL SELECT source, 'filter_2', CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 4)::VARCHAR END FROM documents)
 SELECT source, level, array_to_string(list_sort(list(DISTINCT value)), ',') AS "values" FROM v WHERE value <> '' GROUP BY ALL""",
@@ -220,13 +223,15 @@ SELECT conv_id, turn, role, md5(text) AS text_md5, everything - least(n, 3) AS d
 SELECT year(o_orderdate) + (month(o_orderdate) >= 11)::INT AS fiscal_year, (month(o_orderdate) + 1) % 12 // 3 + 1 AS fiscal_quarter, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2""",
     "date_extraction": f"WITH {DATED} SELECT doc_id, arg_min(date, page) AS date FROM found WHERE date IS NOT NULL GROUP BY doc_id",
     "text_metrics": """
-WITH o AS (SELECT o_orderkey, min(printf('Order total: $%d; Units shipped at %d, Margin rate = %d%%' || chr(10) || 'Total: %d; Employees: %d', floor(o_totalprice)::BIGINT, o_orderkey % 50, o_custkey % 100, o_custkey, o_orderkey % 1000)) AS t FROM orders WHERE o_orderkey % 10 = 1 GROUP BY 1)
-SELECT o_orderkey, 'Order total' AS label, regexp_extract(t, 'total: ([$]\\d+)', 1) AS value FROM o
-UNION ALL SELECT o_orderkey, 'Units shipped', regexp_extract(t, 'at (\\d+),', 1) FROM o
-UNION ALL SELECT o_orderkey, 'Margin rate', regexp_extract(t, '= (\\d+%)', 1) FROM o
-UNION ALL SELECT o_orderkey, 'Employees', regexp_extract(t, 'Employees: (\\d+)', 1) FROM o""",
+WITH o AS (SELECT o_orderkey, min(o_custkey) AS c, count(*) AS n FROM orders GROUP BY 1)
+SELECT o_orderkey, 'Order total' AS label, '$' || c AS value FROM o
+UNION ALL SELECT o_orderkey, 'Complaint cases', (o_orderkey % 50)::VARCHAR FROM o
+UNION ALL SELECT o_orderkey, 'Margin rate', c % 100 || '%' FROM o
+UNION ALL SELECT o_orderkey, 'Total orders', o_orderkey::VARCHAR FROM o
+UNION ALL SELECT o_orderkey, 'Spread (net)', o_orderkey % 70 || ' bps' FROM o
+UNION ALL SELECT o_orderkey, 'Cost', '€' || (o_orderkey % 90 + 1) || ',123 mm' FROM o""",
     "keyword_rows": f"""WITH {LINES},
-k AS (SELECT doc_id, page, unnest(string_split(content, ' ')[1:6]) AS keyword, unnest(range(1, len(string_split(content, ' ')[1:6]) + 1)) AS i FROM lines),
+k AS (SELECT doc_id, page, unnest(string_split(content, ' ')) AS keyword, unnest(range(1, len(string_split(content, ' ')) + 1)) AS i FROM lines),
 f AS (SELECT doc_id, page, keyword, min(i) AS i FROM k WHERE keyword <> '' GROUP BY ALL)
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS "at", keyword FROM f""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine
-from quillspark.operators import retrieval
+from quillspark.operators import findings, retrieval
 from quillspark.plans.structure import LINES, lines
 from quillspark.sources.tables import table
 
@@ -31,7 +31,7 @@ def rank_documents_with_chunk_count(spark: SparkSession, sf_dir: str) -> DataFra
     """Documents (labels) by their best chunk, with their number of chunks."""
     rows = scored(spark, sf_dir)
     per = rows.groupBy("label").agg(F.max("score").alias("best"), F.count("*").alias("n_chunks"))
-    return per.withColumn("document_index", F.row_number().over(Window.orderBy(F.desc("best"), "label")).cast("long"))
+    return findings.numbered(per, [F.desc("best"), "label"], "document_index")
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:

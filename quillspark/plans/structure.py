@@ -150,11 +150,11 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cut) - 1 AS part,
     "degradation_signals": f"""WITH {LINES},
 p AS (SELECT doc_id, count(*) AS page_count, avg(CASE WHEN length(content) < 40 THEN 1.0 ELSE 0.0 END) AS share FROM lines GROUP BY doc_id),
 s AS (SELECT d.doc_id, list_filter([
-    CASE WHEN d.doc_id % 6 = 0 OR coalesce(trim(lang), '') = '' THEN 'empty_title' END,
-    CASE WHEN page_count > 5 AND n_chars % 2 = 0 THEN 'default_structure' END,
-    CASE WHEN quality IS NULL THEN 'no_summary_embedding' END,
-    CASE WHEN toxic = 1 THEN 'fallback_description' END,
-    CASE WHEN share > 0.5 THEN 'fallback_sections' END], lambda x: x IS NOT NULL) AS signals
+    CASE WHEN d.doc_id % 6 = 0 OR coalesce(trim(lang), '') = '' THEN 'empty metadata' END,
+    CASE WHEN page_count > 5 AND n_chars % 2 = 0 THEN 'default structure classification' END,
+    CASE WHEN quality IS NULL THEN 'missing summary embedding' END,
+    CASE WHEN toxic = 1 THEN 'fallback document description' END,
+    CASE WHEN share > 0.5 THEN 'empty section summaries' END], lambda x: x IS NOT NULL) AS signals
   FROM documents d LEFT JOIN labels USING (doc_id) JOIN p USING (doc_id))
 SELECT doc_id, array_to_string(signals, ',') AS signals, len(signals) >= 3 AS failed FROM s""",
 }

@@ -62,7 +62,9 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.json(f"{root}/manifest").agg(F.max("version")).first()[0]
+    # versions are compared by their numbers, so 10 comes after 9; then as text
+    parts = F.transform(F.regexp_extract_all("version", F.lit(r"\d+"), 0), lambda n: n.cast("decimal(38,0)"))
+    return spark.read.schema("version string").json(f"{root}/manifest").agg(F.max(F.struct(parts.alias("parts"), "version")).alias("newest")).select("newest.version").first()[0]
 
 
 def read_current(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:

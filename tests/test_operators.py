@@ -165,7 +165,7 @@ def test_header_mode(spark):
 def test_regions_and_scores(spark):
     cells = [("s", r, c, f"v{r}{c}") for r in (1, 2, 3) for c in (1, 2)] + [("s", r, c, "w") for r in (5, 6) for c in (1, 2, 4, 5)]
     df = spark.createDataFrame(cells, "sheet string, row long, col long, value string")
-    found = tables.regions(df, ["sheet"], depth=2)
+    found = tables.regions(df, ["sheet"])
     sizes = sorted((r["region"], r["count"]) for r in found.groupBy("region").count().collect())
     assert sizes == [(1, 6), (2, 4), (3, 4)]
     scores = {r.region: r for r in tables.region_scores(found, ["sheet", "region"]).collect()}
@@ -186,12 +186,18 @@ def test_markdown(spark):
 
 
 def test_metrics(spark):
-    docs = spark.createDataFrame([(1, "CET1 ratio at 13.4%; Revenue: $1,234; Total: 5; Count 1: 2,3,4; Employees: 12\n- net income of = $3 million")], "id int, text string")
-    found = {r.label: r.value for r in extraction.text_metrics(docs, ["id"], "text").collect()}
-    assert found == {"CET1 ratio": "13.4%", "Revenue": "$1,234", "Employees": "12", "Net income": "$3 million"}
-    cells = [(1, 1, 1, "Metric"), (1, 1, 2, "Value"), (1, 2, 1, "Profit"), (1, 2, 2, "$5")]
-    pairs = extraction.table_metrics(spark.createDataFrame(cells, "id int, row long, col long, value string"), ["id"]).collect()
-    assert [(r.label, r.value) for r in pairs] == [("Profit", "$5")]
+    said = "CET1 ratio at 13.4%; Revenue: $1,234; Total: 5; Count 1: 2,3,4; Incident count: 12; Employees: 12\n- net income reported = $3 mm; Row height: 4 pt; net income: €5; Base: 3%; Total assets: 7, Open Cases at 3"
+    found = {r.label: r.value for r in extraction.text_metrics(spark.createDataFrame([(1, said)], "id int, text string"), ["id"], "text").collect()}
+    assert found == {"CET1 ratio": "13.4%", "Revenue": "$1,234", "Incident count": "12", "Net income": "€5", "Total assets": "7", "Open Cases": "3"}
+    cells = [(1, 1, 1, "Notes"), (1, 2, 1, "Metric"), (1, 2, 3, "Current value"), (1, 3, 1, "Profit"), (1, 3, 3, "$5."), (1, 4, 1, "Narrative note 1"), (1, 4, 3, "$6"), (1, 5, 1, "Sheet name"), (1, 5, 3, "$7"), (1, 6, 1, "Profit measured"), (1, 6, 3, "$8")]
+    df = spark.createDataFrame(cells, "id int, row long, col long, value string")
+    assert [(r.label, r.value) for r in extraction.region_metrics(df, ["id"]).collect()] == [("Profit", "$8")]
+    assert extraction.region_metrics(df, ["id"], search=1).count() == 0
+    other = spark.createDataFrame([(1, "Profit", "$9"), (2, "Loss", "$1")], "id int, label string, value string")
+    merged = extraction.merged_metrics([extraction.region_metrics(df, ["id"]), other], ["id"])
+    assert sorted((r.id, r.label, r.value) for r in merged.collect()) == [(1, "Profit", "$9"), (2, "Loss", "$1")]
+    assert one(spark, extraction.looks_like_sequence(F.col("v")), "$1,234") is False
+    assert one(spark, extraction.looks_like_sequence(F.col("v"), strict=True), "$1,234") is True
 
 
 def test_decisions(spark):
@@ -204,7 +210,7 @@ def test_decisions(spark):
 
 def test_numbering_is_consecutive(spark):
     rows = spark.createDataFrame([("b", 2), ("a", 9), (None, 1), ("b", 1)], "part string, x long")
-    assert [(r.ref_id, r.part, r.x) for r in findings.numbered(rows, "part", ["x"]).orderBy("ref_id").collect()] == [(1, None, 1), (2, "a", 9), (3, "b", 1), (4, "b", 2)]
+    assert [(r.ref_id, r.part, r.x) for r in findings.numbered(rows, ["part", "x"]).orderBy("ref_id").collect()] == [(1, None, 1), (2, "a", 9), (3, "b", 1), (4, "b", 2)]
 
 
 def test_history_and_versions(spark):
@@ -232,6 +238,9 @@ def test_flatten_and_store(spark, tmp_path):
     store.publish(spark, {"documents": made["documents"]}, root, "001")
     store.publish(spark, {"documents": made["documents"].limit(0)}, root, "002")
     assert store.current_version(spark, root) == "002"
+    store.publish(spark, {"documents": made["documents"]}, str(tmp_path / "other"), "9")
+    store.publish(spark, {"documents": made["documents"]}, str(tmp_path / "other"), "10")
+    assert store.current_version(spark, str(tmp_path / "other")) == "10"
     assert store.read_current(spark, root, "documents", made["documents"].schema).count() == 0
 
 
