@@ -7,8 +7,11 @@ a whole: the article or main elements that have content lines, or else the inner
 the elements found in the same way there, until no content line is left out. So short lines of an article stay, and nothing is capped. Lines that are
 mostly links are left out of a page without such elements, unless they are headings or paragraphs.
 
-Furniture are elements that are so by name, by role or by a word of their class or id, and elements that are hidden. Headings and paragraphs are not
-furniture by their class or id, and in an article or main element the word header makes none.
+Furniture are elements that are so by name, and elements that are hidden. Headers, footers, asides, forms, and elements with a telling role, or class or id (a word of it,
+but not in names such as with-sidebar or has-header) are furniture unless they wrap the page: unless they hold half of its text and an article or main element, or
+(but for header, footer and aside elements) WHOLE of its text with a line of prose.
+Headings and paragraphs are not furniture by their class or id, and in an article or main element the word header makes none. A byline is text of the article, and so is
+a list of links in it.
 
 Defined results: a null or empty page has the empty text; a page without main text too; unclosed and stray tags are tolerated; text after an
 unclosed script is script. Other columns are carried along by `extracted`, but for a text, which the new one replaces.
@@ -31,9 +34,14 @@ from quillspark.llm.text import pieces
 # Names of HTML elements, and words that mark furniture in roles, classes and ids.
 BLOCKS = set("address article aside blockquote body br canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul video audio object iframe svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = set("head script style noscript template nav header footer aside form button select textarea option svg canvas iframe object video audio dialog menu".split())
+FURNITURE = set("head script style noscript template nav button select textarea option svg canvas iframe object video audio dialog menu".split())
+EDGES = set("header footer aside".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-MARKS = set("ad ads adbox adslot adunit advert adverts advertisement advertising alert banner billboard breadcrumb breadcrumbs byline captcha comment comments commentlist commentary consent cookie cookies copyright dialog disclaimer disqus footer gdpr header login masthead menu metadata modal nav navbar navigation navi newsletter notice notification overlay pager pagination popup promo promoted promotion recommended recommendations related reply replies respond responses search share sharing shares sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription tagcloud tags teaser toc toolbar tracking widget widgets".split())
+MARKS = set("ad ads adbox adslot adunit advert adverts advertisement advertising alert banner billboard breadcrumb breadcrumbs captcha comment comments commentlist commentary consent cookie cookies copyright dialog disclaimer discussion discussions disqus footer gdpr header login masthead menu modal nav navbar navigation navi newsletter notice notification overlay pager pagination popup promo promoted promotion recommended recommendations related reply replies respond responses search share sharing shares sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription tagcloud tags teaser thread threads toc toolbar tracking widget widgets".split())
+#: First words of names that tell what a page has, not what an element is.
+MODIFIERS = set("with has no without is not show hide".split())
+#: Words that mark an article element as none of the page's own.
+ARTICLE_MARKS = set("comment comments reply ad promo teaser related".split())
 #: Elements whose class or id says nothing of their use, and whose text stays though it's linked.
 PROSE = set("h1 h2 h3 h4 h5 h6 p".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -41,53 +49,77 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PORTION = 1 << 16
 #: Of the Gaussian, in lines; share of the content that the region of a page without an article must hold; share of linked text that makes a menu.
 SIGMA, SHARE, LINKED = 1.5, 0.8, 0.5
+#: Share of a page's text that an element holds which wraps the page, and which wraps it if it has an article inside.
+WHOLE, HALF = 0.9, 0.5
+#: Characters of a line that is prose for sure.
+LONG = 80
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "furniture", "around", "prose")
+    __slots__ = ("text", "tags", "linked", "hidden", "maybe", "around", "prose")
 
-    def __init__(self, text: str, tags: int, linked: int, furniture: bool, around: tuple[int, ...], prose: bool) -> None:
-        self.text, self.tags, self.linked, self.furniture, self.around, self.prose = text, tags, linked, furniture, around, prose
+    def __init__(self, text: str, tags: int, linked: int, hidden: bool, maybe: tuple[int, ...], around: tuple[int, ...], prose: bool) -> None:
+        self.text, self.tags, self.linked, self.hidden, self.maybe, self.around, self.prose = text, tags, linked, hidden, maybe, around, prose
 
+    @property
+    def mass(self) -> int:
+        """Characters of text, if it isn't a menu's."""
+        return 0 if self.hidden or self.linked > LINKED * len(self.text) else len(self.text)
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]], marks: set[str] = MARKS) -> bool:
+
+def names_furniture(value: str, marks: set[str]) -> bool:
+    """Whether a class or id has a telling word; in a name that begins with a modifier no word tells."""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and (len(words) == 1 or words[0] not in MODIFIERS) and any(w in marks for w in words):
+            return True
+    return False
+
+
+def furniture_of(tag: str, attrs: list[tuple[str, str | None]], marks: set[str] = MARKS) -> int:
+    """2: an element is furniture; 1: it is unless it wraps the page; 0: it isn't."""
     if tag in FURNITURE:
-        return True
+        return 2
+    found = int(tag in EDGES or tag == "form")
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
+            return 2
         if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and tag not in PROSE and any(w.lower() in marks for w in _WORDS.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and {"comment", "comments", "reply", "ad", "promo", "teaser", "related"} & {w.lower() for w in _WORDS.findall(value)}:
-            return True
-    return False
+            found = 1
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and tag not in PROSE and names_furniture(value, marks):
+            found = 1
+        if name in ("class", "id") and tag == "article" and names_furniture(value, ARTICLE_MARKS):
+            found = 1
+    return found
 
 
 class Lines(HTMLParser):
-    """Events to lines. Open elements are (tag, number, whether they are furniture)."""
+    """Events to lines. Open elements are (tag, number, how far they are furniture)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool]] = []
-        self.main: set[int] = set()
+        self.open: list[tuple[str, int, int]] = []
+        self.edges: set[int] = set()
+        self.main: dict[int, tuple[int, ...]] = {}  # article and main elements, and what around them may be furniture
         self.count = self.tags = self.linked = self.links = self.hidden = 0
         self.parts: list[str] = []
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.hidden > 0, tuple(n for _, n, _ in self.open), any(t in PROSE for t, _, _ in self.open)))
+            self.lines.append(Line(text, self.tags, self.linked, self.hidden > 0, self.maybe(), tuple(n for _, n, _ in self.open), any(t in PROSE for t, _, _ in self.open)))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def maybe(self) -> tuple[int, ...]:
+        return tuple(n for _, n, furniture in self.open if furniture == 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # the heading block of an article is part of it
-        furniture = is_furniture(tag, attrs)
-        if furniture and any(t in ("article", "main") for t, _, _ in self.open):
-            furniture = tag != "header" and is_furniture(tag, attrs, MARKS - {"header"})
+        furniture = furniture_of(tag, attrs)
+        if furniture == 1 and any(t in ("article", "main") for t, _, _ in self.open):
+            furniture = 0 if tag == "header" else furniture_of(tag, attrs, MARKS - {"header"})
         if tag in BLOCKS or furniture:
             self.cut()
         self.tags += 1
@@ -101,10 +133,12 @@ class Lines(HTMLParser):
             self.close_open("head", {"html"})
         self.count += 1
         self.open.append((tag, self.count, furniture))
-        self.hidden += furniture
+        self.hidden += furniture == 2
         self.links += tag == "a"
+        if tag in EDGES:
+            self.edges.add(self.count)
         if tag in ("article", "main") and not furniture:
-            self.main.add(self.count)
+            self.main[self.count] = self.maybe()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -124,7 +158,7 @@ class Lines(HTMLParser):
         if any(furniture for _, _, furniture in self.open[at:]):
             self.cut()
         for tag, _, furniture in self.open[at:]:
-            self.hidden -= furniture
+            self.hidden -= furniture == 2
             self.links -= tag == "a"
         del self.open[at:]
 
@@ -144,12 +178,25 @@ class Lines(HTMLParser):
 
 
 def lines_of(html: str) -> tuple[list[Line], set[int]]:
+    """The lines of a page that aren't furniture, and its article and main elements."""
     parser = Lines()
     for i in range(0, len(html), PORTION):
         parser.feed(html[i : i + PORTION])
     parser.close()
     parser.cut()
-    return parser.lines, parser.main
+    held: dict[int, int] = {}
+    prose: set[int] = set()
+    for line in parser.lines:
+        for n in line.maybe:
+            held[n] = held.get(n, 0) + line.mass
+            if line.mass >= LONG:
+                prose.add(n)
+    total = sum(line.mass for line in parser.lines)
+    holding = {n for around in parser.main.values() for n in around}
+    wraps = lambda n: held[n] >= HALF * total if n in holding else n in prose and n not in parser.edges and held[n] >= WHOLE * total
+    furniture = {n for n in held if not total or not wraps(n)}
+    lines = [line for line in parser.lines if not line.hidden and furniture.isdisjoint(line.maybe)]
+    return lines, {n for n, around in parser.main.items() if furniture.isdisjoint(around)}
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -181,8 +228,7 @@ def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    every, main = lines_of(html)
-    lines = [line for line in every if not line.furniture]
+    lines, main = lines_of(html)
     if not lines:
         return ""
     ratios = smoothed([log(1 + (len(line.text) - line.linked) / (1 + line.tags)) for line in lines])
