@@ -1,14 +1,15 @@
 """Toxicity by a learned lexicon, matched with misspellings, in context.
 
 1. The lexicon is learned from labelled rows: words, and beginnings of words (stems), that toxic texts have and others hardly have, in
-   both halves of a sample.
+   both halves of a sample, and by a likelihood ratio that chance doesn't give.
 2. The words of a text are matched against the lexicon by the intersection of Levenshtein automata with the lexicon's trie: one walk
    over a word follows all terms at once, for as long as one of them is within its number of edits. The intersection's states are
    made deterministic as they are met.
-3. Each hit is weighed by its window of words: quotation marks and words of reporting lower it, direct address raises it.
+3. Each hit is weighed by its window of words: quotation marks lower it, and so do words that stand near hits of texts which are not toxic (those that report,
+   say); words that stand near hits of toxic texts (direct address, say) raise it. These context words are learned from the same sample.
 4. A logistic regression on the sample turns a text's hits into a score.
 
-Fitting uses SAMPLE labelled rows of each class at most (about; drawn by a hash of the id) and keeps TERMS terms. Scores cover every word of every text.
+Fitting uses SAMPLE labelled rows of each class at most (about; drawn by a hash of the id), which bounds the model. Scores cover every word of every text.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits, as every text does if there was no label of
 either class to learn from (0 then). Rows with a null label aren't learned from. Other columns are carried along, but for a score, which the new one replaces.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
@@ -28,22 +29,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.arrow import in_batches, numbered, renamed
+from quillspark.sources.scratch import written
 from quillspark.llm.text import pieces
 
-SAMPLE, TERMS = 12_000, 400
+SAMPLE = 12_000
 STEM_LENGTHS = range(4, 9)
-#: A term has this many toxic texts in all, one in each half at least, and is so much more frequent in toxic texts (log of the ratio);
-#: from FULL_RATIO on it has its full weight. A misspelled term has the weight MISSPELLED.
-SUPPORT, LOG_RATIO, FULL_RATIO, MISSPELLED = 4, 1.8, 5.0, 0.6
+#: A term has this many toxic texts in all, one in each half at least, is so much more frequent in toxic texts (log of the ratio), and by this
+#: likelihood-ratio statistic not by chance; from FULL_RATIO on it has its full weight. A misspelled term has the weight MISSPELLED.
+SUPPORT, LOG_RATIO, SIGNIFICANT, FULL_RATIO, MISSPELLED = 4, 1.8, 30.0, 5.0, 0.6
+#: Of words around hits: the statistic they need, and by how much a window's words lower or raise a hit at most.
+CONTEXT_SIGNIFICANT, LOWERED, RAISED = 20.0, -0.8, 0.5
 #: Words on both sides of a hit that tell how it's meant.
 WINDOW = 8
-REMEMBERED = 120_000
+REMEMBERED = 60_000
+#: Letters of a word that can be a term, and code points of a string that a worker remembers.
+LONGEST, REMEMBERED_LENGTH = 40, 48
 #: States of the automaton that a worker keeps; beyond, it starts again from the first one.
 KEPT_STATES = 20_000
 FEATURES = 6
-# Words of reporting and of direct address, in the four languages of the tables.
-REPORTING = set("said says say wrote writes quote quoted quotes called term word according reported replied asked dit écrit cité selon mot sagte schrieb zitat zitierte laut wort dijo escribió cita citó según palabra".split())
-ADDRESS = set("you your you're u ur tu toi vous ton ta tes du dich dir dein deine ihr tú ti eres usted ustedes".split())
 _QUOTES = re.compile("[\"“”„«»‘‹›]")
 _PARTS = re.compile(r"\w+")
 
@@ -54,10 +57,11 @@ def edits_allowed(term: str) -> int:
 
 @dataclass
 class Lexicon:
-    """words: whole terms; stems: beginnings of words; each with its weight, up to 1."""
+    """words: whole terms; stems: beginnings of words; each with its weight, up to 1. context: what words around a hit add to its meaning."""
 
     words: dict[str, float]
     stems: dict[str, float]
+    context: dict[str, float] = field(default_factory=dict)
 
     def weight(self, word: str) -> float:
         """Of a word that is a term or begins with a stem (the longest counts)."""
@@ -153,6 +157,10 @@ class Automaton:
         return whole if best < 0 or 0 <= whole < best else best
 
 
+def bare_words(near: list[str]) -> set[str]:
+    return {t.strip(".,;:!?\"'“”«»") for t in near}
+
+
 class Matcher:
     """Space-separated strings to how near they are to a term; remembers what it has seen lately."""
 
@@ -166,10 +174,12 @@ class Matcher:
         if len(parts) > 1 or (parts and parts[0] != token):
             parts.append(token.strip("\"“”„«»‘’‹›'.,;:!?()[]{}-–—*_~`|/\\"))
         found = [(e, p) for p in parts if (e := self.automaton.edits(p)) >= 0]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         exact = max((self.lexicon.weight(p) for e, p in found if e == 0), default=0.0)
-        value = self.seen[token] = exact or (-MISSPELLED if found else 0.0)
+        value = exact or (-MISSPELLED if found else 0.0)
+        if len(token) <= REMEMBERED_LENGTH:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            self.seen[token] = value
         return value
 
     def features(self, text: str | None) -> list[float]:
@@ -198,17 +208,23 @@ class Matcher:
             dense = max(dense, sum(weights[start:end]))  # of WINDOW + 1 hits at most
         return [log(1 + meant), log(1 + fuzzy), log(1 + quoted), log(1 + dense), log(1 + 100 * meant / len(tokens)), max(weights)]
 
-    @staticmethod
-    def meaning(near: list[str], i: int) -> float:
+    def words_near_hits(self, text: str) -> set[str] | None:
+        """The words around all hits that are no hits themselves; None without hits."""
+        tokens = text.lower().split()
+        seen, add = self.seen.get, self.add
+        kinds = [add(t) if (k := seen(t)) is None else k for t in tokens]
+        at = [i for i, k in enumerate(kinds) if k]
+        around = {j for i in at for j in range(max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)) if not kinds[j]}
+        return bare_words([tokens[j] for j in around]) - {""} if at else None
+
+    def meaning(self, near: list[str], i: int) -> float:
         """From 0 (a quotation) to 1.5 (said to someone), from the words around near[i]."""
         before = sum(len(_QUOTES.findall(t)) for t in near[:i]) + len(_QUOTES.findall(near[i][:1]))
         after = sum(len(_QUOTES.findall(t)) for t in near[i + 1 :]) + len(_QUOTES.findall(near[i][1:]))
-        bare = {t.strip(".,;:!?\"'“”«»") for t in near}
-        weight = 1.0 + 0.5 * bool(bare & ADDRESS)
+        known = self.lexicon.context
+        weight = 1.0 + (min(RAISED, max(LOWERED, sum(known.get(w, 0.0) for w in bare_words(near)))) if known else 0.0)
         if before % 2 and after:
             weight -= 0.7
-        if bare & REPORTING:
-            weight -= 0.4
         return max(weight, 0.0)
 
 
@@ -227,7 +243,7 @@ def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch, "text"):
             out: Counter = Counter()
             for toxic, half, text in zip(*(piece.column(c).to_pylist() for c in ("toxic", "half", "text"))):
-                words = {w for w in _PARTS.findall(text.lower()) if 4 <= len(w) <= 24}
+                words = {w for w in _PARTS.findall(text.lower()) if 2 <= len(w) <= LONGEST}
                 stems = {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
                 out.update((u, 2 * toxic + half) for u in words | stems)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["unit", "kind", "n"])
@@ -240,7 +256,9 @@ def learn_lexicon(sample: DataFrame, sizes: list[int]) -> Lexicon:
     by_unit = counted.groupBy("unit").agg(*each).filter((F.col("k2") + F.col("k3") >= SUPPORT) & (F.col("k2") > 0) & (F.col("k3") > 0))
     ratio = F.log((F.col("k2") + F.col("k3") + 0.5) / (sizes[1] + 1)) - F.log((F.col("k0") + F.col("k1") + 0.5) / (sizes[0] + 1))
     toxic = (F.col("k2") + F.col("k3")).alias("toxic")
-    best = by_unit.select("unit", toxic, ratio.alias("ratio")).filter(F.col("ratio") >= LOG_RATIO).orderBy(F.desc("toxic"), "unit").limit(20 * TERMS).collect()
+    chance = likelihood_ratio(F.col("k2") + F.col("k3"), F.col("k0") + F.col("k1"), sizes[1], sizes[0])
+    # each has SUPPORT texts of the sample, so what comes to the driver is bounded by it
+    best = by_unit.filter((ratio >= LOG_RATIO) & (chance >= SIGNIFICANT)).select("unit", toxic, ratio.alias("ratio")).collect()
     counts, ratios = {r.unit: r.toxic for r in best}, {r.unit: r.ratio for r in best}
     # a stem that one longer unit accounts for gives way to it; what a remaining stem covers goes
     longest: dict[str, int] = {}
@@ -251,19 +269,52 @@ def learn_lexicon(sample: DataFrame, sizes: list[int]) -> Lexicon:
                 stem = base[:size] + "*"
                 longest[stem] = max(longest.get(stem, 0), n)
     units = {u for u, n in counts.items() if not u.endswith("*") or longest.get(u, 0) < 0.9 * n}
-    stems = sorted((u[:-1] for u in units if u.endswith("*")), key=len)
-    taken: list[str] = []
-    for stem in stems:
-        if not any(stem.startswith(t) for t in taken):
-            taken.append(stem)
+    taken: set[str] = set()
+    covering = lambda word: next((word[:n] for n in STEM_LENGTHS if word[:n] in taken), None)
+    for stem in sorted((u[:-1] for u in units if u.endswith("*")), key=len):
+        if covering(stem) is None:
+            taken.add(stem)
     # a word that a stem covers stands by itself if it says clearly more
-    covering = {u: next((t for t in taken if u.startswith(t)), None) for u in units if not u.endswith("*")}
-    words = [u for u, t in covering.items() if t is None or ratios[u] >= ratios[t + "*"] + 0.7]
-    ranked = sorted([(-counts[w], w, w) for w in words] + [(-counts[s + "*"], s, s + "*") for s in taken])[:TERMS]
-    weights = {u: min(1.0, ratios[u] / FULL_RATIO) for _, _, u in ranked}
+    words = [u for u in units if not u.endswith("*") and ((t := covering(u)) is None or ratios[u] >= ratios[t + "*"] + 0.7)]
+    weights = {u: min(1.0, ratios[u] / FULL_RATIO) for u in [*words, *(s + "*" for s in taken)]}
     return Lexicon({u: w for u, w in weights.items() if not u.endswith("*")}, {u[:-1]: w for u, w in weights.items() if u.endswith("*")})
 
 
+def likelihood_ratio(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    """Twice the log of how much likelier counts of two classes are by two rates than by one."""
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    rate = (toxic + clean) / (all_toxic + all_clean)
+    # a class whose drawn size is an estimate may count fewer texts than a unit has
+    left = lambda n, size: F.greatest(F.lit(size) - n, F.lit(0))
+    return 2 * (part(toxic, rate * all_toxic) + part(clean, rate * all_clean) + part(left(toxic, all_toxic), (1 - rate) * all_toxic) + part(left(clean, all_clean), (1 - rate) * all_clean))
+
+
+def learn_context(sample: DataFrame, lexicon: Lexicon) -> dict[str, float]:
+    """What words around hits add to their meaning: those that are significantly commoner around the hits of toxic texts, or of others."""
+
+    def near_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                out: Counter = Counter()
+                for toxic, text in zip(piece.column("toxic").to_pylist(), piece.column("text").to_pylist()):
+                    found = matcher.words_near_hits(text)
+                    if found is not None:
+                        out.update((w, toxic) for w in found | {""})
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["word", "toxic", "n"])
+
+    each = [F.sum(F.when(F.col("toxic") == i, F.col("n")).otherwise(0)).alias(f"k{i}") for i in (0, 1)]
+    by_word = in_batches(sample, near_hits, "word string, toxic int, n long").groupBy("word").agg(*each)
+    by_word = written(by_word.filter(F.col("k0") + F.col("k1") >= SUPPORT), "toxicity-context")
+    texts = by_word.filter("word = ''").first()  # how many texts of each class have hits
+    if texts is None or not texts.k0 or not texts.k1:
+        return {}
+    ratio = F.log((F.col("k1") + 0.5) / (texts.k1 + 1)) - F.log((F.col("k0") + 0.5) / (texts.k0 + 1))
+    chance = likelihood_ratio(F.col("k1"), F.col("k0"), texts.k1, texts.k0)
+    told = by_word.filter((F.col("word") != "") & (chance >= CONTEXT_SIGNIFICANT)).select("word", ratio.alias("ratio")).collect()
+    return {r.word: min(RAISED, max(LOWERED, r.ratio / 4)) for r in told}
+
+
 def regress(features: np.ndarray, labels: np.ndarray, penalty: float = 0.02, steps: int = 60) -> np.ndarray:
     """Logistic regression with a small quadratic penalty, by Newton's steps."""
     x = np.column_stack([features, np.ones(len(features))])
@@ -297,6 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = docs.select("doc_id", F.col("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id").select("toxic", "half", "text")
     drawn_sizes = [min(sizes[c], SAMPLE) for c in (0, 1)]
     lexicon = learn_lexicon(sample, drawn_sizes)
+    lexicon.context = learn_context(sample, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
