@@ -4,8 +4,8 @@ A known word scores its log frequency in each language. A word that the model ha
 character n-grams: of 5 characters if any of those is known, else of 4, and so on. The language with the largest sum over all words of the
 text is predicted, with its posterior probability as the score.
 
-The model is fitted on a sample of labelled rows: about SAMPLE of each language, drawn by a hash of the id. It keeps the WORDS most frequent words and
-GRAMS most frequent n-grams of that sample; these bounds are its size. Prediction covers every word of every text.
+The model is fitted on a sample of labelled rows: about SAMPLE of each language, drawn by a hash of the id, which bounds its size. It knows every word and n-gram that the
+sample has twice; of what was seen once its parts tell more. Prediction covers every word of every text.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if there was nothing to learn from; ties go to the
 language that comes first by code point. Other columns are carried along, but for those with the name of an added one, which that replaces.
@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.arrow import in_batches, numbered, renamed
-from quillspark.llm.scratch import written
+from quillspark.sources.scratch import written
 from quillspark.llm.text import pieces
 
-SAMPLE, WORDS, GRAMS, LONGEST = 6_000, 60_000, 120_000, 5
-#: Space-separated strings whose scores a worker remembers.
-REMEMBERED = 120_000
+SAMPLE, LONGEST = 1_500, 5
+#: Space-separated strings whose scores a worker remembers, and their code points at most.
+REMEMBERED, REMEMBERED_LENGTH = 80_000, 48
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -63,9 +63,14 @@ class Model:
         marked = f"<{word}>"
         for n in range(min(LONGEST, len(marked)), 0, -1):
             find = self.grams[n].get
-            known = [found for i in range(len(marked) - n + 1) if (found := find(marked[i : i + n])) is not None]
+            known = 0
+            sums = [0.0] * len(self.languages)
+            for i in range(len(marked) - n + 1):
+                if (found := find(marked[i : i + n])) is not None:
+                    known += 1
+                    sums = [a + b for a, b in zip(sums, found)]
             if known:
-                return [sum(scores) / len(known) for scores in zip(*known)]
+                return [x / known for x in sums]
         return [0.0] * len(self.languages)
 
 
@@ -103,10 +108,10 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(list(out.values()), pa.int64())], names=["lang", "size", "word", "n"])
 
 
-def most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
-    """The counts by language of the most frequent units: at most `most` rows come to the driver."""
+def counts_of(counts: DataFrame) -> dict[str, dict[str, int]]:
+    """The counts by language of the units that the sample has twice; the sample bounds the rows that come to the driver."""
     by_unit = counts.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return {r.word: r.by for r in by_unit.filter("all > 1").orderBy(F.desc("all"), "word").limit(most).collect()}
+    return {r.word: r.by for r in by_unit.filter("all > 1").select("word", "by").collect()}
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -120,10 +125,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     words = in_batches(sample.select("lang", "text"), count_words, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     languages = sorted(sizes)
-    known = log_frequencies(most_frequent(words, WORDS), languages)
+    known = log_frequencies(counts_of(words), languages)
     every = in_batches(words, count_grams, "lang string, size int, word string, n long")
     every = written(every.groupBy("lang", "size", "word").agg(F.sum("n").alias("n")), "langid-grams")
-    by_size = [log_frequencies(most_frequent(every.filter(F.col("size") == n), GRAMS // LONGEST), languages) if n else {} for n in range(LONGEST + 1)]
+    by_size = [log_frequencies(counts_of(every.filter(F.col("size") == n)), languages) if n else {} for n in range(LONGEST + 1)]
     return Model(languages, known, by_size)
 
 
@@ -146,13 +151,14 @@ class Scores:
                 self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
             at, self.used = self.used, self.used + 1
             self.matrix[at] = found
-        self.row[token] = at
+        if len(token) <= REMEMBERED_LENGTH:
+            self.row[token] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
             return "und", 0.0
-        if len(self.row) > REMEMBERED:
+        if max(self.used, len(self.row)) > REMEMBERED:
             self.clear()
         row, add = self.row.get, self.add
         rows = [add(t) if (r := row(t)) is None else r for t in text.lower().split()]

@@ -63,12 +63,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64, for i below n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        inverse = pow(base, -1, 1 << 64)
-        size = max(n, 1 << 16)
-        _powers[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, inverse))
-    return _powers[base]
+    """base^i and base^-i modulo 2^64, for i below n at least; those for a piece of usual size are kept."""
+    if base in _powers and len(_powers[base][0]) >= n:
+        return _powers[base]
+    size = max(n, 1 << 16)
+    made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+    if size <= PIECE_BYTES + (PIECE_BYTES >> 2):
+        _powers[base] = made
+    return made
 
 
 def mix(x: np.ndarray) -> np.ndarray:
