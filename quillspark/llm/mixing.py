@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrow import numbered
 from quillspark.sources.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -126,9 +127,11 @@ def mix_report(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """The mix itself: the rows of docs, each as many times as its source's budget takes it, with the columns of docs."""
     limits = thresholds(written(sized(docs), "mix-sized"), weights, share, most)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("mix_source"), place().alias("place"))
+    plain, names = numbered(docs)
+    at = dict(zip(docs.columns, names))
+    row = plain.select(F.struct(*names).alias("row"), F.col(at["source"]).alias("mix_source"), place(at["doc_id"]).alias("place"))
     taken = mixed(row, limits).filter("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*").toDF(*docs.columns)
 
 
 SQL = r"""
