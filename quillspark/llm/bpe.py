@@ -223,6 +223,8 @@ class Bpe:
 
     def abreast(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of short pieces as 32-bit integers: one byte of each at a time."""
+        if not pieces:
+            return []
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         order = np.argsort(-sizes, kind="stable")
         begin, data = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(pieces), np.uint8)
@@ -260,15 +262,26 @@ class Bpe:
 
     def learn(self, stretches: set[str], known: dict[str, bytes], before: str) -> None:
         """Tokens of all stretches that aren't known, each with the text before it."""
-        new = [s for s in stretches if s not in known]
-        cut = [[before + s] if s.isascii() and s.isalpha() else self.split(before + s) for s in new]
-        raw = {p: p.encode() for p in {p for c in cut for p in c}}
-        of = {p: self.alone(b) for p, b in raw.items() if len(b) > SHORT}
-        short = [p for p, b in raw.items() if len(b) <= SHORT]
-        for i in range(0, len(short), ABREAST):
-            some = short[i : i + ABREAST]
-            of.update(zip(some, self.abreast([raw[p] for p in some])))
-        known.update((s, b"".join(map(of.__getitem__, c))) for s, c in zip(new, cut))
+        new = stretches - known.keys()
+        whole = [s for s in new if s.isascii() and s.isalpha()]  # one piece each
+        known.update(zip(whole, self.ids_of([(before + s).encode() for s in whole])))
+        new.difference_update(whole)
+        cut = [self.split(before + s) for s in new]
+        pieces = list({p for c in cut for p in c})
+        of = dict(zip(pieces, self.ids_of([p.encode() for p in pieces])))
+        known.update((s, b"".join([of[p] for p in c])) for s, c in zip(new, cut))
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces as 32-bit integers: short ones side by side, longer ones alone."""
+        found: list[bytes] = []
+        for i in range(0, len(pieces), ABREAST):
+            some = pieces[i : i + ABREAST]
+            if max(map(len, some)) <= SHORT:
+                found += self.abreast(some)
+                continue
+            short = iter(self.abreast([b for b in some if len(b) <= SHORT]))
+            found += [next(short) if len(b) <= SHORT else self.alone(b) for b in some]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts as 32-bit integers."""
@@ -283,9 +296,8 @@ class Bpe:
         get = after_space.__getitem__
         done = [b"".join([x for part, token in parts for x in (at_start[part[0]], *map(get, part[1:]), token)]) for parts in cut]
         for found, known in ((firsts, at_start), (rests, after_space)):
-            for s in found:
-                if len(s) > LONG:
-                    del known[s]
+            for s in [s for s in found if len(s) > LONG]:
+                del known[s]
         return done
 
     def plain_parts(self, text: str) -> list[tuple[list[str], bytes]]:
