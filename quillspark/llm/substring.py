@@ -94,7 +94,7 @@ def beaten(hashes: np.ndarray, ids: np.ndarray, tie: np.ndarray | None = None) -
     return order[i > least], order[new]
 
 
-def find_windows(window: int, shards: int):
+def find_windows(window: int, shards: int, buckets: int):
     """Texts to packed entries (shard >= 0) and to answers that a piece settles itself (shard -1 - bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +112,18 @@ def find_windows(window: int, shards: int):
                 to = (second[first] % np.uint64(shards)).astype(np.int64)
                 yield packed("shard", to, hashes[first], ids[first])
                 if len(gone):
-                    yield packed("shard", -1 - bucket_of(ids[gone], shards), hashes[gone], ids[gone])
+                    yield packed("shard", -1 - bucket_of(ids[gone], buckets), hashes[gone], ids[gone])
 
     return run
 
 
-def answer(shards: int):
+def answer(buckets: int):
     """A shard's entries to packed answers: every entry whose hash has a smaller id, by the bucket of its document. What a piece has settled is an answer already."""
 
     def run(table: pa.Table) -> pa.Table:
         hashes, ids = unpacked(table)
         gone = np.arange(len(ids)) if table.column("shard")[0].as_py() < 0 else beaten(hashes, ids)[0]
-        return pa.Table.from_batches([packed("bucket", bucket_of(ids[gone], shards), hashes[gone], ids[gone])])
+        return pa.Table.from_batches([packed("bucket", bucket_of(ids[gone], buckets), hashes[gone], ids[gone])])
 
     return run
 
@@ -220,12 +220,13 @@ def _dedup(docs: DataFrame, window: int, key: str, text: str, layout: bool) -> D
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id")
-    entries = in_batches(docs.select(id_, F.col(text).alias("text")), find_windows(window, shards), ENTRIES)
-    answers = entries.groupBy("shard").applyInArrow(answer(shards), ANSWERS).withColumn("is_text", F.lit(False))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shards, parts)  # of documents; every partition has some
+    entries = in_batches(docs.select(id_, F.col(text).alias("text")), find_windows(window, shards, buckets), ENTRIES)
+    answers = entries.groupBy("shard").applyInArrow(answer(buckets), ANSWERS).withColumn("is_text", F.lit(False))
     carried = F.struct(*[c for c in docs.columns if c != text]).alias("carried")
-    texts = docs.select(id_, F.col(text).alias("text"), carried).withColumn("bucket", bucket_column(F.col("id"), shards)).withColumn("is_text", F.lit(True))
+    texts = docs.select(id_, F.col(text).alias("text"), carried).withColumn("bucket", bucket_column(F.col("id"), buckets)).withColumn("is_text", F.lit(True))
     both = texts.unionByName(answers, allowMissingColumns=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "is_text")
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))])
     spans = T.ArrayType(T.StructType().add("first", "integer").add("past", "integer"))
