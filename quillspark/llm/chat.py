@@ -189,7 +189,8 @@ def parsed(transcripts: DataFrame, model: Model, text: str = "transcript") -> Da
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Conversations as transcripts (conv_id, part, transcript, states, roles): each turn's lines, the first with a marker in one of several styles, or with none in one turn of four.
 
-    Rows without a role of ROLES or with a null text or turn are left out of the transcript; a conversation of more than PART turns makes several.
+    Rows without a role of ROLES or with a null text or turn are left out of the transcript; a conversation of more than PART turns makes several. Equal rows count once. A row without
+    a conversation is one of its own, so no group gathers all of them.
     """
     names = F.element_at(F.create_map(*[F.lit(x) for role, found in NAMES.items() for x in (role, F.array(*map(F.lit, found[:2])))]), F.col("role"))
     style = F.pmod(F.xxhash64("conv_id", F.lit("style")), F.lit(4))
@@ -197,10 +198,12 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     shown = F.when(style == 0, F.concat(F.initcap(name), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), F.initcap(name), F.lit(" "))).when(style == 2, F.concat(F.lit("["), name, F.lit("] "))).otherwise(F.concat(F.lit("<|im_start|>"), name, F.lit(" ")))
     hidden = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0
     rows = conversations.filter(F.col("role").isin(ROLES) & F.col("text").isNotNull() & F.col("turn").isNotNull())
-    rows = rows.withColumn("line", F.when(hidden, F.col("text")).otherwise(F.concat(shown, F.col("text")))).withColumn("part", F.floor(F.col("turn") / PART))
+    rows = rows.withColumn("line", F.when(hidden, F.col("text")).otherwise(F.concat(shown, F.col("text"))))
+    alone = F.pmod(F.xxhash64("text", "turn"), F.lit(1 << 40))
+    rows = rows.withColumn("part", F.when(F.col("conv_id").isNull(), alone).otherwise(F.floor(F.col("turn") / PART)))
     role = (F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1).cast("int")
     rows = rows.withColumn("states", F.transform(F.split("line", "\n", -1), lambda line, i: 2 * role + F.when(i == 0, 0).otherwise(1)))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "line", "states", "role")))
+    ordered = F.array_sort(F.collect_set(F.struct("turn", "line", "states", "role")))
     by = rows.groupBy("conv_id", "part").agg(ordered.alias("rows"))
     return by.select("conv_id", "part", F.array_join("rows.line", "\n").alias("transcript"), F.flatten("rows.states").alias("states"), F.col("rows.role").alias("roles"))
 

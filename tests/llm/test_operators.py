@@ -409,10 +409,11 @@ def test_viterbi_against_all_paths():
 
 
 def test_conversations(spark):
-    rows = [(1, i, ["user", "assistant"][i % 2], f"Turn {i}.") for i in range(6)] + [(2, 0, None, "x"), (2, 1, "user", None), (3, None, "user", "y"), (4, 0, "user", "z"), (4, 0, "user", "z")]
+    rows = [(1, i, ["user", "assistant"][i % 2], f"Turn {i}.") for i in range(6)] + [(2, 0, None, "x"), (2, 1, "user", None), (3, None, "user", "y"), (4, 0, "user", "z"), (4, 0, "user", "z"), (None, 0, "user", "a"), (None, 0, "user", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    found = {r.conv_id: r for r in chat.chat_report(df).collect()}
-    assert set(found) == {1, 4} and found[1].n_turns == 6
+    rows = chat.chat_report(df).collect()
+    found = {r.conv_id: r for r in rows}
+    assert set(found) == {1, 4, None} and found[1].n_turns == 6 and found[4].n_turns == 1 and len(rows) == 4
     assert chat.chat_report(df.limit(0)).count() == 0
 
 
