@@ -265,3 +265,28 @@ def test_expansion_against_brute_force(spark):
 
 def test_schema_of_documents():
     assert T.StructType.fromDDL(flatten.DOCUMENT).fieldNames()[0] == "file_path"
+
+
+def halves(text, most):
+    """Parts of a text by definition: cut at the blank line nearest to the middle, the later one of two, until no part has too many words."""
+    lines = [x for x in text.split("\n")]
+    lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    if max(1, len(text.split())) <= most or len(lines) <= 1:
+        return [text]
+    middle = len(lines) // 2
+    blank = [i for i in range(1, len(lines)) if not lines[i].strip()]
+    cut = min(blank, key=lambda i: (abs(i - middle), -i)) if blank else middle
+    parts = ["".join(lines[:cut]).rstrip(), "".join(lines[cut:]).rstrip()]
+    return [found for part in parts if part.strip() for found in halves(part, most)]
+
+
+def test_split_at_blank_lines_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["", "one line only", "a b c d e f", "a b\n\nc d\n\ne f\n"] + ["\n".join(rng.choice(["", " ", "w w w", "x y", "z " * 9]) for _ in range(n)) for n in (2, 3, 7, 30, 200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = {}
+    for r in structure.split_at_blank_lines(spark.createDataFrame([*rows, (99, None)], "id int, text string"), "text", 5).orderBy("id", "part").collect():
+        found.setdefault(r.id, []).append(r.content)
+    assert found == {i: halves(t, 5) for i, t in rows} | {99: [""]}
