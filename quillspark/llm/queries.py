@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, html_text, langid, lz, mixing, neardup, substring, topk, toxicity
+from quillspark.llm import bpe, chat, html_text, langid, lz, mixing, neardup, spelling, substring, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -71,8 +75,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
+    "op11_spelling": op11_spelling,
 }
-SQL = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL, "op11_spelling": spelling.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
