@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, html_text, langid, lz, mixing, neardup, spelling, substring, topk, toxicity
+from quillspark.llm import bpe, chat, html_text, langid, lexical, lz, mixing, neardup, secrets, spelling, substring, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -76,8 +84,10 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
     "op11_spelling": op11_spelling,
+    "op12_secrets": op12_secrets,
+    "op13_search": op13_search,
 }
-SQL = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL, "op11_spelling": spelling.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL, "op11_spelling": spelling.SQL, "op13_search": lexical.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
