@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import stable_id
+from quillspark.sources.results import file_system
 
 FILE = ("file_path", "file_size", "date_last_modified", "file_hash")
 
@@ -32,6 +35,34 @@ def scan_files(spark: SparkSession, base: str, content: bool = True) -> DataFram
     return path_dimensions(rows).filter(~F.col("relative_path").rlike(r"(^|/)\.") & F.col("relative_path").contains("/"))
 
 
+def hashed_files(files: DataFrame, portion: int = 8 << 20, task_bytes: int = 1 << 30) -> DataFrame:
+    """file_path and file_hash (SHA-256) of files (file_path, file_size), read in portions inside the tasks, so memory is bounded and a file may have any size; null for a file that is gone.
+
+    Files are dealt to tasks by a hash of their paths, as many as the bytes need. Give it only files whose hash isn't known (with_known_hashes).
+    """
+    total = files.agg(F.sum("file_size")).first()[0] or 0
+    tasks = max(1, min(-(-total // task_bytes), 100_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("file_path").to_pylist():
+                yield pa.RecordBatch.from_pydict({"file_path": [path], "file_hash": [file_hash(path, portion)]})
+
+    return files.select("file_path", "file_size").repartition(tasks, F.xxhash64("file_path")).mapInArrow(run, "file_path string, file_hash string")
+
+
+def file_hash(path: str, portion: int) -> str | None:
+    store, name = file_system(path)
+    digest = hashlib.sha256()
+    try:
+        with store.open_input_stream(name) as stream:
+            while data := stream.read(portion):
+                digest.update(data)
+    except FileNotFoundError:
+        return None
+    return digest.hexdigest()
+
+
 def path_dimensions(files: DataFrame, relative: str = "relative_path") -> DataFrame:
     """files with data_source, filter_1 to filter_3 (deeper folders joined into the third), filename and filetype."""
     parts = F.split(relative, "/")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import catalog, dense, payloads, research, retrieval, sheets, sources, structure, summaries, tables
+from quillspark.plans import catalog, dense, payloads, research, retrieval, sheets, sources, stages, structure, summaries, tables
 
-MODULES = (catalog, retrieval, structure, tables, dense, research, sources, sheets, summaries, payloads)
+MODULES = (catalog, retrieval, structure, tables, dense, research, sources, sheets, summaries, payloads, stages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

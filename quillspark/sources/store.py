@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[as_text(f.name, f.dataType) for f in df.schema.fields]).write.mode("overwrite").options(**CSV).csv(path)
 
 
+def replace_csv(df: DataFrame, path: str) -> None:
+    """A CSV folder written beside the one at path, which it then replaces by renaming; the old one stays if anything fails."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    target = hadoop(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        write_csv(df, staged)
+        moved = not fs.exists(target) or fs.rename(target, hadoop(old))
+        if not moved or not fs.rename(hadoop(staged), target):
+            if moved and fs.exists(hadoop(old)):
+                fs.rename(hadoop(old), target)
+            raise OSError(f"{path} could not be replaced")
+        fs.delete(hadoop(old), True)
+    finally:
+        fs.delete(hadoop(staged), True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Cells back to their types; an empty cell of a text column is an empty text, the null marker is null."""
     names = [f.name for f in schema.fields]
@@ -73,14 +93,5 @@ def read_current(spark: SparkSession, root: str, name: str, schema: T.StructType
     return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{root}/snapshot={version}/{name}")
 
 
-def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON results of a stage, one document a file; malformed files are skipped."""
-    return spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").schema(schema).json(path)
-
-
-def row_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct("*")).alias("row"))
-
-
 def manifest_text(counts: Mapping[str, int]) -> str:
     return json.dumps(dict(sorted(counts.items())))
