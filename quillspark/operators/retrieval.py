@@ -63,32 +63,6 @@ def gap_pages(pages: DataFrame, by: list[str], page: str, most: int) -> DataFram
     return following.filter(missing.between(1, most)).select(*by, F.explode(F.sequence(F.col(page) + 1, F.col("following") - 1)).alias(page))
 
 
-def expanded(chunks: DataFrame, documents: DataFrame, seeds: DataFrame, full: int = 6, section: int = 6, subsection: int = 3, around: int = 2, gap: int = 2) -> DataFrame:
-    """Seeds expanded to their context, for many documents in one plan: chunks with expansion_level.
-
-    chunks: document, chunk, page, section, subsection (0: none), section_pages, subsection_pages; documents: document, page_count;
-    seeds: document, chunk. A document of at most `full` pages is taken whole. Otherwise a seed brings its whole section if that has at most
-    `section` pages, or else its subsection if that has at most `subsection` pages, or else its neighbours in the section. Gaps of at most
-    `gap` pages between found pages are filled. A chunk found in several ways has the first of the levels full, primary, subsection, neighbor, gap.
-    An unknown number of pages counts as too large.
-    """
-    seeds = seeds.select("document", "chunk").distinct()
-    short = documents.filter(F.coalesce(F.col("page_count") <= full, F.lit(False))).select("document")
-    whole = chunks.join(short.join(seeds.select("document").distinct(), "document", "left_semi"), "document", "left_semi").withColumn("level", F.lit(1))
-    hits = chunks.join(seeds, ["document", "chunk"], "left_semi").join(short, "document", "left_anti")
-    small_section = F.coalesce(F.col("section_pages") <= section, F.lit(False))
-    small_sub = F.coalesce(F.col("subsection_pages") <= subsection, F.lit(False)) & (F.col("subsection") > 0)
-    hits = hits.withColumn("way", F.when(small_section, 2).when(small_sub, 3).otherwise(4))
-    primary = chunks.join(hits.filter("way = 2").select("document", "section").distinct(), ["document", "section"], "left_semi").withColumn("level", F.lit(2))
-    sub = chunks.join(hits.filter("way = 3").select("document", "section", "subsection").distinct(), ["document", "section", "subsection"], "left_semi").withColumn("level", F.lit(3))
-    near = neighbours(chunks, hits.filter("way = 4"), ["document", "section"], "chunk", around).withColumn("level", F.lit(4))
-    found = whole.unionByName(primary).unionByName(sub).unionByName(near)
-    filled = chunks.join(gap_pages(found.filter("level > 1"), ["document"], "page", gap), ["document", "page"], "left_semi").withColumn("level", F.lit(5))
-    every = found.unionByName(filled).groupBy(*chunks.columns).agg(F.min("level").alias("level"))
-    names = F.array(*[F.lit(x) for x in ("full", "primary", "subsection", "neighbor", "gap")])
-    return every.withColumn("expansion_level", F.element_at(names, F.col("level"))).drop("level")
-
-
 def expansion_metrics(found: DataFrame, seeds: DataFrame) -> DataFrame:
     """Per document: chunks, pages and sections found, and the ratio of chunks to seeds (1 without seeds)."""
     counts = found.groupBy("document").agg(F.countDistinct("chunk").alias("n_chunks"), F.countDistinct("page").alias("n_pages"), F.countDistinct("section").alias("n_sections"))
@@ -97,12 +71,6 @@ def expansion_metrics(found: DataFrame, seeds: DataFrame) -> DataFrame:
     return joined.withColumn("ratio", F.when(F.col("n_seeds") > 0, F.round(F.col("n_chunks") / F.col("n_seeds"), 2)).otherwise(1.0))
 
 
-def batches(rows: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
-    """rows with the number of their batch of `size` in the order given, per group."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("batch", F.floor((at - 1) / size).cast("long"))
-
-
 def first_filled(text: str, *order: str) -> Column:
     """The first value that isn't empty, in the order of columns, as an aggregate."""
     return F.min_by(text, F.when(F.coalesce(text, F.lit("")) != "", F.struct(*order)))

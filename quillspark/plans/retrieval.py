@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine
-from quillspark.operators import findings, retrieval
+from quillspark.operators import chunk_store, findings, retrieval
 from quillspark.plans.structure import LINES, lines
 from quillspark.sources.tables import table
 
@@ -72,12 +72,12 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 def hierarchical_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, documents, seeds = hierarchy(spark, sf_dir)
-    return retrieval.expanded(chunks, documents, seeds, full=3, section=6, subsection=3).select("document", "chunk", "page", "expansion_level")
+    return chunk_store.expanded(chunks, documents, seeds, full=3, section=6, subsection=3).select("document", "chunk", "page", "expansion_level")
 
 
 def expansion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, documents, seeds = hierarchy(spark, sf_dir)
-    return retrieval.expansion_metrics(retrieval.expanded(chunks, documents, seeds, full=3, section=6, subsection=3), seeds)
+    return retrieval.expansion_metrics(chunk_store.expanded(chunks, documents, seeds, full=3, section=6, subsection=3), seeds)
 
 
 SCORED = """

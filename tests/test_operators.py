@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import citations, dates, text
 from quillspark.functions.vectors import cosine
-from quillspark.operators import catalog, extraction, findings, flatten, registry, retrieval, structure, tables
+from quillspark.operators import catalog, chunk_store, extraction, findings, flatten, registry, retrieval, structure, tables
 from quillspark.sources import store
 from quillspark.streaming import citations as stream
 
@@ -259,7 +259,7 @@ def test_expansion_against_brute_force(spark):
     df = spark.createDataFrame(chunks, "document string, chunk long, page long, section long, subsection long, section_pages long, subsection_pages long")
     documents = spark.createDataFrame([("d", 16), ("short", 1), ("unknown", None)], "document string, page_count long")
     seeds = spark.createDataFrame([("d", 2), ("d", 9), ("short", 0), ("unknown", 0)], "document string, chunk long")
-    found = {(r.document, r.chunk): r.expansion_level for r in retrieval.expanded(df, documents, seeds, full=3, section=3, subsection=3, around=1, gap=3).collect()}
+    found = {(r.document, r.chunk): r.expansion_level for r in chunk_store.expanded(df, documents, seeds, full=3, section=3, subsection=3, around=1, gap=3).collect()}
     assert found == {("short", 0): "full", ("unknown", 0): "primary", ("d", 2): "subsection", ("d", 3): "subsection", ("d", 8): "neighbor", ("d", 9): "neighbor", ("d", 10): "neighbor"}
 
 
