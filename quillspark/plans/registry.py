@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import catalog, dense, payloads, research, retrieval, sheets, sources, stages, structure, summaries, tables, two_stage
+from quillspark.plans import analysis, catalog, dense, payloads, research, retrieval, sheets, sources, stages, structure, summaries, tables, two_stage
 
-MODULES = (catalog, retrieval, structure, tables, dense, research, sources, sheets, summaries, payloads, stages, two_stage)
+MODULES = (catalog, retrieval, structure, tables, dense, research, sources, sheets, summaries, payloads, stages, two_stage, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
