@@ -71,9 +71,9 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as sheets; the strings in upper case of a line's first three are its tables."""
-    tables = F.filter(F.slice(F.split("content", " ", -1), 1, 3), lambda w: w.rlike("^[A-Z]"))
-    sheets = lines(spark, sf_dir).select("doc_id", "page", F.substring("content", 1, 5).alias("title"), tables.alias("dense_tables"))
+    """Lines as sheets; its strings with a capital are its tables."""
+    tables = F.filter(F.split("content", " ", -1), lambda w: w.rlike("^[A-Z]"))
+    sheets = lines(spark, sf_dir).select("doc_id", "page", F.col("content").alias("title"), tables.alias("dense_tables"))
     return structure.sheet_sections(sheets, ["doc_id"])
 
 
@@ -142,7 +142,7 @@ SELECT user_id, event_id % 7 AS position, arg_max(event_type || '-' || event_id,
     "routes": """
 SELECT p_size, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS region_ids, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS filter_columns, 'p_retailprice' AS measure_columns FROM part GROUP BY 1""",
     "sheet_sections": f"""WITH {LINES},
-s AS (SELECT doc_id, page, content[1:5] AS title, list_filter(string_split(content, ' ')[1:3], lambda w: regexp_matches(w, '^[A-Z]')) AS ts FROM lines)
+s AS (SELECT doc_id, page, content AS title, list_filter(string_split(content, ' '), lambda w: regexp_matches(w, '^[A-Z]')) AS ts FROM lines)
 SELECT doc_id, page, page AS section, title, 1 AS subsection, title AS subsection_title FROM s WHERE len(ts) = 0
 UNION ALL SELECT doc_id, page, page, title, unnest(range(1, len(ts) + 1)), unnest(ts) FROM s WHERE len(ts) > 0""",
     "structure_types": """

@@ -20,7 +20,7 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows stored in two ways, and two malformed ones."""
     n = F.col("s_suppkey")
-    row = F.format_string('[{"row_number":%d,"cells":[{"column_number":1,"value":"v%d"}]}]', n, n)
+    row = F.format_string('[{"row_number":%d,"cells":[{"column_number":1,"value":"%s"}]}]', n, "s_name")
     text = F.when(n % 4 == 0, row).when(n % 4 == 1, F.concat(F.lit('{"rows":'), row, F.lit("}"))).when(n % 4 == 2, "[{broken").otherwise("text")
     found = table(spark, sf_dir, "supplier").select("s_suppkey", payloads.stored_rows(text).alias("rows"))
     return found.select("s_suppkey", F.size("rows").alias("n_rows"), F.try_element_at("rows", F.lit(1))["cells"][0]["value"].alias("value"))
@@ -29,7 +29,7 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sound payload, one with parts left out, one with a text for a list, and one that is no JSON."""
     n = F.col("s_suppkey")
-    sound = F.format_string('{"summary":"s%d","keywords":["a","b"],"section_hierarchy":[{"level":1,"title":"T"}]}', n)
+    sound = F.format_string('{"summary":"%s","keywords":["a","b"],"section_hierarchy":[{"level":1,"title":"T"}]}', "s_name")
     text = F.when(n % 4 == 0, sound).when(n % 4 == 1, '{"usage_description":"u"}').when(n % 4 == 2, '{"summary":"s","keywords":"a"}').otherwise("{")
     found = table(spark, sf_dir, "supplier").select("s_suppkey", payloads.enrichment(text).alias("e"))
     return found.select("s_suppkey", "e.summary", "e.usage_description", F.array_join("e.keywords", ",").alias("keywords"), F.get("e.section_hierarchy", F.lit(0))["title"].alias("heading"))
@@ -57,7 +57,7 @@ def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.create_map(F.lit("contains_chart"), F.col("s_suppkey") % 2 == 0, F.lit("unknown"), F.lit(True))
+    found = F.create_map(F.lit("contains_chart"), F.col("s_acctbal") > 5000, F.lit("unknown"), F.lit(True))
     flags = table(spark, sf_dir, "supplier").select("s_suppkey", payloads.page_flags(found).alias("flags"))
     return flags.select("s_suppkey", F.size("flags").alias("n_flags"), F.size(F.map_keys(F.map_filter("flags", lambda k, v: v))).alias("n_true"))
 
@@ -72,8 +72,8 @@ def chunk_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of lines with what stands for their vector, made once for each different string."""
-    rows = lines(spark, sf_dir).select("doc_id", "page", F.left("content", F.lit(6)).alias("text"))
+    """Lines with what stands for their vector, made once for each different line."""
+    rows = lines(spark, sf_dir).select("doc_id", "page", F.col("content").alias("text"))
     vectors = payloads.distinct_texts(rows).withColumn("embedding", F.md5(F.col("text").cast("binary")))
     return payloads.with_embeddings(rows, vectors)
 
@@ -95,9 +95,9 @@ SQL = {
     "text_values": """
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id ELSE 7 END::INTEGER AS number, 'a; ' || event_type AS listed, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment,
   '[0.5,' || value || ']' AS vector FROM events""",
-    "stored_rows": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 1 ELSE 0 END AS n_rows, CASE WHEN s_suppkey % 4 < 2 THEN 'v' || s_suppkey END AS value FROM supplier",
+    "stored_rows": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 1 ELSE 0 END AS n_rows, CASE WHEN s_suppkey % 4 < 2 THEN s_name END AS value FROM supplier",
     "enrichments": """
-SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN '' END AS summary, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'u' END AS usage_description,
+SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN '' END AS summary, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'u' END AS usage_description,
   CASE s_suppkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN '' END AS keywords, CASE s_suppkey % 4 WHEN 0 THEN 'T' END AS heading FROM supplier""",
     "classified_sheets": """
 WITH m AS (SELECT p_partkey AS n, CASE p_partkey % 5 WHEN 0 THEN 'page_like' WHEN 1 THEN 'other' ELSE CASE p_partkey % 3 WHEN 0 THEN 'dense_table_candidate' WHEN 1 THEN 'page_like' END END AS mode FROM part),
@@ -106,12 +106,12 @@ SELECT n AS p_partkey, CASE WHEN error IS NULL THEN mode END AS mode, error FROM
     "prior_context": f"WITH {LINES} SELECT doc_id, page, page % 5 = 0 OR page % 7 = 0 OR page % 11 = 0 AS needs FROM lines",
     "dense_candidates": """
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat_ws(',', p_brand, p_type) WHEN p_partkey % 5 <> 0 THEN p_name ELSE '' END AS dense FROM part WHERE p_partkey % 3 <> 0""",
-    "page_flags": "SELECT s_suppkey, 10 AS n_flags, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS n_true FROM supplier",
+    "page_flags": "SELECT s_suppkey, 10 AS n_flags, CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END AS n_true FROM supplier",
     "chunk_payloads": f"""WITH {LINES},
 c AS (SELECT doc_id, page, repeat(content, 30) AS content FROM lines WHERE page % 4 >= 2)
 SELECT doc_id, page - 1 AS chunk, 'Body' AS section_title, CASE WHEN page % 6 IN (2, 5) THEN coalesce('about ' || source, '') ELSE '' END AS section_overview,
   md5(CASE WHEN length(content) > 4000 THEN rtrim(content[1:3997]) || '...' ELSE content END) AS content_md5 FROM c JOIN documents USING (doc_id)""",
-    "embedded_once": f"WITH {LINES} SELECT doc_id, page, content[1:6] AS text, md5(content[1:6]) AS embedding FROM lines",
+    "embedded_once": f"WITH {LINES} SELECT doc_id, page, content AS text, md5(content) AS embedding FROM lines",
     "sources_by_index": """
 WITH s AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation)
 SELECT event_id, event_id % 30 AS "index", n_name AS data_source FROM events LEFT JOIN s ON i = event_id % 30""",

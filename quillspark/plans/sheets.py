@@ -28,12 +28,12 @@ def sheet_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spliced_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of two regions with text between; one document in five has a region that isn't there."""
+    """Sheets of three regions, two of which are replaced, one by the document's text; one document in five has a region that isn't there. A replacement takes the line end after its block, so a marker behind it stays."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     key = F.col("doc_id").cast("string")
     content = F.concat(F.lit("top\n<!-- region:r1 start -->\n| Row | A |\n<!-- region:r1 end -->\n\n\n\nn"), key, F.lit("\n<!-- region:r2 start -->\nx\n<!-- region:r2 end -->\n<!-- region:r3 start -->\nstays\n<!-- region:r3 end -->"))
     last = F.when(F.col("doc_id") % 5 == 0, "r9").otherwise("r2")
-    new = F.array(F.struct(F.lit("r1").alias("region_id"), F.concat(F.lit("\n# Table "), key, F.lit(" \n")).alias("replacement")), F.struct(last.alias("region_id"), F.left("text", F.lit(0)).alias("replacement")))
+    new = F.array(F.struct(F.lit("r1").alias("region_id"), F.concat(F.lit("\n# Table "), key, F.lit(" \n")).alias("replacement")), F.struct(last.alias("region_id"), F.concat("lang", F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("replacement")))
     return docs.select("doc_id", sheets.spliced(content, new).alias("content"))
 
 
@@ -136,7 +136,8 @@ WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)
 s AS (SELECT doc_id, list_transform(ls, lambda x: CASE WHEN length(x) > 300 THEN x[1:300] || ' ...' ELSE x END) AS ls FROM l)
 SELECT doc_id, md5(array_to_string(CASE WHEN len(ls) <= 34 THEN ls ELSE list_concat(ls[1:24], ['... omitted sheet rows ...'], ls[-10:]) END, chr(10))) AS preview_md5 FROM s""",
     "spliced_sheets": """
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '# Table ' || doc_id ELSE 'top' || chr(10) || '# Table ' || doc_id || chr(10) || chr(10) || 'n' || doc_id || chr(10) || 'stays' END AS content FROM documents WHERE text IS NOT NULL""",
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '# Table ' || doc_id || chr(10) || chr(10) || line ELSE 'top' || chr(10) || '# Table ' || doc_id || chr(10) || chr(10) || 'n' || doc_id || chr(10) || line || '<!-- region:r3 start -->' || chr(10) || 'stays' END AS content
+FROM (SELECT *, rtrim(lang || ': ' || replace(text, chr(10), ' ')) AS line FROM documents) WHERE text IS NOT NULL""",
     "padded_lines": f"""WITH {LINES},
 w AS (SELECT doc_id, page, string_split(content, ' ') AS ws FROM lines)
 SELECT doc_id, page, md5(array_to_string(list_transform(range(1, 13), lambda i: coalesce(ws[i], '')), ' | ')) AS line_md5 FROM w""",

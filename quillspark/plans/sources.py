@@ -75,7 +75,7 @@ def chunk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     sub = F.when(F.col("page") % 3 != 0, F.col("page") % 2)
     chunks = rows.select(
         "doc_id", F.when(F.col("page") % 7 == 0, "").otherwise(F.floor(F.col("page") / 2).cast("string")).alias("chunk_id"), "page", F.col("page").alias("chunk"), F.when(F.col("section") % 5 != 0, F.col("section")).alias("section"),
-        F.col("section_title").alias("section_name"), sub.alias("subsection"), F.col("second").alias("subsection_name"), F.substring("content", 3, 4).alias("path"),
+        F.col("section_title").alias("section_name"), sub.alias("subsection"), F.col("second").alias("subsection_name"), F.col("content").alias("path"),
     )
     return retrieval.chunk_groups(chunks, ["doc_id"]).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
@@ -141,7 +141,7 @@ FROM labels JOIN documents USING (doc_id)""",
     "chunk_groups": f"""WITH {STARTS},
 c AS (
   SELECT doc_id, CASE WHEN page % 7 <> 0 THEN (page // 2)::VARCHAR END AS id, page, CASE WHEN section % 5 <> 0 THEN section END AS section, nullif(section_title, '') AS name, CASE WHEN page % 3 <> 0 THEN page % 2 END AS sub,
-    nullif(second, '') AS sub_name, nullif(content[3:6], '') AS path FROM placed),
+    nullif(second, '') AS sub_name, nullif(content, '') AS path FROM placed),
 names AS (SELECT doc_id, section, arg_min(name, page) FILTER (name IS NOT NULL) AS section_name, arg_min(path, page) FILTER (path IS NOT NULL) AS section_path FROM c GROUP BY ALL),
 own AS (SELECT doc_id, section, sub, arg_min(sub_name, page) FILTER (sub_name IS NOT NULL) AS sub_name, arg_min(path, page) FILTER (path IS NOT NULL) AS own_path FROM c GROUP BY ALL),
 once AS (SELECT doc_id, section, sub, id, min(page) AS page FROM c WHERE id IS NOT NULL GROUP BY ALL),

@@ -1,4 +1,4 @@
-"""Structure queries; the pages of a document are its lines, and a page's heading is its first letter."""
+"""Structure queries; the pages of a document are its lines, and a page's heading tells how many strings it has."""
 
 from __future__ import annotations
 
@@ -14,7 +14,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).withColumn("title", F.substring("content", 1, 1)).withColumn("second", F.substring("content", 2, 1))
+    """Lines with headings that tell their numbers of strings and of characters; some have none."""
+    words, size = F.size(F.split("content", " ", -1)) % 4, F.length("content") % 3
+    return lines(spark, sf_dir).withColumn("title", F.when(words == 0, "").otherwise(F.concat(F.lit("Part "), words.cast("string")))).withColumn("second", F.when(size == 0, "").otherwise(F.concat(F.lit("sub "), size.cast("string"))))
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def expand_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subsection_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inside each section: runs of pages with the same second letter."""
+    """Inside each section: runs of pages with the same second heading."""
     pages = in_sections(spark, sf_dir)
     starts = structure.heading_boundaries(pages.select("doc_id", "section", "page", F.col("second").alias("title")), ["doc_id", "section"])
     ends = sections(spark, sf_dir).select("doc_id", F.col("number").alias("section"), "page_end")
@@ -103,7 +105,8 @@ lines AS (
 
 STARTS = f"""
 {LINES},
-titled AS (SELECT *, content[1:1] AS title, content[2:2] AS second FROM lines),
+titled AS (
+  SELECT *, CASE len(string_split(content, ' ')) % 4 WHEN 0 THEN '' ELSE 'Part ' || len(string_split(content, ' ')) % 4 END AS title, CASE length(content) % 3 WHEN 0 THEN '' ELSE 'sub ' || length(content) % 3 END AS second FROM lines),
 heads AS (SELECT *, lag(lower(title)) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM titled WHERE page = 1 OR title <> ''),
 starts AS (SELECT doc_id, page, title FROM heads WHERE page = 1 OR lower(title) <> before),
 sections AS (
@@ -131,7 +134,7 @@ paths AS (SELECT *, CASE WHEN page % 2 = 0 THEN second ELSE '' END AS sub FROM p
 crumbs AS (SELECT *, concat_ws(' > ', nullif(section_title, ''), nullif(sub, '')) AS hierarchy_path FROM paths)
 SELECT doc_id, page - 1 AS chunk, page, section, hierarchy_path, CASE WHEN hierarchy_path <> '' THEN hierarchy_path || ': ' ELSE '' END AS embedding_prefix FROM crumbs""",
     "normalized_boundaries": f"""WITH {LINES},
-c AS (SELECT doc_id, content[1:1] AS title, greatest(least(length(content) // 50, 9), 2) AS page_start, page FROM lines),
+c AS (SELECT doc_id, CASE len(string_split(content, ' ')) % 4 WHEN 0 THEN '' ELSE 'Part ' || len(string_split(content, ' ')) % 4 END AS title, greatest(least(length(content) // 50, 9), 2) AS page_start, page FROM lines),
 k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page_start ORDER BY page) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_start) AS number FROM k)
 SELECT doc_id, number, title, CASE WHEN number = 1 THEN 2 ELSE page_start END AS page_start FROM n""",

@@ -25,15 +25,15 @@ def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subsection_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sections' subsections of one or two pages, with the line's strings as keywords."""
-    rows = titled_sections(spark, sf_dir).select("doc_id", "page", "abstract", F.col("title").alias("section_title"), F.lit("Sub").alias("title"), (F.col("page") % 2 + 1).alias("page_count"), F.left("content", F.col("page").cast("int") % 6).alias("page_summary"), F.split("content", " ", -1).alias("keywords"))
+    rows = titled_sections(spark, sf_dir).select("doc_id", "page", "abstract", F.col("title").alias("section_title"), F.lit("Sub").alias("title"), (F.col("page") % 2 + 1).alias("page_count"), F.col("content").alias("page_summary"), F.split("content", " ", -1).alias("keywords"))
     found = summaries.subsection_summaries(rows)
     return found.select("doc_id", "page", "overview", F.md5(F.array_join("topics", " ").cast("binary")).alias("topics_md5"), "needs_model")
 
 
 def default_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings are a line's first letters, on two levels."""
+    """Headings are lines, on two levels."""
     level = lambda n, t: F.struct(F.lit(n).alias("level"), t.alias("title"))
-    hierarchy = F.array(level(2, F.lit("x")), level(1, F.lit(" ")), level(1, F.when(F.col("doc_id") % 2 == 0, F.left("content", F.lit(3))).otherwise("")))
+    hierarchy = F.array(level(2, F.lit("x")), level(1, F.lit(" ")), level(1, F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("")))
     pages = lines(spark, sf_dir).select("doc_id", "page", hierarchy.alias("hierarchy"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("page_title"))
     return summaries.default_titles(pages, ["doc_id"])
 
@@ -103,10 +103,10 @@ SQL = {
 k AS (SELECT doc_id, page, unnest(string_split(content, ' ')) AS w, unnest(range(len(string_split(content, ' ')))) AS i FROM lines),
 f AS (SELECT doc_id, page, w, min(i) AS i FROM (SELECT doc_id, page, regexp_replace(w, '^\\s+|\\s+$', '', 'g') AS w, i FROM k) WHERE w <> '' GROUP BY ALL),
 t AS (SELECT doc_id, page, string_agg(w, ' ' ORDER BY i) AS topics FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY i) <= 8) GROUP BY ALL),
-s AS (SELECT doc_id, page, coalesce(overview, CASE WHEN page % 2 = 0 THEN coalesce(nullif(regexp_replace(content[1:(page % 6)], '^\\s+|\\s+$', '', 'g'), ''), 'Sub') END) AS overview, overview IS NULL AND page % 2 = 0 AS own FROM summed)
+s AS (SELECT doc_id, page, coalesce(overview, CASE WHEN page % 2 = 0 THEN coalesce(nullif(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), ''), 'Sub') END) AS overview, overview IS NULL AND page % 2 = 0 AS own FROM summed)
 SELECT doc_id, page, overview, md5(CASE WHEN own THEN coalesce(topics, '') ELSE '' END) AS topics_md5, overview IS NULL AS needs_model FROM s LEFT JOIN t USING (doc_id, page)""",
     "default_titles": f"""WITH {LINES}
-SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(content[1:3], '^\\s+|\\s+$', '', 'g') ELSE '' END, ''), CASE WHEN doc_id % 3 = 0 THEN 'p' || doc_id ELSE 'Document' END) AS title FROM lines WHERE page = 1""",
+SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(content, '^\\s+|\\s+$', '', 'g') ELSE '' END, ''), CASE WHEN doc_id % 3 = 0 THEN 'p' || doc_id ELSE 'Document' END) AS title FROM lines WHERE page = 1""",
     "document_summaries": """
 WITH s AS (
   SELECT doc_id, string_agg(chr(10) || '## Section ' || n || ': S' || n || ' (' || CASE WHEN n % 2 = 0 THEN 'page ' || n ELSE 'pages ' || n || '-' || (n + 1) END || ')' || coalesce(chr(10) || '**Overview:** ' || nullif(lang, ''), '')
