@@ -25,12 +25,14 @@ from pyspark.sql import types as T
 from quillspark.llm.arrow import in_batches, numbered, renamed
 from quillspark.llm.text import pieces
 
-ROLES = ["system", "user", "assistant"]
+#: The last one stands for every other role, a null one too.
+ROLES = ["system", "user", "assistant", "tool"]
 # What transcripts call the roles.
 NAMES = {
     "system": ["system", "sys", "instruction", "instructions"],
     "user": ["user", "human", "you", "customer", "client", "question", "q", "prompt", "me"],
     "assistant": ["assistant", "ai", "bot", "chatbot", "agent", "answer", "a", "gpt", "model", "response"],
+    "tool": ["tool", "function", "developer", "observation", "result"],
 }
 _ROLE_OF = {name: role for role, names in NAMES.items() for name in names}
 _NAME = "|".join(sorted(_ROLE_OF, key=len, reverse=True))
@@ -39,7 +41,7 @@ _END = re.compile(r"\s*<\|(?:im_end|end|eot_id)\|>\s*$")
 #: Turns of one transcript at most when it is made from a table of turns; a longer conversation makes several.
 PART = 1000
 STATES = 2 * len(ROLES)  # state 2 * role: begins a turn; 2 * role + 1: continues it
-FEATURES = {"marker": 4, "length": 5, "ending": 4, "start": 4, "blank": 2}
+FEATURES = {"marker": 1 + len(ROLES), "length": 5, "ending": 4, "start": 4, "blank": 2}
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -92,7 +94,7 @@ class Model:
 def tables(counts: dict[tuple[str, int, int], float]) -> Model:
     """Counts (what, state, value) to smoothed log probabilities, over a prior of a few imagined lines."""
     begin, move = np.full(STATES, 0.01), np.full((STATES, STATES), 0.05)
-    begin[::2] += [1, 3, 0.5]
+    begin[::2] += [1, 3, 0.5, 0.1]
     for role in range(len(ROLES)):
         for state in (2 * role, 2 * role + 1):
             move[state, 2 * role + 1] += 3
@@ -101,9 +103,9 @@ def tables(counts: dict[tuple[str, int, int], float]) -> Model:
     forbidden = np.array([[b % 2 and a // 2 != b // 2 for b in range(STATES)] for a in range(STATES)])
     emit = [np.full((STATES, n), 0.5) for n in FEATURES.values()]
     for role in range(len(ROLES)):
-        emit[0][2 * role] += [2, 0, 0, 0]
+        emit[0][2 * role, 0] += 2
         emit[0][2 * role, 1 + role] += 8
-        emit[0][2 * role + 1] += [10, 0, 0, 0]
+        emit[0][2 * role + 1, 0] += 10
     for (what, state, value), n in counts.items():
         if what == "begin":
             begin[value] += n
@@ -122,17 +124,17 @@ def turns(model: Model, transcript: str | None) -> list[tuple[str, str]]:
     lines = (transcript or "").replace("\r\n", "\n").split("\n")
     if lines == [""]:
         return []
-    found: list[tuple[str, list[str]]] = []
+    found: list[tuple[str, list[str], bool]] = []
     for line, state in zip(lines, model.roles(lines)):
         role = ROLES[state // 2]
         kind, rest = marker(line)
         own = rest if kind == 1 + state // 2 else line
         if state % 2 == 0 or not found:
-            found.append((role, [own]))
+            found.append((role, [own], kind > 0))
         else:
             found[-1][1].append(own)
-    done = [(role, _END.sub("", "\n".join(body)).strip("\n")) for role, body in found]
-    return [(role, text) for role, text in done if text.strip()]
+    done = [(role, _END.sub("", "\n".join(body)).strip("\n"), marked) for role, body, marked in found]
+    return [(role, text if text.strip() else "") for role, text, marked in done if marked or text.strip()]  # a speaker who says nothing has a turn
 
 
 def render(found: list[tuple[str, str]]) -> str:
@@ -189,18 +191,19 @@ def parsed(transcripts: DataFrame, model: Model, text: str = "transcript") -> Da
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Conversations as transcripts (conv_id, part, transcript, states, roles): each turn's lines, the first with a marker in one of several styles, or with none in one turn of four.
 
-    Rows without a role of ROLES or with a null text or turn are left out of the transcript; a conversation of more than PART turns makes several. Equal rows count once. A row without
-    a conversation is one of its own, so no group gathers all of them.
+    Every row is a turn: a role that isn't one of ROLES, or null, is the last of them, a null text is empty, and rows without a turn come first. A conversation of more than PART turns makes several.
+    Equal rows count once. A row without a conversation is one of its own, so no group gathers all of them.
     """
     names = F.element_at(F.create_map(*[F.lit(x) for role, found in NAMES.items() for x in (role, F.array(*map(F.lit, found[:2])))]), F.col("role"))
     style = F.pmod(F.xxhash64("conv_id", F.lit("style")), F.lit(4))
     name = F.get(names, F.pmod(F.xxhash64("conv_id", F.lit("name")), F.lit(2)).cast("int"))
     shown = F.when(style == 0, F.concat(F.initcap(name), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), F.initcap(name), F.lit(" "))).when(style == 2, F.concat(F.lit("["), name, F.lit("] "))).otherwise(F.concat(F.lit("<|im_start|>"), name, F.lit(" ")))
     hidden = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0
-    rows = conversations.filter(F.col("role").isin(ROLES) & F.col("text").isNotNull() & F.col("turn").isNotNull())
+    known = F.coalesce(F.col("role").isin(ROLES), F.lit(False))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.when(known, F.col("role")).otherwise(ROLES[-1]).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("line", F.when(hidden, F.col("text")).otherwise(F.concat(shown, F.col("text"))))
-    alone = F.pmod(F.xxhash64("text", "turn"), F.lit(1 << 40))
-    rows = rows.withColumn("part", F.when(F.col("conv_id").isNull(), alone).otherwise(F.floor(F.col("turn") / PART)))
+    alone = F.pmod(F.xxhash64("text", "turn", "role"), F.lit(1 << 40))
+    rows = rows.withColumn("part", F.when(F.col("conv_id").isNull(), alone).otherwise(F.floor(F.coalesce("turn", F.lit(0)) / PART)))
     role = (F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1).cast("int")
     rows = rows.withColumn("states", F.transform(F.split("line", "\n", -1), lambda line, i: 2 * role + F.when(i == 0, 0).otherwise(1)))
     ordered = F.array_sort(F.collect_set(F.struct("turn", "line", "states", "role")))

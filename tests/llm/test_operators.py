@@ -413,7 +413,9 @@ def test_conversations(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
     rows = chat.chat_report(df).collect()
     found = {r.conv_id: r for r in rows}
-    assert set(found) == {1, 4, None} and found[1].n_turns == 6 and found[4].n_turns == 1 and len(rows) == 4
+    assert set(found) == {1, 2, 3, 4, None} and found[1].n_turns == 6 and found[4].n_turns == 1 and len(rows) == 6
+    assert found[2].n_turns == 2 and found[3].n_turns == 1  # a null role, a null text and a null turn have turns too
+    assert sum(r.n_turns for r in rows) == df.select("conv_id", "turn", "role", "text").distinct().count()
     assert chat.chat_report(df.limit(0)).count() == 0
 
 
