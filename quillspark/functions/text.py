@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of numbers and dates in cells.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DATE_CELL = r"^\d{4}-\d{2}-\d{2}(\s\d{2}:\d{2}:\d{2})?$"
 IN_BRACKETS = r"^\(([0-9,.]+)\)$"
@@ -80,6 +81,12 @@ def tail(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).when(at > 0, F.substring(last, at + 1, F.length(last))).otherwise(last)
 
 
+def head_and_tail(text: Column, limit: int) -> Column:
+    """The first and the last half of limit characters with a mark between; the text itself if it isn't longer."""
+    half = limit // 2
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(half)), F.lit("\n...\n"), F.right(text, F.lit(limit - half)))).otherwise(text)
+
+
 def breadcrumb(section: Column, subsection: Column) -> Column:
     """section > subsection, or whichever there is."""
     return F.concat_ws(" > ", F.nullif(section, F.lit("")), F.nullif(subsection, F.lit("")))

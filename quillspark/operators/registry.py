@@ -97,7 +97,3 @@ def flag(text: Column) -> Column:
     """Whether a text says true, 1 or yes."""
     return F.coalesce(F.lower(stripped(text)).isin("true", "1", "yes"), F.lit(False))
 
-
-def append_stages(records: DataFrame, path: str) -> None:
-    """Appends the metrics of stages to the log."""
-    records.write.mode("append").parquet(path)

@@ -29,6 +29,15 @@ def of_known_sources(rows: DataFrame, sources: DataFrame, column: str = "data_so
     return rows.join(sources.select(column).distinct(), column, "left_semi")
 
 
+def config_of(sources: DataFrame, wanted: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The named columns of the wanted sources; a LookupError names those that aren't registered."""
+    found = sources.filter(F.col("data_source").isin(list(wanted)) if wanted else F.lit(False)).select("data_source", *columns)
+    known = {r.data_source for r in found.select("data_source").distinct().collect()}  # no more than were asked for
+    if missing := sorted(set(wanted) - known):
+        raise LookupError(f"no such data source: {', '.join(missing)}")
+    return found
+
+
 def filters_of(sources: DataFrame) -> DataFrame:
     """data_source and levels: the filters that have a label."""
     labelled = F.array_compact(F.array(*[F.when(F.col(f"{f}_label") != "", F.lit(f)) for f in FILTERS]))

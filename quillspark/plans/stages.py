@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators import isolation
 from quillspark.sources import results, snapshots
 from quillspark.sources.scratch import shared_folder
 from quillspark.sources.tables import table
@@ -81,7 +83,22 @@ def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("version", "table_name", "n", "total", "row_count")
 
 
-QUERIES = {f.__name__: f for f in (stage_results, malformed_results, discovered_files, rejected_records, snapshot_history)}
+def checked(row: dict) -> dict:
+    """The number in an event's properties; values above 199.5 can't be dealt with."""
+    if row["value"] is not None and row["value"] > 199.5:
+        raise ValueError("too large")
+    return {"event_id": row["event_id"], "k": json.loads(row["props"])["k"]}
+
+
+def isolated_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by user: users with an event that can't be dealt with have an error, the others their results."""
+    kind = T.StructType().add("event_id", "long").add("k", "long")
+    good, bad = isolation.isolated(table(spark, sf_dir, "events").select("user_id", "event_id", "value", "props"), "user_id", checked, kind)
+    sums = good.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("k").alias("k")).withColumn("error", F.lit(None).cast("string"))
+    return sums.unionByName(bad.select("user_id", F.col("n_failed").alias("n"), F.lit(None).cast("long").alias("k"), "error"))
+
+
+QUERIES = {f.__name__: f for f in (isolated_users, stage_results, malformed_results, discovered_files, rejected_records, snapshot_history)}
 
 PATHS = """
 paths AS (SELECT *, '/' || source || '/' || lang || '/v1.' || doc_id || '.txt' AS file_path FROM documents)"""
@@ -90,6 +107,10 @@ DISCOVERED = f"""{PATHS},
 records AS (SELECT *, CASE n_chars % 3 WHEN 0 THEN 'exe' WHEN 1 THEN 'pdf' ELSE 'docx' END AS filetype FROM paths)"""
 
 SQL = {
+    "isolated_users": """
+WITH e AS (SELECT user_id, value > 199.5 AS bad, json_extract(props, '$.k')::BIGINT AS k FROM events),
+u AS (SELECT user_id, count(*) AS n, count(*) FILTER (bad) AS n_bad, sum(k)::BIGINT AS k FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN n_bad > 0 THEN n_bad ELSE n END AS n, CASE WHEN n_bad = 0 THEN k END AS k, CASE WHEN n_bad > 0 THEN 'ValueError: too large' END AS error FROM u""",
     "stage_results": f"""WITH {PATHS}
 SELECT file_path, 'v1.' || doc_id || '_' || left(sha256(file_path), 12) || '.json' AS file_name, n_chars, len(string_split(text, chr(10)))::BIGINT AS line_count,
   md5(CASE WHEN contains(text, chr(10)) THEN text || '!' ELSE text END) AS content_md5 FROM paths""",
