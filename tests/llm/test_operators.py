@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tests.against import assert_same, database
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
 
 

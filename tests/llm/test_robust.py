@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def test_added_columns_replace_carried_ones(spark, docs):
     assert found.filter("lang_pred = 'und'").count() == 3
     found = substring.dedup_passages(docs)
     assert found.columns[-4:] == ["n_words", "n_removed", "kept", "spans"] and len(set(found.columns)) == len(found.columns) == len(docs.columns) - 1
-    assert bpe.tokenized(docs, "/opt/tokenizers/byte_bpe_50k.json").select("ids").count() == docs.count()
+    assert bpe.tokenized(docs, public_tokenizers.path("byte_bpe_50k.json")).select("ids").count() == docs.count()
     assert toxicity.scored(docs, None).columns.count("score") == 1
     pages = docs.select("doc_id", F.col("text").alias("html"), *[F.col(f"`{c}`") for c in CLASHES if c != "x`y"])
     assert html_text.extracted(pages).count() == docs.count()
