@@ -87,7 +87,7 @@ QUERIES = {
     "op12_secrets": op12_secrets,
     "op13_search": op13_search,
 }
-SQL = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL, "op11_spelling": spelling.SQL, "op13_search": lexical.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op8_substring_dedup": substring.SQL, "op10_near_dedup": neardup.SQL, "op11_spelling": spelling.SQL, "op12_secrets": secrets.SQL, "op13_search": lexical.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

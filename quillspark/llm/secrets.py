@@ -38,7 +38,7 @@ VALUE, KEY, RUN = 8, 16, 32
 #: Weak candidates: a short value, names of accounts and endpoints, and opaque tokens, which have a capital, a small letter and a digit.
 LEAST, OPAQUE = 4, 20
 ACCOUNT = re.compile(rb"(user|username|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]+)", re.I)
-PLACE = re.compile(rb"(host|hostname|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.:/-]+)|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20\"'<>`]+", re.I)
+PLACE = re.compile(rb"(host|hostname|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.:/-]+)|[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\x00-\x20\"'<>`]+", re.I)
 BLANK = re.compile(rb"\n[\x20\t\r]*\n")
 #: In the order in which kinds with the same start are listed, and in which weak candidates give way to what they overlap.
 BASE, WEAK = ("assign", "access", "hex"), ("short", "account", "endpoint", "opaque")
@@ -184,3 +184,36 @@ def secret_report(docs: DataFrame) -> DataFrame:
     of = lambda *kinds: F.filter("found", lambda p: p["kind"].isin(*kinds))
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(as_text(of(*BASE)), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"), F.size(of(*WEAK)).cast("long").alias("n_linked"))
+
+
+SQL = r"""
+WITH patterns(kind, pattern) AS (VALUES
+  ('a', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 'AKIA[A-Z0-9]+'), ('hex', '[0-9a-f]+'), ('opaque', '[A-Za-z0-9+/_-]+'), ('blank', '\n[\x20\t\r]*\n'),
+  ('account', '([uU][sS][eE][rR]|[uU][sS][eE][rR][nN][aA][mM][eE]|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[kK][eE][yY]_?[iI][dD])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9_.@+-]+)'),
+  ('endpoint', '([hH][oO][sS][tT]|[hH][oO][sS][tT][nN][aA][mM][eE]|[sS][eE][rR][vV][eE][rR]|[eE][nN][dD][pP][oO][iI][nN][tT])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9_.:/-]+)|[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\x00-\x20"''<>`]+')),
+places AS (
+  SELECT doc_id, kind, i, m, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS a, sum(length(gap) + length(m)) OVER w AS b FROM (
+    SELECT doc_id, kind, pattern, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM (
+      SELECT doc_id, kind, pattern, regexp_extract_all(text, pattern) AS ms, regexp_split_to_array(text, pattern) AS gaps FROM documents, patterns))
+  WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+told AS (
+  SELECT doc_id, CASE WHEN kind <> 'a' THEN kind WHEN length(regexp_extract(m, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 8 THEN 'assign' WHEN length(regexp_extract(m, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 4 THEN 'short' END AS kind, a, b FROM places
+  WHERE CASE kind WHEN 'access' THEN length(m) >= 16 WHEN 'hex' THEN length(m) >= 32
+    WHEN 'opaque' THEN length(m) >= 20 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]') ELSE true END),
+base AS (SELECT *, ['assign', 'access', 'hex'].list_position(kind) AS o FROM told WHERE kind IN ('assign', 'access', 'hex')),
+k1 AS (SELECT * FROM base UNION ALL SELECT *, 4 FROM told t WHERE kind = 'short' AND NOT EXISTS (SELECT 1 FROM base k WHERE k.doc_id = t.doc_id AND k.a < t.b AND k.b > t.a)),
+k2 AS (SELECT * FROM k1 UNION ALL SELECT *, 5 FROM told t WHERE kind = 'account' AND NOT EXISTS (SELECT 1 FROM k1 k WHERE k.doc_id = t.doc_id AND k.a < t.b AND k.b > t.a)),
+k3 AS (SELECT * FROM k2 UNION ALL SELECT *, 6 FROM told t WHERE kind = 'endpoint' AND NOT EXISTS (SELECT 1 FROM k2 k WHERE k.doc_id = t.doc_id AND k.a < t.b AND k.b > t.a)),
+k4 AS (SELECT * FROM k3 UNION ALL SELECT *, 7 FROM told t WHERE kind = 'opaque' AND NOT EXISTS (SELECT 1 FROM k3 k WHERE k.doc_id = t.doc_id AND k.a < t.b AND k.b > t.a)),
+parts AS (SELECT *, (SELECT count(*) FROM told x WHERE x.doc_id = k.doc_id AND x.kind = 'blank' AND x.a <= k.a) AS scope FROM k4 k),
+near AS (
+  SELECT p.doc_id, p.kind, p.a, p.b, p.o, bool_or(q.kind = 'access') AS key, bool_or(q.kind IN ('access', 'account')) AS identifier, bool_or(q.kind IN ('assign', 'hex')) AS strong,
+    bool_or(q.kind IN ('assign', 'hex', 'short', 'opaque')) AS secret, bool_or(q.kind = 'endpoint') AS place
+  FROM parts p JOIN parts q ON p.doc_id = q.doc_id AND p.scope = q.scope AND ((q.a >= p.a AND q.a - p.b <= 300) OR (q.a <= p.a AND p.a - q.b <= 300)) GROUP BY ALL),
+kept AS (
+  SELECT * FROM near WHERE o <= 3 OR CASE kind WHEN 'account' THEN strong OR (secret AND place) WHEN 'endpoint' THEN identifier AND secret ELSE key OR (identifier AND place) END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, o) FILTER (o <= 3), '')) AS base_sha256, coalesce(string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, o) FILTER (o IS NOT NULL), '') AS spans, count(*) FILTER (o > 3) AS n_linked
+FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""

@@ -6,10 +6,11 @@ import string
 from pyspark.sql import functions as F
 
 from quillspark.llm import secrets
+from tests.against import assert_same
 
 ASSIGN = re.compile("((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCOUNT = re.compile("(?ai:(user|username|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]+))")
-PLACE = re.compile("(?ai:(host|hostname|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.:/-]+)|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20\"'<>`]+)")
+PLACE = re.compile("(?ai:(host|hostname|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.:/-]+)|[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\x00-\x20\"'<>`]+)")
 ORDER = ["assign", "access", "hex", "short", "account", "endpoint", "opaque"]
 
 
@@ -86,3 +87,13 @@ def test_long_and_empty(spark):
     row = secrets.secret_report(docs).first()
     assert row.n_assign == row.n_linked == 0 and row.spans == ""  # accounts and short values, but no endpoint near them
     assert secrets.secret_report(docs.limit(0)).count() == 0
+
+
+def test_sql_finds_the_same(spark):
+    import duckdb
+
+    rows = [r for r in corpus() if r[0] is not None and r[0] != 908]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert_same(secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")), db.sql(secrets.SQL))
