@@ -191,16 +191,25 @@ def grid_stats(cells: DataFrame, by: list[str]) -> DataFrame:
     return whole.join(used, by)
 
 
+def upper_medians(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by..., middle and n: the value in the middle (of two the larger one) and how many there are. Values are counted first, so a group is as large as it has different values."""
+    counted = values.groupBy(*by, value).agg(F.count("*").alias("times"))
+    group = Window.partitionBy(*by)
+    placed = counted.withColumn("upto", F.sum("times").over(group.orderBy(value))).withColumn("n", F.sum("times").over(group))
+    return placed.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min(value).alias("middle"), F.first("n").alias("n"))
+
+
 def region_scores(cells: DataFrame, by: list[str]) -> DataFrame:
     """How much a region looks like a dense table (0 to 0.99), from the regularity of its rows, its fill, its shape and its texts. cells: by..., row, col, value."""
     filled = cells.filter(stripped(F.coalesce("value", F.lit(""))) != "")
     rows = filled.groupBy(*by, "row").agg(F.count("*").alias("width"))
-    middle = lambda values: F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-    shape = rows.groupBy(*by).agg(F.collect_list("width").alias("widths"), F.min_by("width", "row").alias("header_width"))
-    usual = middle(F.col("widths"))
-    regular = F.size(F.filter("widths", lambda w: F.abs(w - usual) <= 1)) / F.size("widths")
-    sizes = filled.groupBy(*by).agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"), F.collect_list(F.length("value")).alias("lengths"))
-    length = middle(F.col("lengths"))
+    widths = upper_medians(rows, by, "width").withColumnRenamed("middle", "usual")
+    alike = F.count_if(F.abs(F.col("width") - F.col("usual")) <= 1).alias("alike")
+    shape = rows.join(widths, by).groupBy(*by).agg(F.min_by("width", "row").alias("header_width"), alike, F.max("n").alias("n_filled"))
+    regular = F.col("alike") / F.col("n_filled")
+    lengths = upper_medians(filled.select(*by, F.length("value").alias("size")), by, "size").select(*by, F.col("middle").alias("length"))
+    sizes = filled.groupBy(*by).agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"))
+    length = F.col("length")
     long_text = F.when(length >= 80, 1.0).when(length <= 20, 0.0).otherwise((length - 20) / 60)
     n_rows, n_cols = F.col("max_row") - F.col("min_row") + 1, F.col("max_col") - F.col("min_col") + 1
     one = lambda x: F.least(F.lit(1.0), x)
@@ -214,7 +223,7 @@ def region_scores(cells: DataFrame, by: list[str]) -> DataFrame:
         + F.when(n_rows >= 3, 0.05).otherwise(0.0)
     )
     score = F.when((n_rows < 2) | (n_cols < 2), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), score)), 4))
-    joined = sizes.join(shape, by)
+    joined = sizes.join(shape, by).join(lengths, by)
     used = F.concat(column_letters(F.col("min_col")), F.col("min_row").cast("string"), F.lit(":"), column_letters(F.col("max_col")), F.col("max_row").cast("string"))
     return joined.select(*by, n_rows.alias("n_rows"), n_cols.alias("n_cols"), "n_cells", score.alias("score"), used.alias("used_range"), F.when(score >= 0.55, "dense_table").when((n_rows >= 2) & (n_cols >= 2), "small_table").otherwise("framing").alias("region_type"))
 
