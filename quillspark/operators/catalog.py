@@ -46,7 +46,7 @@ def hashed_files(files: DataFrame, portion: int = 8 << 20, task_bytes: int = 1 <
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("file_path").to_pylist():
-                yield pa.RecordBatch.from_pydict({"file_path": [path], "file_hash": [file_hash(path, portion)]})
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([file_hash(path, portion)], pa.string())], names=["file_path", "file_hash"])
 
     return files.select("file_path", "file_size").repartition(tasks, F.xxhash64("file_path")).mapInArrow(run, "file_path string, file_hash string")
 
