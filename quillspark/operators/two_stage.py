@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import xml_escaped
-from quillspark.functions.vectors import cosine, norm
-from quillspark.operators import chunk_store, findings
+from quillspark.operators import chunk_store, findings, vector_cells
 
 #: Documents by summary that a selection of files always looks at.
 TOP_SUMMARIES = 5
@@ -33,11 +32,9 @@ def ranked_documents(documents: DataFrame, questions: DataFrame, batch_size: int
 
     documents: document_id, data_source, summary_embedding, ...; questions: question_id, data_source, query_embedding. Documents without a summary's vector come last.
     """
-    asked = questions.select("question_id", "data_source", "query_embedding", norm(F.col("query_embedding")).alias("query_norm"))
-    sized = documents.withColumn("summary_norm", norm(F.col("summary_embedding")))
-    met = sized.join(asked, "data_source")
-    similarity = F.round(cosine(F.col("summary_embedding"), F.col("query_embedding"), F.col("summary_norm"), F.col("query_norm")), digits)
-    rows = met.withColumn("similarity", similarity).drop("summary_embedding", "query_embedding", "summary_norm", "query_norm")
+    vectors = questions.select("question_id", "query_embedding").dropDuplicates(["question_id"])
+    met = vector_cells.scored(documents, "summary_embedding", "data_source", "document_id", vectors, "question_id", "query_embedding", questions.select("question_id", "data_source"), digits)
+    rows = met.select(*[c for c in documents.columns if c != "summary_embedding"], "question_id", F.col("score").alias("similarity"))
     indexed = numbered_in(rows, ["question_id", "data_source"], [F.col("similarity").desc_nulls_last(), "document_id"], "document_index")
     return in_batches(indexed, batch_size)
 
@@ -49,9 +46,8 @@ def in_batches(indexed: DataFrame, size: int) -> DataFrame:
 
 def best_chunks(chunks: DataFrame, questions: DataFrame, ranked: DataFrame, n: int, digits: int = 6) -> DataFrame:
     """The n best chunks of every ranked document: question_id, document_id, rank, score and the chunk's columns. chunks: document_id, chunk_id, embedding, ...; questions: question_id, query_embedding."""
-    wanted = ranked.select("question_id", "document_id").join(questions.select("question_id", "query_embedding").dropDuplicates(["question_id"]), "question_id")
-    met = chunks.filter("embedding is not null").join(wanted, "document_id")
-    scored = met.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), digits)).drop("embedding", "query_embedding").filter("score is not null")
+    vectors = questions.select("question_id", "query_embedding").dropDuplicates(["question_id"])
+    scored = vector_cells.scored(chunks.filter("embedding is not null"), "embedding", "document_id", "chunk_id", vectors, "question_id", "query_embedding", ranked.select("question_id", "document_id"), digits, n)
     place = Window.partitionBy("question_id", "document_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(place).cast("long")).filter(F.col("rank") <= n)
 
