@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import column_letters, label_like, stripped, value_shape, value_type, word_tokens
 from quillspark.operators import tables as profiles
-from quillspark.sources.scratch import written
+from quillspark.sources.scratch import written_by
 
 #: Values below the first row whose shapes are compared with it; rows at both ends that are shown.
 COMPARED, HEAD, TAIL = 5, 5, 3
@@ -81,7 +81,7 @@ def from_regions(regions: DataFrame, by: Sequence[str], raw: str = "raw", framin
     number the last one counts, of cells of a row with the same column too.
     """
     by = list(by)
-    cells = written(raw_rows(regions, by, raw)[0], "table-raw")
+    cells = written_by(raw_rows(regions, by, raw)[0], "table-raw", by)
     ints = lambda name: F.transform(F.filter(F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")), is_integer), lambda x: F.try_variant_get(x, "$", "long"))
     texts = [F.coalesce(F.col(c), F.lit("")).alias(n) if c else F.lit("").alias(n) for c, n in ((framing, "framing"), (source, "source"))]
     heads = regions.select(*by, F.try_parse_json(raw).alias("v"), *texts)
@@ -89,20 +89,20 @@ def from_regions(regions: DataFrame, by: Sequence[str], raw: str = "raw", framin
     heads = heads.select(*by, "framing", "source", said("used_range").alias("used_range"), said("region_id").alias("region_id"), F.array_sort(ints("column_numbers")).alias("listed_columns"), ints("row_numbers").alias("listed_rows"))
     last_row = cells.groupBy(*by, "row").agg(F.max("at").alias("at"), F.min("at").alias("since"))
     own = cells.join(last_row.select(*by, "row", "at"), [*by, "row", "at"]).filter("col is not null")
-    own = written(own.groupBy(*by, "row", "col").agg(F.max_by("value", "place").alias("value")), "table-own")
+    own = written_by(own.groupBy(*by, "row", "col").agg(F.max_by("value", "place").alias("value")), "table-own", by)
     used = own.groupBy(*by).agg(F.array_sort(F.collect_set("col")).alias("used_columns"))  # as many as the region has columns
     heads = heads.join(used, by, "left")
     columns = F.when(F.size("listed_columns") > 0, F.col("listed_columns")).otherwise(F.coalesce("used_columns", F.array().cast("array<bigint>")))
-    heads = written(heads.withColumn("numbers", columns), "table-heads")
+    heads = written_by(heads.withColumn("numbers", columns), "table-heads", by)
     named = heads.select(*by, "listed_rows")
     listed = named.select(*by, F.posexplode("listed_rows").alias("turn", "row")).groupBy(*by, "row").agg(F.min("turn").alias("turn"))
     rows = last_row.join(listed, [*by, "row"], "full").join(named.withColumn("ordered", F.size("listed_rows") > 0).select(*by, "ordered"), by)
     order = Window.partitionBy(*by).orderBy(F.col("turn").asc_nulls_last(), F.when(F.col("ordered"), F.col("since")), "row")
-    rows = written(rows.withColumn("at", (F.row_number().over(order) - 1).cast("long")).select(*by, "at", F.col("row").alias("number"), F.lit(None).cast("string").alias("line")), "table-rows")
+    rows = written_by(rows.withColumn("at", (F.row_number().over(order) - 1).cast("long")).select(*by, "at", F.col("row").alias("number"), F.lit(None).cast("string").alias("line")), "table-rows", by)
     placed = own.join(heads.select(*by, F.posexplode("numbers").alias("place", "col")), [*by, "col"]).join(rows.select(*by, "at", F.col("number").alias("row")), [*by, "row"])
     source_text = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("source", "framing", "used_range", "region_id")], F.lit(""))
     found = heads.select(*by, F.transform("numbers", column_letters).alias("columns"), F.lit(True).alias("shown"), "framing", "used_range", "region_id", word_tokens(source_text).alias("token_count"))
-    return Tables(by, found, rows, written(placed.select(*by, "at", (F.col("place") + 1).cast("long").alias("place"), "value"), "table-cells"))
+    return Tables(by, found, rows, written_by(placed.select(*by, "at", (F.col("place") + 1).cast("long").alias("place"), "value"), "table-cells", by))
 
 
 def unescaped(cell: Column) -> Column:
@@ -130,13 +130,13 @@ def from_markdown(docs: DataFrame, by: Sequence[str], text: str = "text") -> Tab
     read = read.withColumn("heads", heads).withColumn("skip", (F.coalesce(F.get("heads", F.lit(0)) == "Row", F.lit(False))).cast("int"))
     columns = F.coalesce(F.slice("heads", F.col("skip") + 1, F.greatest(F.size("heads"), F.lit(0))), F.array().cast("array<string>"))
     used = F.coalesce(stripped(F.regexp_extract("text", r"(?m)^- Used range: (.+)$", 1)), F.lit(""))
-    read = written(read, "table-texts")
+    read = written_by(read, "table-texts", by)
     found = read.select(*by, columns.alias("columns"), F.lit(False).alias("shown"), "framing", used.alias("used_range"), F.lit("").alias("region_id"), word_tokens(F.coalesce("text", F.lit(""))).alias("token_count"))
     below = read.filter("has").select(*by, "skip", F.posexplode(F.slice("table", F.lit(2), F.greatest(F.size("table"), F.lit(0)))).alias("line_at", "line")).withColumn("values", pipe_cells(F.col("line")))
     filled = F.filter("values", lambda x: x != "")
     below = below.filter(~((F.size(filled) > 0) & F.forall(filled, lambda x: x.rlike("^:?-+:?$"))))
     at = (F.row_number().over(Window.partitionBy(*by).orderBy("line_at")) - 1).cast("long")
-    below = written(below.withColumn("at", at), "table-lines")
+    below = written_by(below.withColumn("at", at), "table-lines", by)
     number = F.when(F.col("skip") == 1, F.get("values", F.lit(0)).try_cast("long"))
     rows = below.select(*by, "at", F.coalesce(number, F.lit(0)).alias("number"), "line")
     cells = below.select(*by, "at", F.posexplode(F.slice("values", F.col("skip") + 1, F.size("values"))).alias("place", "cell"))
@@ -190,7 +190,7 @@ def analysed(t: Tables) -> tuple[DataFrame, DataFrame]:
     by_score = F.col("shown") & (F.col("n_rows") > 1) & (F.col("data_score") >= F.col("header_score") + 1)
     empty = (F.size("columns") == 0) | (F.col("n_rows") == 0)
     mode = F.when(empty, F.when(F.col("shown"), "headerless").otherwise("")).when(F.col("mostly_data") | by_score, "headerless").otherwise("header_row")
-    told = written(told.select(*by, mode.alias("header_mode"), F.when(mode == "header_row", 1).otherwise(0).alias("skip"), empty.alias("empty"), "n_rows"), "table-modes")
+    told = written_by(told.select(*by, mode.alias("header_mode"), F.when(mode == "header_row", 1).otherwise(0).alias("skip"), empty.alias("empty"), "n_rows"), "table-modes", by)
     data_rows = t.rows.join(told.select(*by, "skip", "empty"), by).filter(~F.col("empty") & (F.col("at") >= F.col("skip")))
     heads = t.rows.filter("at = 0").select(*by, F.col("number").alias("first_number"))
     shown = samples(t, data_rows.select(*by, "at", "number", "line"))
@@ -223,13 +223,14 @@ def column_profiles(t: Tables, told: DataFrame) -> DataFrame:
     twice = F.count("*").over(Window.partitionBy(*by, "raw_name")) > 1
     named = named.withColumn("name", F.when(twice & (F.col("position") != ""), F.concat("raw_name", F.lit(" ("), "position", F.lit(")"))).otherwise(F.col("raw_name")))
     data = t.cells.join(told.filter("not empty").select(*by, "skip"), by).filter((F.col("at") >= F.col("skip")) & (stripped(F.col("value")) != ""))
-    keyed = data.select(F.struct(*by, "place").alias("name"), "value", F.col("at").alias("row"))
-    stats = profiles.profile(keyed.select("name", "value")).drop("null_count").withColumnRenamed("row_count", "non_null_count")
+    own = [*by, "place"]
+    keyed = data.select(*own, "value", F.col("at").alias("row"))
+    stats = profiles.profile(keyed.drop("row"), own).drop("null_count").withColumnRenamed("row_count", "non_null_count")
     kinds = lambda kind, *cols: [F.when(F.col("dtype").isin(*kind), F.col(c)).alias(c) for c in cols]
-    stats = stats.select("name.*", "non_null_count", "unique_count", "dtype", *kinds(["numeric"], "min_number", "max_number", "mean"), *kinds(["date"], "min_date", "max_date"), *kinds(["boolean"], "true_count", "false_count"), *kinds(["text", "mixed"], "min_length", "max_length", "avg_length"))
-    first = profiles.first_samples(keyed).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("sample_values")).select("name.*", "sample_values")
-    spread = profiles.value_distribution(keyed.select("name", "value")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("spread"))
-    spread = spread.select("name.*", F.map_from_entries(F.transform("spread", lambda s: F.struct(s["value"], s["n"]))).alias("value_distribution"))
+    stats = stats.select(*own, "non_null_count", "unique_count", "dtype", *kinds(["numeric"], "min_number", "max_number", "mean"), *kinds(["date"], "min_date", "max_date"), *kinds(["boolean"], "true_count", "false_count"), *kinds(["text", "mixed"], "min_length", "max_length", "avg_length"))
+    first = profiles.first_samples(keyed, own).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("sample_values"))
+    spread = profiles.value_distribution(keyed.drop("row"), own).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("spread"))
+    spread = spread.select(*own, F.map_from_entries(F.transform("spread", lambda s: F.struct(s["value"], s["n"]))).alias("value_distribution"))
     joined = named.join(stats, [*by, "place"], "left").join(first, [*by, "place"], "left").join(spread, [*by, "place"], "left")
     full = F.coalesce("non_null_count", F.lit(0)).cast("long")
     numbers = ["min_number", "max_number", "mean", "min_date", "max_date", "true_count", "false_count", "min_length", "max_length", "avg_length"]

@@ -23,17 +23,17 @@ def unpivoted(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(F.explode(each).alias("cell")).select("cell.*")
 
 
-def profile(values: DataFrame) -> DataFrame:
-    """One row per column name of (name, value): counts, type, and the statistics of that type.
+def profile(values: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
+    """One row per column (by..., the name unless given) of (by..., value): counts, type, and the statistics of that type.
 
     Values are counted by (name, value) first, so a hot value shrinks before the shuffle and the rest works on distinct values.
     """
-    counted = values.groupBy("name", "value").agg(F.count("*").alias("n"))
+    counted = values.groupBy(*by, "value").agg(F.count("*").alias("n"))
     kind = value_type(F.col("value"))
     rows = counted.withColumn("kind", kind).withColumn("number", numeric(F.col("value"))).withColumn("size", F.length("value"))
     real = F.col("kind") != "null"
     sum_if = lambda cond, x: F.sum(F.when(cond, x).otherwise(0))
-    agg = rows.groupBy("name").agg(
+    agg = rows.groupBy(*by).agg(
         F.sum("n").alias("row_count"),
         sum_if(~real, F.col("n")).alias("null_count"),
         F.count(F.when(real, 1)).alias("unique_count"),
@@ -50,15 +50,15 @@ def profile(values: DataFrame) -> DataFrame:
         (sum_if(real, F.col("size") * F.col("n")) / F.nullif(sum_if(real, F.col("n")), F.lit(0))).alias("avg_length"),
     )
     dtype = F.when(F.size("kinds") == 0, "text").when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).otherwise("mixed")
-    return agg.select("name", "row_count", "null_count", "unique_count", dtype.alias("dtype"), "min_number", "max_number", F.round("mean", 4).alias("mean"), "min_date", "max_date", "true_count", "false_count", "min_length", "max_length", F.round("avg_length", 1).alias("avg_length"))
+    return agg.select(*by, "row_count", "null_count", "unique_count", dtype.alias("dtype"), "min_number", "max_number", F.round("mean", 4).alias("mean"), "min_date", "max_date", "true_count", "false_count", "min_length", "max_length", F.round("avg_length", 1).alias("avg_length"))
 
 
-def value_distribution(values: DataFrame) -> DataFrame:
+def value_distribution(values: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
     """Values with their counts, most frequent first (rank), of the columns that have at most LISTED distinct values."""
-    counted = values.filter(stripped(F.coalesce("value", F.lit(""))) != "").groupBy("name", "value").agg(F.count("*").alias("n"))
-    listed = counted.groupBy("name").count().filter(F.col("count") <= LISTED).select("name")
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
-    return counted.join(listed, "name", "left_semi").withColumn("rank", rank.cast("long"))
+    counted = values.filter(stripped(F.coalesce("value", F.lit(""))) != "").groupBy(*by, "value").agg(F.count("*").alias("n"))
+    listed = counted.groupBy(*by).count().filter(F.col("count") <= LISTED).select(*by)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "value"))
+    return counted.join(listed, [*by], "left_semi").withColumn("rank", rank.cast("long"))
 
 
 def column_roles(profiles: DataFrame) -> DataFrame:
@@ -77,11 +77,11 @@ def column_roles(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("role", role)
 
 
-def first_samples(cells: DataFrame) -> DataFrame:
+def first_samples(cells: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
     """The first SAMPLES distinct values of each column that aren't empty, in the order of rows, with their place."""
-    first = cells.filter(stripped(F.coalesce("value", F.lit(""))) != "").groupBy("name", "value").agg(F.min("row").alias("row"))
-    at = F.row_number().over(Window.partitionBy("name").orderBy("row"))
-    return first.withColumn("at", at.cast("long")).filter(F.col("at") <= SAMPLES).select("name", "at", "value")
+    first = cells.filter(stripped(F.coalesce("value", F.lit(""))) != "").groupBy(*by, "value").agg(F.min("row").alias("row"))
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("row"))
+    return first.withColumn("at", at.cast("long")).filter(F.col("at") <= SAMPLES).select(*by, "at", "value")
 
 
 def header_mode(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -219,3 +219,15 @@ def test_empty(spark):
     tables, columns = ta.analysed(ta.from_regions(spark.createDataFrame([(1, "{}"), (2, None), (3, '{"rows": [{"row_number": 1, "cells": []}], "column_numbers": [2]}')], "id long, raw string"), ["id"]))
     assert sorted((r.id, r.row_count, r.header_mode) for r in tables.collect()) == [(1, 0, "headerless"), (2, 0, "headerless"), (3, 0, "header_row")]
     assert [(r.id, r.position, r.name, r.dtype) for r in columns.collect()] == [(3, "B", "", "text")]
+
+
+def test_cells_are_dealt_once(spark):
+    """Before, each step shuffled all cells anew, by the table and a row or a place."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = json.dumps({"rows": [{"row_number": i, "cells": [{"column_number": 1, "value": f"v{i}"}]} for i in range(1, 4)]})
+        found = ta.analysed(ta.from_regions(spark.createDataFrame([(1, raw), (2, raw)], "id long, raw string"), ["id"]))
+        for df in found:
+            assert df.count() == 2 and "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
