@@ -1,7 +1,7 @@
 """Analysis of many tables of any width in one plan: stored regions or pipe tables in texts to rows, header, column profiles and samples.
 
-Tables are rows; their cells are in long form, (table, row, column, value), so tables of different widths go through the same plan, and a large table is spread over
-tasks by its cells. Cells that a row lacks are empty; they are counted and not made.
+Tables are rows; their cells are in long form, (table, row, column, value), so tables of different widths go through the same plan. Cells are dealt to buckets by
+their table once, and later steps shuffle none. Cells that a row lacks are empty; they are counted and not made.
 """
 
 from __future__ import annotations
