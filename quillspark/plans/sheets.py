@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import extraction, sheets
 from quillspark.plans.structure import LINES, lines
 from quillspark.plans.tables import CELLS, SCORES, region_scores, sheet_cells
-from quillspark.sources.tables import table
+from quillspark.sources.tables import dealt, table
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +91,13 @@ def series_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of regions whose header is in their second row, and of cards; what cards say replaces the regions'."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").groupBy("o_orderkey").agg(F.min("o_custkey").alias("n"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_orderkey").agg(F.min("o_custkey").alias("n"))
     value = F.concat(F.lit("$"), F.col("n").cast("string"))
     rows = [(1, "Note", "x"), (2, "Metrics", "Current Value"), (3, "Profit", value), (4, "Worksheet", value), (5, "Narrative note", value), (6, "Loss estimated", value)]
     text = lambda v: F.lit(v) if isinstance(v, str) else v
     cell = [F.struct(F.lit(r).cast("long").alias("row"), F.lit(c).cast("long").alias("col"), text(v).alias("value")) for r, a, b in rows for c, v in ((1, a), (2, b))]
-    cells = orders.select("o_orderkey", F.explode(F.array(*cell)).alias("c")).select("o_orderkey", "c.*")
-    cards = orders.filter("n % 2 = 0").select("o_orderkey", F.format_string("- profit\n  - Value: %d%%", "n").alias("text"))
-    return extraction.merged_metrics([extraction.region_metrics(cells, ["o_orderkey"]), extraction.bullet_metrics(cards, ["o_orderkey"], "text")], ["o_orderkey"])
+    pages = orders.select("o_orderkey", F.array(*cell).alias("cells"), F.when(F.col("n") % 2 == 0, F.format_string("- profit\n  - Value: %d%%", "n")).alias("text"))
+    return extraction.pair_rows(pages, ["o_orderkey"], extraction.merged_pairs([extraction.region_pairs(F.col("cells")), extraction.bullet_pairs(F.col("text"))]))
 
 
 def column_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

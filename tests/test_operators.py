@@ -290,3 +290,21 @@ def test_split_at_blank_lines_against_brute_force(spark):
     for r in structure.split_at_blank_lines(spark.createDataFrame([*rows, (99, None)], "id int, text string"), "text", 5).orderBy("id", "part").collect():
         found.setdefault(r.id, []).append(r.content)
     assert found == {i: halves(t, 5) for i, t in rows} | {99: [""]}
+
+
+def test_pairs_of_a_row_shuffle_nothing_and_are_worked_out_once(spark):
+    """Labels and values were put together again for each condition that names them, and each clause, card and cell was a row of its own, sorted and joined."""
+    said = "Revenue: $5; revenue = $6, Cases at 7"
+    cards = "  - Value: 9%\n- Revenue\n\n  - Trend: up\n  - Value: $1\n  - Value: $2\n- Total: x\n  - Value: 3%\nEnd\n  - Value: 4%\n- open share\n  - value : 5%\n- Empty"
+    cells = [(3, 2, "$8"), (1, 1, "Note"), (2, 1, "Metric"), (2, 2, " Current value"), (3, 1, "Profit"), (4, 1, "Loss"), (5, 2, "$9"), (6, 1, "Narrative note"), (6, 2, "$1"), (7, 1, "revenue"), (7, 2, "$4")]
+    df = spark.createDataFrame([(1, said, cards, cells), (None, said, None, None)], "id int, said string, cards string, cells array<struct<row:long,col:long,value:string>>")
+    rows = lambda pairs: sorted((r.id or 0, r.label, r.value) for r in extraction.pair_rows(df, ["id"], pairs).collect())
+    prose, listed, region = extraction.text_pairs(F.col("said")), extraction.bullet_pairs(F.col("cards")), extraction.region_pairs(F.col("cells"))
+    assert rows(prose) == [(0, "Cases", "7"), (0, "Revenue", "$6"), (1, "Cases", "7"), (1, "Revenue", "$6")]
+    assert rows(listed) == [(1, "Open share", "5%"), (1, "Revenue", "$1")]
+    assert rows(region) == [(1, "Profit", "$8"), (1, "Revenue", "$4")]
+    assert rows(extraction.region_pairs(F.col("cells"), search=1)) == []
+    assert rows(extraction.merged_pairs([region, listed])) == [(1, "Open share", "5%"), (1, "Profit", "$8"), (1, "Revenue", "$1")]
+    for found in (extraction.text_metrics(df, ["id"], "said"), extraction.bullet_metrics(df, ["id"], "cards")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort " not in plan and plan.count("Generate") == 1
