@@ -38,7 +38,7 @@ def kind_of(value: Column) -> Column:
 
 
 def is_integer(value: Column) -> Column:
-    return F.coalesce(kind_of(value) == "BIGINT", F.lit(False))
+    return F.coalesce(F.schema_of_variant(value) == "BIGINT", F.lit(False))
 
 
 def text_of(value: Column) -> Column:
@@ -47,31 +47,44 @@ def text_of(value: Column) -> Column:
     return F.coalesce(F.when(kind_of(value) == "BOOLEAN", F.initcap(text)).when(kind_of(value).isin("OBJECT", "ARRAY"), F.to_json(value)).otherwise(text), F.lit(""))
 
 
+#: What stored rows are read as; what is no object or no list is null there, fields may be of any kind.
+RAW_ROWS = "array<struct<row_number:variant,cells:array<struct<column_number:variant,value:variant>>>>"
+
+
+def raw_cells(cells: Column) -> Column:
+    """Cells of RAW_ROWS to (place, reason, col, value); those without a reason are sound."""
+    wrong = lambda c: F.when(c.isNull(), "cell is no object").when(~is_integer(c["column_number"]), "column_number is no integer")
+    told = F.transform(cells, lambda c, i: F.struct(i.alias("place"), wrong(c).alias("reason"), c["column_number"].alias("number"), c["value"].alias("value"), F.schema_of_variant(c["value"]).alias("kind")))
+    text = lambda c: F.when(c["kind"] == "STRING", F.try_variant_get(c["value"], "$", "string")).otherwise(text_of(c["value"]))
+    sound = lambda c, x: F.when(c["reason"].isNull(), x)
+    return F.transform(told, lambda c: F.struct(c["place"].alias("place"), c["reason"].alias("reason"), sound(c, F.try_variant_get(c["number"], "$", "long")).alias("col"), sound(c, text(c)).alias("value")))
+
+
 def raw_rows(regions: DataFrame, by: Sequence[str], raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Stored regions, JSON texts of an object with the list rows, to their cells and to what is rejected.
 
     A row is an object with an integer row_number and a list of cells; a cell is an object with an integer column_number. Cells: by..., at (the row's place in the list), row, place
     (the cell's in its row), col, value; a row without cells has one whose col is null. Rejected: by..., at, place, reason; at is null for a whole region, place for a whole row.
+
+    Each step is a column or an array's element that the next one reads: as conditions of filters, texts would be parsed again for each of them.
     """
-    read = regions.select(*by, F.try_parse_json(raw).alias("v"))
-    listed = F.try_variant_get("v", "$.rows", "array<variant>")
-    whole = F.when(F.col("v").isNull(), "no JSON").when(kind_of(F.col("v")) != "OBJECT", "no object").when(kind_of(F.try_variant_get("v", "$.rows", "variant")) != "ARRAY", "rows is no list")
-    read = read.withColumn("reason", whole)
-    rows = read.filter("reason is null").select(*by, F.posexplode(listed).alias("at", "r"))
-    number, cells = F.try_variant_get("r", "$.row_number", "variant"), F.try_variant_get("r", "$.cells", "variant")
-    missing = F.coalesce(cells.isNull(), F.lit(True))
-    bad = F.when(~F.coalesce(kind_of(F.col("r")) == "OBJECT", F.lit(False)), "row is no object").when(~is_integer(number), "row_number is no integer").when(~missing & (kind_of(cells) != "ARRAY"), "cells is no list")
-    rows = rows.withColumn("reason", bad)
-    good = rows.filter("reason is null").select(*by, "at", F.try_variant_get("r", "$.row_number", "long").alias("row"), F.posexplode_outer(F.try_variant_get("r", "$.cells", "array<variant>")).alias("place", "c"))
-    col = F.try_variant_get("c", "$.column_number", "variant")
-    wrong = F.when(F.col("place").isNull(), F.lit(None).cast("string")).when(~F.coalesce(kind_of(F.col("c")) == "OBJECT", F.lit(False)), "cell is no object").when(~is_integer(col), "column_number is no integer")
-    good = good.withColumn("reason", wrong)
-    found = good.withColumn("col", F.when(F.col("reason").isNull(), F.try_variant_get("c", "$.column_number", "long")))
-    value = F.when(F.col("col").isNotNull(), text_of(F.try_variant_get("c", "$.value", "variant")))
+    region = F.transform(F.array(F.try_parse_json(raw)), lambda v: F.struct(v.alias("v"), F.try_variant_get(v, "$.rows", RAW_ROWS).alias("rows")))
+    # what a region or its rows are instead is looked for only where rows or cells are missing
+    whole = lambda x: F.when(x["rows"].isNull(), F.when(x["v"].isNull(), "no JSON").when(kind_of(x["v"]) != "OBJECT", "no object").when(F.try_variant_get(x["v"], "$.rows", "variant").isNotNull(), "rows is no list"))
+    loose = lambda x: F.when(F.exists(x["rows"], lambda r: r["cells"].isNull()), F.try_variant_get(x["v"], "$.rows", "array<map<string,variant>>"))
+    read = regions.select(*by, F.explode_outer(F.transform(region, lambda x: F.struct(whole(x).alias("reason"), x["rows"].alias("rows"), loose(x).alias("loose")))).alias("x")).select(*by, "x.*")
+    is_list = lambda r, i: r["cells"].isNotNull() | F.try_element_at(F.get("loose", i), F.lit("cells")).isNull()  # noqa: E731  or missing
+    bad = lambda r, i: F.when(r.isNull(), "row is no object").when(~is_integer(r["row_number"]), "row_number is no integer").when(~is_list(r, i), "cells is no list")
+    told = F.transform("rows", lambda r, i: F.struct(bad(r, i).alias("reason"), r["row_number"].alias("number"), r["cells"].alias("cells")))
+    rows = read.select(*by, F.col("reason").alias("whole"), F.posexplode_outer(told).alias("at", "r")).select(*by, "whole", "at", F.col("r.reason").alias("reason"), F.try_variant_get("r.number", "$", "long").alias("row"), F.col("r.cells").alias("cells"))
+    sound = rows.filter("whole is null and reason is null and at is not null")
+    found = sound.select(*by, "at", "row", F.explode_outer(raw_cells(F.col("cells"))).alias("c")).select(*by, "at", "row", "c.*")
     none = F.lit(None).cast("int")
-    rejected = read.filter("reason is not null").select(*by, none.alias("at"), none.alias("place"), "reason")
-    rejected = rejected.unionByName(rows.filter("reason is not null").select(*by, "at", none.alias("place"), "reason")).unionByName(good.filter("reason is not null").select(*by, "at", "place", "reason"))
-    return found.select(*by, "at", "row", "place", "col", value.alias("value")), rejected
+    kind = "array<struct<at:int,place:int,reason:string>>"
+    one = F.when(F.col("whole").isNotNull(), F.array(F.struct(none.alias("at"), none.alias("place"), F.col("whole").alias("reason")))).when(F.col("reason").isNotNull(), F.array(F.struct("at", none.alias("place"), "reason")))
+    of_cells = F.transform(F.filter(raw_cells(F.col("cells")), lambda c: c["reason"].isNotNull()), lambda c: F.struct(F.col("at"), c["place"].alias("place"), c["reason"].alias("reason")))
+    rejected = rows.select(*by, F.explode_outer(F.coalesce(one.cast(kind), of_cells.cast(kind))).alias("c")).filter("c is not null").select(*by, "c.at", "c.place", "c.reason")
+    return found.select(*by, "at", "row", "place", "col", "value"), rejected
 
 
 def from_regions(regions: DataFrame, by: Sequence[str], raw: str = "raw", framing: str | None = None, source: str | None = None) -> Tables:

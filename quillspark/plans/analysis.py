@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import table_analysis
-from quillspark.sources.tables import table
+from quillspark.sources.tables import dealt, table
 
 HEADS = ("line no.", "quantity", "ship date", "return flag")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored regions: columns B to E, rows from 3 on. Orders with an odd key have a header row; of returned lines the flag is missing; a line with a discount of 0 has its number as text, and is no row."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"), "l_orderkey")
     cell = lambda number, value: F.struct(F.lit(number).alias("column_number"), value.cast("string").alias("value"))
     cells = F.array(cell(2, F.col("l_linenumber")), cell(3, F.col("l_quantity")), cell(4, F.date_format("l_shipdate", "yyyy-MM-dd")), cell(5, F.when(F.col("l_returnflag") != "R", F.col("l_returnflag"))))
     values = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", cells.alias("cells"))

@@ -231,3 +231,16 @@ def test_cells_are_dealt_once(spark):
             assert df.count() == 2 and "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_raw_rows_parse_each_text_once(spark):
+    """Reasons were conditions of filters, so a text was parsed and a row's kind told again for each of them, and for rejected rows in three branches."""
+    raws = ['{"rows":[{"row_number":1,"cells":[{"column_number":2,"value":true},{"column_number":"3","value":1},7,null]},{"row_number":2},{"row_number":3,"cells":null},{"row_number":4,"cells":{}},{"row_number":"5","cells":[]},{"cells":[]},[1],null,{"row_number":6,"cells":[{"column_number":1,"value":{"a":[1]}},{"column_number":2}]}]}', "[]", "{", '{"rows":1}', "{}", '{"rows":null}', '{"rows":[]}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw string")
+    cells, rejected = ta.raw_rows(df, ["id"])
+    assert sorted(((r.at, r.row, r.place, r.col, r.value) for r in cells.collect()), key=str) == sorted([(0, 1, 0, 2, "True"), (0, 1, 1, None, None), (0, 1, 2, None, None), (0, 1, 3, None, None), (1, 2, None, None, None), (8, 6, 0, 1, '{"a":[1]}'), (8, 6, 1, 2, "")], key=str)
+    own = [(0, 0, 1, "column_number is no integer"), (0, 0, 2, "cell is no object"), (0, 0, 3, "cell is no object"), (0, 2, None, "cells is no list"), (0, 3, None, "cells is no list"), (0, 4, None, "row_number is no integer"), (0, 5, None, "row_number is no integer"), (0, 6, None, "row is no object"), (0, 7, None, "row is no object")]
+    whole = [(1, None, None, "no object"), (2, None, None, "no JSON"), (3, None, None, "rows is no list"), (5, None, None, "rows is no list")]
+    assert sorted(map(str, ((r.id, r.at, r.place, r.reason) for r in rejected.collect()))) == sorted(map(str, own + whole))
+    for found in (cells, rejected):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
