@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import citations, dates, text
 from quillspark.functions.vectors import cosine
-from quillspark.operators import catalog, chunk_store, extraction, findings, flatten, registry, retrieval, structure, tables
+from quillspark.operators import catalog, chunk_store, extraction, findings, flatten, payloads, registry, retrieval, structure, tables
 from quillspark.sources import store
 from quillspark.streaming import citations as stream
 
@@ -308,3 +308,17 @@ def test_pairs_of_a_row_shuffle_nothing_and_are_worked_out_once(spark):
     for found in (extraction.text_metrics(df, ["id"], "said"), extraction.bullet_metrics(df, ["id"], "cards")):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Sort " not in plan and plan.count("Generate") == 1
+
+
+def test_texts_of_chunks_are_cut_before_they_move_and_not_sorted(spark):
+    """Whole contents went through the sort of a merge join with their sections."""
+    chunks = spark.createDataFrame([(1, 0, 2, "Body", "x" * 5000), (1, 1, 3, "Body", "y"), (1, 2, None, "Body", "z"), (1, 3, 2, "References", "-"), (1, 4, 2, None, "-")], "id int, chunk int, section int, section_name string, content string")
+    sections = spark.createDataFrame([(1, 2, " about\n"), (1, 4, "other")], "id int, section int, overview string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = payloads.chunk_payloads(chunks, sections, ["id"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.chunk, r.section_title, r.section_overview, len(r.content)) for r in found.collect()) == [(0, "Body", "about", 4000), (1, "Body", "", 1), (2, "Body", "", 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Sort" not in plan and "3997" in plan.split("Exchange", 1)[1].split("Exchange")[0]
