@@ -71,11 +71,6 @@ def expansion_metrics(found: DataFrame, seeds: DataFrame) -> DataFrame:
     return joined.withColumn("ratio", F.when(F.col("n_seeds") > 0, F.round(F.col("n_chunks") / F.col("n_seeds"), 2)).otherwise(1.0))
 
 
-def first_filled(text: str, *order: str) -> Column:
-    """The first value that isn't empty, in the order of columns, as an aggregate."""
-    return F.min_by(text, F.when(F.coalesce(text, F.lit("")) != "", F.struct(*order)))
-
-
 def chunk_groups(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Chunks of whole documents in groups of a section and a subsection (null: none): by..., section, subsection, section_name, subsection_name, path, level, place, chunk_ids.
 
@@ -83,14 +78,15 @@ def chunk_groups(chunks: DataFrame, by: list[str]) -> DataFrame:
     chunks: by..., chunk_id, page, chunk, section, section_name, subsection, subsection_name, path.
     """
     at = F.struct(F.coalesce("page", F.lit(0)).alias("page"), "chunk")
-    once = Window.partitionBy(*by, "section", "subsection", "chunk_id").orderBy(at)
-    rows = chunks.filter(F.coalesce("chunk_id", F.lit("")) != "").withColumn("turn", F.row_number().over(once)).filter("turn = 1")
-    names = chunks.groupBy(*by, "section").agg(first_filled("section_name", "page", "chunk").alias("section_name"), first_filled("path", "page", "chunk").alias("section_path"))
-    own = chunks.groupBy(*by, "section", "subsection").agg(first_filled("subsection_name", "page", "chunk").alias("subsection_name"), first_filled("path", "page", "chunk").alias("own_path"))
-    groups = rows.groupBy(*by, "section", "subsection").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "chunk_id")))["chunk_id"].alias("chunk_ids"))
-    same = lambda cols: [F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in cols]
-    joined = groups.alias("g").join(own.alias("o"), same([*by, "section", "subsection"])).select("g.*", "o.subsection_name", "o.own_path")
-    joined = joined.alias("g").join(names.alias("o"), same([*by, "section"])).select("g.*", "o.section_name", "o.section_path")
+    named = F.coalesce("chunk_id", F.lit("")) != ""
+    rows = chunks.repartition(*by)  # a document's chunks move together, once
+    first = lambda c: F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct("page", "chunk", F.col(c).alias("value"))))
+    groups = rows.groupBy(*by, "section", "subsection").agg(
+        F.array_distinct(F.sort_array(F.collect_list(F.when(named, F.struct(at.alias("at"), "chunk_id"))))["chunk_id"]).alias("chunk_ids"),
+        first("section_name").alias("name"), first("path").alias("own"), first("subsection_name")["value"].alias("subsection_name"),
+    )
+    section = Window.partitionBy(*by, "section")
+    joined = groups.withColumns({"section_name": F.min("name").over(section)["value"], "section_path": F.min("own").over(section)["value"], "own_path": F.col("own.value")}).filter(F.size("chunk_ids") > 0)
     whole = F.col("subsection").isNull()
     order = Window.partitionBy(*by).orderBy(F.col("section").asc_nulls_last(), F.coalesce("subsection", F.lit(-1)))
     place = F.row_number().over(order).cast("long")

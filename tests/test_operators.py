@@ -322,3 +322,14 @@ def test_texts_of_chunks_are_cut_before_they_move_and_not_sorted(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Sort" not in plan and "3997" in plan.split("Exchange", 1)[1].split("Exchange")[0]
+
+
+def test_chunks_of_groups_move_once(spark):
+    """Chunks were shuffled for their turns, their groups, the names of sections and those of subsections, and these again to be joined."""
+    rows = [(1, "a", 1, 0, 1, "", None, None, ""), (1, "a", 2, 1, 1, "S", None, None, "p"), (1, "b", 2, 2, 1, "T", 1, "U", "q"), (1, "", 3, 3, 2, "V", None, None, "r"), (1, "c", 4, 4, 2, "", 2, "", ""), (1, "b", None, 5, 1, None, 1, "W", "s"), (None, "d", 1, 0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc int, chunk_id string, page int, chunk int, section int, section_name string, subsection int, subsection_name string, path string")
+    found = retrieval.chunk_groups(df, ["doc"])
+    got = {(r.doc, r.section, r.subsection): (r.section_name, r.subsection_name, r.path, r.level, r.place, r.chunk_ids) for r in found.collect()}
+    assert got == {(1, 1, None): ("S", None, "s", "document_full", 1, ["a"]), (1, 1, 1): ("S", "W", "s", "subsection", 2, ["b"]), (1, 2, 2): ("V", None, None, "subsection", 3, ["c"]), (None, None, None): (None, None, None, "document_full", 1, ["d"])}
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
