@@ -243,4 +243,4 @@ def test_raw_rows_parse_each_text_once(spark):
     whole = [(1, None, None, "no object"), (2, None, None, "no JSON"), (3, None, None, "rows is no list"), (5, None, None, "rows is no list")]
     assert sorted(map(str, ((r.id, r.at, r.place, r.reason) for r in rejected.collect()))) == sorted(map(str, own + whole))
     for found in (cells, rejected):
-        assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
