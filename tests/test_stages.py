@@ -66,6 +66,22 @@ def test_malformed_files_say_why(spark, tmp_path):
     assert reasons == {results.result_name(p): w for p, w in {"/2": "no JSON", "/3": "no object", "/4": "no file_path", "/5": "fields of other types", "/6": "no JSON", "/7": "no object", "/8": "no file_path"}.items()}
 
 
+def test_files_are_read_in_few_tasks_and_whatever_their_name(spark, tmp_path):
+    rows = some_results(spark, 600).unionByName(some_results(spark, 2).withColumn("file_path", F.concat(F.lit("/dir/"), F.when(F.col("n") == 0, "_hidden.txt").otherwise(".dot"))))
+    results.write_results(rows, str(tmp_path))
+    files = results.read_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 4  # not one for every 32 files
+    assert {r.file_name for r in files.select("file_name").collect()} == {results.result_name(r.file_path) for r in rows.collect()}
+    found, bad = results.read_results(spark, str(tmp_path), RESULT)
+    assert bad.count() == 0 and found.exceptAll(rows).count() == rows.exceptAll(found).count() == 0
+
+
+def test_bytes_of_files_are_kept(spark, tmp_path):
+    results.write_texts(spark.createDataFrame([("/a.txt", "x")], "file_path string, result string"), str(tmp_path))
+    next(tmp_path.glob("run=*/part-*/*.json")).write_bytes(b"\xef\xbb\xbf\r\n\xff\x00")
+    assert [bytes(r[0]) for r in results.read_files(spark, str(tmp_path)).select(F.col("text").cast("binary")).collect()] == [b"\xef\xbb\xbf\r\n\xff\x00"]
+
+
 def test_discovery(spark):
     record = {f.name: "x" for f in results.RECORD} | {"file_size": 5, "date_last_modified": 1.5, "filetype": "pdf"}
     text = {"new": [record | {"supported": True}, record | {"more": 1}, 7, None, {k: v for k, v in record.items() if k != "filename"}, record | {"filetype": "exe"}], "modified": "none", "deleted": [record]}
