@@ -177,13 +177,15 @@ def parsed(files: DataFrame, schema: T.StructType, key: str = "file_path") -> tu
     """
     kind = F.schema_of_variant(F.try_parse_json("text"))
     corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = files.withColumn("kind", kind).withColumn("result", F.from_json("text", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    result = lambda text: F.from_json(text, corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = files.withColumn("kind", kind).withColumn("result", result("text"))
     reason = (
         F.when(F.col("kind").isNull(), "no JSON").when(~F.col("kind").startswith("OBJECT"), "no object").when(F.col("result._corrupt").isNotNull(), "fields of other types")
         .when(F.trim(F.coalesce(F.col(f"result.{key}").cast("string"), F.lit(""))) == "", f"no {key}")
     )
     read = read.withColumn("reason", reason)
-    good = read.filter("reason is null").groupBy(F.col(f"result.{key}")).agg(F.max_by("result", F.struct("run", "file_name", "text")).alias("result"))
+    newest = read.filter("reason is null").groupBy(F.col(f"result.{key}")).agg(F.max(F.struct("run", "file_name", "text")).alias("newest"))  # texts move once, without what is read from them
+    good = newest.select(result("newest.text").alias("result"))
     return good.select(*[F.col(f"result.`{f.name}`") for f in schema.fields]), read.filter("reason is not null").select("run", "file_name", "reason", "text")
 
 

@@ -76,6 +76,16 @@ def test_files_are_read_in_few_tasks_and_whatever_their_name(spark, tmp_path):
     assert bad.count() == 0 and found.exceptAll(rows).count() == rows.exceptAll(found).count() == 0
 
 
+def test_results_move_once(spark, tmp_path):
+    rows = some_results(spark, 30).unionByName(some_results(spark, 5).withColumn("n", F.col("n") + 50).repartition(3))  # five paths come twice in one run
+    results.write_results(rows.repartition(4, "n"), str(tmp_path))
+    results.write_results(rows.filter("n = 7").withColumn("n", F.lit(99).cast("long")), str(tmp_path))
+    found, _ = results.read_results(spark, str(tmp_path), RESULT)
+    assert "max_by" not in found._jdf.queryExecution().optimizedPlan().toString()  # the file's text alone goes through the shuffle, not what is read from it as well
+    assert sorted(r.n for r in found.filter("file_path not rlike 'report[.][0-4][.]pdf'").collect()) == [5, 6, *range(8, 30), 99]
+    assert found.count() == 30
+
+
 def test_bytes_of_files_are_kept(spark, tmp_path):
     results.write_texts(spark.createDataFrame([("/a.txt", "x")], "file_path string, result string"), str(tmp_path))
     next(tmp_path.glob("run=*/part-*/*.json")).write_bytes(b"\xef\xbb\xbf\r\n\xff\x00")
