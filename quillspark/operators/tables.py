@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import char_tokens, column_letters, label_like, numeric, stripped, value_shape, value_type
-from quillspark.sources.scratch import discard, written
+from quillspark.sources.scratch import discard, written_by
 
 # Parts of names that tell identifiers and measures.
 IDENTIFIER_PARTS = ("id", "identifier", "reference", "ref", "account", "acct", "code", "key", "number")
@@ -155,28 +155,45 @@ def token_batches(rows: DataFrame, by: list[str], order: list[Column], text: str
     return sized.join(mean, by).withColumn("batch", F.floor((F.col("at") - 1) / each).cast("long")).drop("mean", "at")
 
 
-def bands(cells: DataFrame, by: list[str], axis: str, name: str) -> DataFrame:
-    """cells with the number of their band: runs of used rows (or columns) without an unused one between."""
-    used = cells.select(*by, axis).distinct()
-    order = Window.partitionBy(*by).orderBy(axis)
-    opens = (F.col(axis) > F.coalesce(F.lag(axis).over(order) + 1, F.col(axis) - 1)).cast("int")
-    numbered = used.withColumn("opens", opens).withColumn(name, F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
-    return cells.join(numbered, [*by, axis])
+def in_runs(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells with `first`: the column where the run of neighbouring cells of their row begins. No blank column can cut a run, so layout works on runs."""
+    order = Window.partitionBy(*by, "row").orderBy("col")
+    opens = F.coalesce(F.col("col") > F.lag("col").over(order) + 1, F.lit(True))
+    marked = cells.filter("row is not null and col is not null").withColumn("opens", opens)
+    return marked.withColumn("first", F.max(F.when(F.col("opens"), F.col("col"))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
+def bands(runs: DataFrame, by: list[str], low: str, high: str, corner: str) -> DataFrame:
+    """runs with a region's corner (top or left) set anew: to where their band begins, after the last row or column that nothing uses."""
+    order = Window.partitionBy(*by, "top", "left").orderBy(low, high)
+    reached = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.withColumn("opens", F.coalesce(F.col(low) > reached + 1, F.lit(True)))
+    return marked.withColumn(corner, F.max(F.when(F.col("opens"), F.col(low))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
+def region_runs(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Runs of cells with their region: by..., row, first, last, n (cells), region. Sheets are split at blank rows and columns, in turns, until nothing can be split.
+
+    A region is told by its corner: bands lie apart, so no two regions of a sheet share one. Sheets are dealt once; two turns split all of them and are written, without a shuffle.
+    """
+    runs = in_runs(cells, by).groupBy(*by, "row", "first").agg(F.max("col").alias("last"), F.count("*").alias("n"))
+    runs = written_by(runs.withColumns({c: F.lit(0).cast("long") for c in ("top", "left")}), "runs", by)
+    turn = lambda r: bands(bands(r, by, "row", "row", "top"), by, "first", "last", "left")
+    moved = True
+    while moved:
+        before, once = runs, turn(runs).withColumns({"was_top": F.col("top"), "was_left": F.col("left")})
+        split = turn(once).withColumn("moved", (F.col("top") != F.col("was_top")) | (F.col("left") != F.col("was_left")))
+        runs = written_by(split.drop("was_top", "was_left"), "runs", by)
+        discard(before)
+        moved = not runs.filter("moved").isEmpty()
+    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("top", "left")).cast("long")
+    return runs.select(*by, "row", "first", "last", "n", number.alias("region"))
 
 
 def regions(cells: DataFrame, by: list[str]) -> DataFrame:
-    """cells with region: sheets split at blank rows and columns, in turns, until nothing can be split. Each turn splits all sheets at once and is written."""
-    split, before = written(cells.withColumn("region", F.lit("")), "regions"), None
-    while before is None or split.select(*by, "region").distinct().count() > before.select(*by, "region").distinct().count():
-        if before is not None:
-            discard(before)
-        before = split
-        for axis in ("row", "col"):
-            split = bands(split, [*by, "region"], axis, "band").withColumn("region", F.md5(F.concat_ws(".", "region", F.col("band").cast("string")).cast("binary"))).drop("band")
-        split = written(split, "regions")
-    corner = split.groupBy(*by, "region").agg(F.min("row").alias("top"), F.min("col").alias("left"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("top", "left")).cast("long")
-    return split.join(corner.withColumn("number", number).select(*by, "region", "number"), [*by, "region"]).drop("region").withColumnRenamed("number", "region")
+    """cells with region: the number of theirs, as in region_runs. Cells are dealt by their sheets once and written."""
+    dealt = written_by(cells, "cells", by)
+    return in_runs(dealt, by).join(region_runs(dealt, by).select(*by, "row", "first", "region"), [*by, "row", "first"]).select(*cells.columns, "region")
 
 
 def grid_stats(cells: DataFrame, by: list[str]) -> DataFrame:

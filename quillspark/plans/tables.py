@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import char_tokens, value_shape, value_type, word_tokens
 from quillspark.operators import tables
-from quillspark.sources.tables import table
+from quillspark.sources.tables import dealt, table
 
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 LINEITEM = ["l_large", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -93,9 +93,10 @@ def token_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("l_suppkey", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of four blocks of order cells (one sheet per customer), with blank rows and columns between."""
-    orders = table(spark, sf_dir, "orders")
+def sheet_cells(spark: SparkSession, sf_dir: str, by_sheet: bool = False) -> DataFrame:
+    """Sheets of four blocks of order cells (one sheet per customer), with blank rows and columns between. by_sheet: orders are dealt by their sheets first, so that cells need not be."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders = dealt(orders, "o_custkey") if by_sheet else orders
     block = F.col("o_orderkey") % 4
     top, left = F.floor(block / 2) * 40, (block % 2) * 8
     at = (F.floor(F.col("o_orderkey") / 4) % 30 + 1)
@@ -107,7 +108,7 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.regions(sheet_cells(spark, sf_dir), ["sheet"]).groupBy("sheet", "region").agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"), F.count("*").alias("n_cells"))
+    return tables.region_runs(sheet_cells(spark, sf_dir, by_sheet=True), ["sheet"]).groupBy("sheet", "region").agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("first").alias("left"), F.max("last").alias("right"), F.sum("n").alias("n_cells"))
 
 
 def region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,31 @@ def test_regions_and_scores(spark):
     assert tables.best_region(tables.region_scores(found, ["sheet", "region"]), ["sheet"]).first().region == 1
 
 
+def test_regions_equal_splitting_by_hand_without_moving_cells(spark):
+    def by_hand(cells):
+        for axis in (0, 1):
+            used = sorted({c[axis] for c in cells})
+            for a, b in zip(used, used[1:]):
+                if b > a + 1:
+                    return by_hand({c for c in cells if c[axis] <= a}) + by_hand({c for c in cells if c[axis] >= b})
+        return [cells]
+
+    draw = random.Random(3)
+    sheets = {s: {(draw.randrange(-2, 12), draw.randrange(14)) for _ in range(draw.choice((5, 12, 20, 40)))} for s in range(60)}
+    spiral = ["#######", "......#", "#####.#", "#...#.#", "#.#...#", "#.#####", "#......"]
+    sheets[60] = {(r, c) for r, line in enumerate(spiral) for c, x in enumerate(line) if x == "#"}  # no line is blank: one region
+    sheets[61] = {(8 * r + 2 * i, 8 * c + 2 * j) for r in range(2) for c in range(2) for i in range(3) for j in range(3)}
+    rows = [(s, *c, f"{s}.{c}") for s, cells in sheets.items() for c in cells]
+    df = spark.createDataFrame([*rows, rows[0], (0, None, 1, "no row")], "sheet long, row long, col long, value string")  # a cell that comes twice stays twice
+    before = {(s, *c): n for s, cells in sheets.items() for n, cells in enumerate(sorted(by_hand(cells), key=lambda g: (min(c[0] for c in g), min(c[1] for c in g))), 1) for c in cells}
+    found = tables.regions(df, ["sheet"])
+    assert sorted((r.sheet, r.row, r.col, r.value, r.region) for r in found.collect()) == sorted((*r, before[r[:3]]) for r in [*rows, rows[0]])
+    runs = tables.region_runs(df, ["sheet"])
+    assert runs.agg(F.sum("n")).first()[0] == len(rows) + 1 and runs.count() < len(rows)
+    for df in (found, runs):
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_filter(spark):
     rows = spark.createDataFrame([("A", 1), ("b", 2)], "Name string, n int")
     assert tables.dense_filter(rows, {"NAME": "a", "nope": "z"}).count() == 1
