@@ -59,13 +59,18 @@ def page_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.gap_pages(pages, ["user_id"], "page", 2)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Lines as chunks: rows (document, page, ...) with chunk, section (of 8 lines), subsection (of 4), and the pages of both."""
+    rows = rows.withColumns({"chunk": F.col("page") - 1, "section": F.floor((F.col("page") - 1) / 8) + 1, "subsection": F.floor((F.col("page") - 1) % 8 / 4)})
+    per = F.count("*").over(Window.partitionBy("document", "section"))
+    sub = F.count("*").over(Window.partitionBy("document", "section", "subsection"))
+    return rows.withColumns({"section_pages": per, "subsection_pages": sub})
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, documents, seeds) of the lines of documents: sections of 8 lines, subsections of 4, a seed wherever the line has 13 letters modulo 17."""
-    rows = lines(spark, sf_dir).select(F.col("doc_id").alias("document"), (F.col("page") - 1).alias("chunk"), "page", F.length("content").alias("size"))
-    rows = rows.withColumn("section", F.floor((F.col("page") - 1) / 8) + 1).withColumn("subsection", F.floor((F.col("page") - 1) % 8 / 4))
-    per = F.count("*").over(Window.partitionBy("document", "section")).alias("section_pages")
-    sub = F.count("*").over(Window.partitionBy("document", "section", "subsection")).alias("subsection_pages")
-    chunks = rows.select("document", "chunk", "page", "section", "subsection", "size", per, sub)
+    rows = lines(spark, sf_dir).select(F.col("doc_id").alias("document"), "page", F.length("content").alias("size"))
+    chunks = placed(rows).select("document", "chunk", "page", "section", "subsection", "size", "section_pages", "subsection_pages")
     documents = rows.groupBy("document").agg(F.max("page").alias("page_count"))
     return chunks.drop("size"), documents, chunks.filter("size % 17 = 13").select("document", "chunk")
 

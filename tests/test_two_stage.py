@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import chunk_store, two_stage, vector_index
+from quillspark.plans import two_stage as plans
 
 CHUNK = "document long, chunk long, page long, section long, subsection long, section_pages long, subsection_pages long, content string"
 
@@ -195,3 +196,14 @@ def test_findings_of_decisions(spark):
     assert [(r.document_id, r.file_name, r.file_link, r.page, r.source) for r in two_stage.metadata_findings(decisions, documents).collect()] == [(7, "D", "", 3, "metadata")]
     assert [r.document_id for r in two_stage.to_research(decisions).collect()] == [8]
     assert two_stage.outcome(decisions).first()[2:] == (2, 1, 1)
+
+
+def test_buckets_of_lines_grow_with_the_texts(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(plans, "BUCKET", 20_000)
+    kept = plans.store(spark, sf)
+    size = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert kept.buckets == -(-size // 20_000) > 8
+    want = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk", "content"))
+    got = kept.rows().select("document", F.col("chunk").cast("int"), "content")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
