@@ -125,8 +125,9 @@ def header_mode(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def column_names(cells: DataFrame, by: list[str], headerless: Column) -> DataFrame:
     """Names of a table's columns: letters, or the first row's values; those that occur twice get their position."""
-    first = Window.partitionBy(*by)
-    top = cells.withColumn("first", F.min("row").over(first)).filter(F.col("row") == F.col("first"))
+    lowest = cells.groupBy(*by).agg(F.min("row").alias("first"))  # as a join by table and row: a window would put all cells of a table into one task
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]
+    top = cells.alias("c").join(lowest.alias("l"), [*same, F.col("c.row") == F.col("l.first")], "left_semi")
     name = F.when(headerless | (stripped(F.coalesce("value", F.lit(""))) == ""), column_letters(F.col("col"))).otherwise(stripped(F.col("value")))
     named = top.withColumn("name", name)
     twice = F.count("*").over(Window.partitionBy(*by, "name")) > 1

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import citations, dates, text
 from quillspark.functions.vectors import cosine
-from quillspark.operators import catalog, chunk_store, extraction, findings, flatten, payloads, registry, retrieval, structure, tables
+from quillspark.operators import catalog, chunk_store, dense, extraction, findings, flatten, payloads, registry, retrieval, structure, tables
 from quillspark.sources import store
 from quillspark.streaming import citations as stream
 
@@ -359,3 +359,14 @@ def test_chunks_of_groups_move_once(spark):
     assert got == {(1, 1, None): ("S", None, "s", "document_full", 1, ["a"]), (1, 1, 1): ("S", "W", "s", "subsection", 2, ["b"]), (1, 2, 2): ("V", None, None, "subsection", 3, ["c"]), (None, None, None): (None, None, None, "document_full", 1, ["d"])}
     plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def first_row_cells(spark):
+    rows = [("a", 3, 1, "Name"), ("a", 3, 2, "Name"), ("a", 3, 3, " "), ("a", 4, 1, "x"), ("a", 4, 2, "y"), ("b", 7, 1, "only")]
+    return spark.createDataFrame(rows, "t string, row long, col long, value string")
+
+
+def test_column_names_without_a_window_over_the_cells(spark):
+    named = tables.column_names(first_row_cells(spark), ["t"], F.col("t") == "b")
+    assert sorted(tuple(r) for r in named.collect()) == [("a", 1, "Name_1"), ("a", 2, "Name_2"), ("a", 3, "C"), ("b", 1, "A")]
+    assert "min(row" not in "".join(line for line in named._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in line)
