@@ -22,10 +22,9 @@ def cells_of(tables: DataFrame, by: list[str], raw: str = "raw_rows") -> DataFra
 
 def headed(cells: DataFrame, by: list[str]) -> DataFrame:
     """Cells below the first row with the name that the first row gives their column."""
-    first = F.min("row").over(Window.partitionBy(*by))
-    marked = cells.withColumn("first", first)
-    heads = marked.filter(F.col("row") == F.col("first")).select(*by, "col", stripped(F.col("value")).alias("name"))
-    return marked.filter(F.col("row") > F.col("first")).drop("first").join(heads, [*by, "col"])
+    lowest = cells.groupBy(*by).agg(F.min("row").alias("row"))  # not a window, which would put all cells of a table into one task
+    heads = cells.join(lowest, [*by, "row"]).select(*by, "col", F.col("row").alias("first"), stripped(F.col("value")).alias("name"))
+    return cells.join(heads, [*by, "col"]).filter(F.col("row") > F.col("first")).drop("first")
 
 
 def matching_rows(cells: DataFrame, by: list[str], filters: Mapping[str, str]) -> DataFrame:

@@ -370,3 +370,9 @@ def test_column_names_without_a_window_over_the_cells(spark):
     named = tables.column_names(first_row_cells(spark), ["t"], F.col("t") == "b")
     assert sorted(tuple(r) for r in named.collect()) == [("a", 1, "Name_1"), ("a", 2, "Name_2"), ("a", 3, "C"), ("b", 1, "A")]
     assert "min(row" not in "".join(line for line in named._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in line)
+
+
+def test_headed_cells_without_a_window_over_the_cells(spark):
+    found = dense.headed(first_row_cells(spark), ["t"])
+    assert sorted((r.t, r.row, r.col, r.value, r["name"]) for r in found.collect()) == [("a", 4, 1, "x", "Name"), ("a", 4, 2, "y", "Name")]
+    assert "windowspecdefinition" not in found._jdf.queryExecution().optimizedPlan().toString()
