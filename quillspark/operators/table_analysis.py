@@ -1,20 +1,19 @@
 """Analysis of many tables of any width in one plan: stored regions or pipe tables in texts to rows, header, column profiles and samples.
 
-Tables are rows; their cells are in long form, (table, row, column, value), so tables of different widths go through the same plan. Cells are dealt to buckets by
-their table once, and later steps shuffle none. Cells that a row lacks are empty; they are counted and not made.
+A table comes as one text in one row, and is analysed in that row: its cells are lists by column, sorted by their row, so tables of different widths go through the same
+plan and nothing is shuffled, joined or written. Each list is sorted once, so the work of a table follows its cells. Cells that a row lacks are empty; they are counted and not made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import column_letters, label_like, stripped, value_shape, value_type, word_tokens
+from quillspark.functions.text import DATE_CELL, IN_BRACKETS, NUMBER, bound, column_letters, label_like, stripped, trimmed, value_shape, word_tokens
 from quillspark.operators import tables as profiles
-from quillspark.sources.scratch import written_by
 
 #: Values below the first row whose shapes are compared with it; rows at both ends that are shown.
 COMPARED, HEAD, TAIL = 5, 5, 3
@@ -22,15 +21,64 @@ COMPARED, HEAD, TAIL = 5, 5, 3
 
 @dataclass
 class Tables:
-    """tables: by..., columns (name of each place), shown, framing, used_range, region_id, token_count; rows: by..., at (from 0), number, line; cells: by..., at, place (from 1), value.
+    """grids: by..., columns (name of each place), shown, framing, used_range, region_id, token_count, rows (number and line of each), cells (for each place: at, value, bare, number, kind).
 
-    shown: whether a row's line is made from its cells; line: its text, if it has one. All three are written tables: many steps read them, and a stored text is parsed once.
+    shown: whether a row's line is made from its cells; line: its text, if it has one. at is a cell's row, from 0; cells without a value aren't listed.
     """
 
     by: list[str]
-    tables: DataFrame
-    rows: DataFrame
-    cells: DataFrame
+    grids: DataFrame
+
+
+def worked(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """df's columns `keep` and new ones, each worked out once for a row: as columns of a projection, they would be put wherever a later one names them."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("worked")).select(*keep, "worked.*")
+
+
+def none_of(kind: str) -> Column:
+    """An empty list."""
+    return F.array().cast(f"array<{kind}>")
+
+
+def runs(entries: Column, key: str) -> Column:
+    """Entries in their order, cut where their key changes: a list of lists."""
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i)[key] != F.get(s, i - 1)[key])))
+        return bound(starts, lambda at: F.transform(at, lambda i, j: F.slice(s, i + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - i)))
+
+    return bound(F.sort_array(entries), cut)
+
+
+def number_of(bare: Column) -> Column:
+    """numeric() of a value without white space at its ends."""
+    inner = F.regexp_extract(bare, IN_BRACKETS, 1)
+    marked = F.translate(F.when(inner != "", F.concat(F.lit("-"), inner)).otherwise(bare), "$,%", "")
+    plain = lambda x: F.when(x.rlike(NUMBER), x.try_cast("double"))
+    return F.when(bare.rlike(r"[$,%(]"), bound(marked, plain)).otherwise(plain(bare))
+
+
+def typed(cells: Column) -> Column:
+    """Cells (at, value) with their bare value, its number if it is one, and its type as of value_type()."""
+    bare = F.transform(cells, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), trimmed(c["value"]).alias("bare")))
+    numbered = F.transform(bare, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), c["bare"].alias("bare"), number_of(c["bare"]).alias("number")))
+    kind = lambda c: F.when(c["bare"] == "", "null").when(c["number"].isNotNull(), "numeric").when(F.upper(c["bare"]).isin("TRUE", "FALSE"), "boolean").when(c["bare"].rlike(DATE_CELL), "date").otherwise("text")
+    return F.transform(numbered, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), c["bare"].alias("bare"), c["number"].alias("number"), kind(c).alias("kind")))
+
+
+def by_place(df: DataFrame, keep: Sequence[str], numbers: Column) -> DataFrame:
+    """df's flat cells (col, at, turn, value) as lists for each of the numbers of columns: keep..., numbers, cells. Of cells of a row with the same column the last one counts.
+
+    numbers may name used, the columns that have cells.
+    """
+    last = lambda g: F.filter(g, lambda c, i: F.coalesce(F.get(g, i + 1)["at"] != c["at"], F.lit(True)))
+    lists = F.transform(runs(F.col("flat"), "col"), last)
+    df = worked(df, keep, lists=lists)
+    df = worked(df, [*keep, "lists"], used=F.transform("lists", lambda g: F.get(g, F.lit(0))["col"]))
+    df = worked(df, [*keep, "lists", "used"], numbers=numbers)
+    filled = lambda g: typed(F.filter(g, lambda c: c["value"] != ""))
+    placed = bound(F.map_from_arrays("used", "lists"), lambda m: F.transform("numbers", lambda n: F.coalesce(F.try_element_at(m, n), none_of("struct<col:bigint,at:int,turn:int,value:string>"))))
+    return worked(df, [*keep, "numbers"], cells=F.transform(placed, filled))
 
 
 def kind_of(value: Column) -> Column:
@@ -47,6 +95,11 @@ def text_of(value: Column) -> Column:
     return F.coalesce(F.when(kind_of(value) == "BOOLEAN", F.initcap(text)).when(kind_of(value).isin("OBJECT", "ARRAY"), F.to_json(value)).otherwise(text), F.lit(""))
 
 
+def cell_text(value: Column) -> Column:
+    """text_of, without looking further at strings, which most cells are."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(text_of(value))
+
+
 #: What stored rows are read as; what is no object or no list is null there, fields may be of any kind.
 RAW_ROWS = "array<struct<row_number:variant,cells:array<struct<column_number:variant,value:variant>>>>"
 
@@ -88,34 +141,38 @@ def raw_rows(regions: DataFrame, by: Sequence[str], raw: str = "raw") -> tuple[D
 
 
 def from_regions(regions: DataFrame, by: Sequence[str], raw: str = "raw", framing: str | None = None, source: str | None = None) -> Tables:
-    """Stored regions (raw_rows) as tables. framing, source: columns with the text around a region, and with the text that its tokens are counted of.
+    """Stored regions as tables; what raw_rows rejects has no part. framing, source: columns with the text around a region, and with the text that its tokens are counted of.
 
     Columns are those of column_numbers, or else those of the cells; rows are those of row_numbers in that order, then the others; without row_numbers all by number. Of rows with the same
     number the last one counts, of cells of a row with the same column too.
     """
     by = list(by)
-    cells = written_by(raw_rows(regions, by, raw)[0], "table-raw", by)
-    ints = lambda name: F.transform(F.filter(F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")), is_integer), lambda x: F.try_variant_get(x, "$", "long"))
     texts = [F.coalesce(F.col(c), F.lit("")).alias(n) if c else F.lit("").alias(n) for c, n in ((framing, "framing"), (source, "source"))]
-    heads = regions.select(*by, F.try_parse_json(raw).alias("v"), *texts)
+    heads = [*by, "framing", "source"]
+    df = worked(regions.select(*by, *texts, F.col(raw).alias("raw")), heads, v=F.try_parse_json("raw"))
+    ints = lambda name: F.transform(F.filter(F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), none_of("variant")), is_integer), lambda x: F.try_variant_get(x, "$", "long"))
     said = lambda name: stripped(text_of(F.try_variant_get("v", f"$.{name}", "variant")))
-    heads = heads.select(*by, "framing", "source", said("used_range").alias("used_range"), said("region_id").alias("region_id"), F.array_sort(ints("column_numbers")).alias("listed_columns"), ints("row_numbers").alias("listed_rows"))
-    last_row = cells.groupBy(*by, "row").agg(F.max("at").alias("at"), F.min("at").alias("since"))
-    own = cells.join(last_row.select(*by, "row", "at"), [*by, "row", "at"]).filter("col is not null")
-    own = written_by(own.groupBy(*by, "row", "col").agg(F.max_by("value", "place").alias("value")), "table-own", by)
-    used = own.groupBy(*by).agg(F.array_sort(F.collect_set("col")).alias("used_columns"))  # as many as the region has columns
-    heads = heads.join(used, by, "left")
-    columns = F.when(F.size("listed_columns") > 0, F.col("listed_columns")).otherwise(F.coalesce("used_columns", F.array().cast("array<bigint>")))
-    heads = written_by(heads.withColumn("numbers", columns), "table-heads", by)
-    named = heads.select(*by, "listed_rows")
-    listed = named.select(*by, F.posexplode("listed_rows").alias("turn", "row")).groupBy(*by, "row").agg(F.min("turn").alias("turn"))
-    rows = last_row.join(listed, [*by, "row"], "full").join(named.withColumn("ordered", F.size("listed_rows") > 0).select(*by, "ordered"), by)
-    order = Window.partitionBy(*by).orderBy(F.col("turn").asc_nulls_last(), F.when(F.col("ordered"), F.col("since")), "row")
-    rows = written_by(rows.withColumn("at", (F.row_number().over(order) - 1).cast("long")).select(*by, "at", F.col("row").alias("number"), F.lit(None).cast("string").alias("line")), "table-rows", by)
-    placed = own.join(heads.select(*by, F.posexplode("numbers").alias("place", "col")), [*by, "col"]).join(rows.select(*by, "at", F.col("number").alias("row")), [*by, "row"])
+    stored = F.coalesce(F.try_variant_get("v", "$.rows", RAW_ROWS), F.array().cast(RAW_ROWS))
+    df = worked(df, [*heads, "v"], used_range=said("used_range"), region_id=said("region_id"), listed_columns=F.array_sort(ints("column_numbers")), listed_rows=ints("row_numbers"), stored=stored)
+    heads += ["used_range", "region_id"]
+    loose = F.when(F.exists("stored", lambda r: r["cells"].isNull()), F.try_variant_get("v", "$.rows", "array<map<string,variant>>"))
+    df = worked(df, [*heads, "listed_columns", "listed_rows", "stored"], loose=loose)
+    sound = lambda r, i: r.isNotNull() & is_integer(r["row_number"]) & (r["cells"].isNotNull() | F.try_element_at(F.get("loose", i), F.lit("cells")).isNull())
+    entry = lambda number, is_stored, k: F.struct(number.alias("number"), F.lit(is_stored).alias("is_stored"), k.alias("k"))
+    own = F.filter(F.transform("stored", lambda r, i: F.when(sound(r, i), entry(F.try_variant_get(r["row_number"], "$", "long"), True, i))), lambda r: r.isNotNull())
+    df = worked(df, [*heads, "listed_columns", "listed_rows", "stored"], same=runs(F.concat(F.transform("listed_rows", lambda x, i: entry(x, False, i)), own), "number"))
+    first, last = lambda g: F.get(g, F.lit(0)), lambda g: F.element_at(g, -1)
+    since = lambda g: F.when(F.size("listed_rows") > 0, F.get(F.filter(g, lambda e: e["is_stored"]), F.lit(0))["k"])
+    turn = lambda g: F.when(first(g)["is_stored"], F.lit(2**31 - 1)).otherwise(first(g)["k"])
+    order = F.sort_array(F.transform("same", lambda g: F.struct(turn(g).alias("turn"), since(g).alias("since"), first(g)["number"].alias("number"), F.when(last(g)["is_stored"], last(g)["k"]).alias("place"))))
+    df = worked(df, [*heads, "listed_columns", "stored"], order=order)
+    kept = lambda r: F.filter(F.coalesce(F.get("stored", r["place"])["cells"], none_of("struct<column_number:variant,value:variant>")), lambda c: c.isNotNull() & is_integer(c["column_number"]))
+    cell = lambda at: lambda c, i: F.struct(F.try_variant_get(c["column_number"], "$", "long").alias("col"), at.alias("at"), i.alias("turn"), cell_text(c["value"]).alias("value"))
+    df = worked(df, [*heads, "listed_columns", "order"], flat=F.flatten(F.transform("order", lambda r, at: F.transform(kept(r), cell(at)))))
+    df = by_place(df, [*heads, "listed_columns", "order"], F.when(F.size("listed_columns") > 0, F.col("listed_columns")).otherwise(F.col("used")))
     source_text = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("source", "framing", "used_range", "region_id")], F.lit(""))
-    found = heads.select(*by, F.transform("numbers", column_letters).alias("columns"), F.lit(True).alias("shown"), "framing", "used_range", "region_id", word_tokens(source_text).alias("token_count"))
-    return Tables(by, found, rows, written_by(placed.select(*by, "at", (F.col("place") + 1).cast("long").alias("place"), "value"), "table-cells", by))
+    rows = F.transform("order", lambda r: F.struct(r["number"].alias("number"), F.lit(None).cast("string").alias("line")))
+    return Tables(by, df.select(*by, F.transform("numbers", column_letters).alias("columns"), F.lit(True).alias("shown"), "framing", "used_range", "region_id", word_tokens(source_text).alias("token_count"), rows.alias("rows"), "cells"))
 
 
 def unescaped(cell: Column) -> Column:
@@ -133,122 +190,137 @@ def from_markdown(docs: DataFrame, by: Sequence[str], text: str = "text") -> Tab
     by = list(by)
     lines = F.split(text, "\r\n|\n|\r", -1)
     piped = F.transform("lines", lambda x: F.coalesce(stripped(x).rlike(r"^\|.+\|$"), F.lit(False)))
-    read = docs.select(*by, F.col(text).alias("text"), lines.alias("lines")).withColumn("piped", piped)
-    read = read.withColumn("first", F.array_position("piped", True).cast("int")).withColumn("past", (F.size("lines") - F.array_position(F.reverse("piped"), True) + 2).cast("int"))
+    read = worked(docs.select(*by, F.col(text).alias("text")), [*by, "text"], lines=lines)
+    read = worked(read, [*by, "text", "lines"], piped=piped)
+    read = worked(read, [*by, "text", "lines"], first=F.array_position("piped", True).cast("int"), past=(F.size("lines") - F.array_position(F.reverse("piped"), True) + 2).cast("int"))
     has = F.coalesce(F.col("first") > 0, F.lit(False))
     part = lambda a: stripped(F.array_join(a, "\n"))
     around = F.filter(F.array(part(F.slice("lines", F.lit(1), F.col("first") - 1)), part(F.slice("lines", F.col("past"), F.size("lines")))), lambda x: x != "")
-    read = read.withColumn("has", has).withColumn("table", F.when(has, F.slice("lines", F.col("first"), F.col("past") - F.col("first")))).withColumn("framing", F.when(has, F.array_join(around, "\n\n")).otherwise(stripped(F.coalesce("text", F.lit("")))))
-    heads = pipe_cells(F.get("table", F.lit(0)))
-    read = read.withColumn("heads", heads).withColumn("skip", (F.coalesce(F.get("heads", F.lit(0)) == "Row", F.lit(False))).cast("int"))
-    columns = F.coalesce(F.slice("heads", F.col("skip") + 1, F.greatest(F.size("heads"), F.lit(0))), F.array().cast("array<string>"))
+    framing = F.when(has, F.array_join(around, "\n\n")).otherwise(stripped(F.coalesce("text", F.lit(""))))
+    read = worked(read, [*by, "text"], table=F.when(has, F.slice("lines", F.col("first"), F.col("past") - F.col("first"))), framing=framing)
+    read = worked(read, [*by, "text", "table", "framing"], heads=pipe_cells(F.get("table", F.lit(0))))
+    skip = (F.coalesce(F.get("heads", F.lit(0)) == "Row", F.lit(False))).cast("int")
+    cut = F.transform(F.coalesce(F.slice("table", F.lit(2), F.greatest(F.size("table"), F.lit(0))), none_of("string")), lambda x: F.struct(x.alias("line"), pipe_cells(x).alias("values")))
+    filled = lambda x: F.filter(x["values"], lambda c: c != "")
+    ruled = lambda f: (F.size(f) > 0) & F.forall(f, lambda c: c.rlike("^:?-+:?$"))
+    read = worked(read, [*by, "text", "framing", "heads"], skip=skip, below=F.filter(cut, lambda x: ~bound(filled(x), ruled)))
+    cell = lambda at: lambda c, i: F.struct(i.cast("long").alias("col"), at.alias("at"), F.lit(0).alias("turn"), unescaped(c).alias("value"))
+    flat = F.flatten(F.transform("below", lambda x, at: F.transform(F.slice(x["values"], F.col("skip") + 1, F.size(x["values"])), cell(at))))
+    columns = F.coalesce(F.slice("heads", F.col("skip") + 1, F.greatest(F.size("heads"), F.lit(0))), none_of("string"))
+    read = worked(read, [*by, "text", "framing", "skip", "below"], columns=columns, flat=flat)
+    read = by_place(read, [*by, "text", "framing", "skip", "below", "columns"], F.transform("columns", lambda _, i: i.cast("long")))
     used = F.coalesce(stripped(F.regexp_extract("text", r"(?m)^- Used range: (.+)$", 1)), F.lit(""))
-    read = written_by(read, "table-texts", by)
-    found = read.select(*by, columns.alias("columns"), F.lit(False).alias("shown"), "framing", used.alias("used_range"), F.lit("").alias("region_id"), word_tokens(F.coalesce("text", F.lit(""))).alias("token_count"))
-    below = read.filter("has").select(*by, "skip", F.posexplode(F.slice("table", F.lit(2), F.greatest(F.size("table"), F.lit(0)))).alias("line_at", "line")).withColumn("values", pipe_cells(F.col("line")))
-    filled = F.filter("values", lambda x: x != "")
-    below = below.filter(~((F.size(filled) > 0) & F.forall(filled, lambda x: x.rlike("^:?-+:?$"))))
-    at = (F.row_number().over(Window.partitionBy(*by).orderBy("line_at")) - 1).cast("long")
-    below = written_by(below.withColumn("at", at), "table-lines", by)
-    number = F.when(F.col("skip") == 1, F.get("values", F.lit(0)).try_cast("long"))
-    rows = below.select(*by, "at", F.coalesce(number, F.lit(0)).alias("number"), "line")
-    cells = below.select(*by, "at", F.posexplode(F.slice("values", F.col("skip") + 1, F.size("values"))).alias("place", "cell"))
-    return Tables(by, found, rows, cells.select(*by, "at", (F.col("place") + 1).cast("long").alias("place"), unescaped(F.col("cell")).alias("value")))
+    number = lambda x: F.coalesce(F.when(F.col("skip") == 1, F.get(x["values"], F.lit(0)).try_cast("long")), F.lit(0))
+    rows = F.transform("below", lambda x: F.struct(number(x).alias("number"), x["line"].alias("line")))
+    return Tables(by, read.select(*by, "columns", F.lit(False).alias("shown"), "framing", used.alias("used_range"), F.lit("").alias("region_id"), word_tokens(F.coalesce("text", F.lit(""))).alias("token_count"), rows.alias("rows"), "cells"))
 
 
 def labels_a_column(text: Column) -> Column:
     return stripped(text).contains(" ") | label_like(text)
 
 
-def first_row_scores(t: Tables) -> DataFrame:
-    """How much the first rows look like data and like headers: by..., n_rows, mostly_data, data_score, header_score.
+def usual_kind(later: Column) -> Column:
+    """The most frequent type of cells, of equal ones the one that comes first."""
+    own = lambda k: F.filter(later, lambda c: c["kind"] == k)
+    counted = lambda k: bound(own(k), lambda x: F.when(F.size(x) > 0, F.struct(F.size(x).alias("n"), (-F.get(x, F.lit(0))["at"]).alias("since"), k.alias("kind"))))
+    first = F.get(later, F.lit(0))["kind"]
+    return F.when(F.forall(later, lambda c: c["kind"] == first), first).otherwise(F.array_max(F.transform(F.array(*map(F.lit, ("boolean", "date", "numeric", "text"))), counted))["kind"])
+
+
+def data_over_header(cells: Column) -> Column:
+    """By how much the first value of a column, of its cells that aren't blank, looks more like data than like a header; 0 if it or the values below are missing.
 
     A first value that recurs below counts 2 for data. Where the values below are mostly of its type: for text, a shape like theirs is data, a label and values that repeat below without it are
-    signs of a header; for other types it's data. Where they're of another type: text over numbers, dates or booleans counts 2 for a header, anything else 1. Unique first values count 1.
+    signs of a header; for other types it's data. Where they're of another type: text over numbers, dates or booleans counts 2 for a header, anything else 1.
     """
-    by = t.by
-    width = F.size("columns").alias("width")
-    cells = t.cells.join(t.tables.select(*by, width), by).filter(F.col("place") <= F.col("width")).drop("width").withColumn("bare", stripped(F.col("value"))).filter("bare <> ''").withColumn("kind", value_type(F.col("bare")))
-    top = cells.filter("at = 0").select(*by, "place", F.col("value").alias("top"), F.col("bare").alias("top_bare"), F.col("kind").alias("top_kind"))
-    later = cells.filter("at > 0")
-    counted = later.groupBy(*by, "place", "kind").agg(F.count("*").alias("n"), F.min("at").alias("since"))
-    usual = counted.groupBy(*by, "place").agg(F.max_by("kind", F.struct("n", -F.col("since"))).alias("usual"))
-    turn = F.row_number().over(Window.partitionBy(*by, "place").orderBy("at"))
-    early = later.withColumn("turn", turn).filter(F.col("turn") <= COMPARED).groupBy(*by, "place").agg(F.collect_set(value_shape(F.col("bare"))).alias("shapes"), (F.countDistinct("bare") < F.count("bare")).alias("repeats"))
-    again = later.join(top.select(*by, "place", "top_bare"), [*by, "place"]).filter("bare = top_bare").select(*by, "place").distinct().withColumn("recurs", F.lit(True))
-    each = top.join(usual, [*by, "place"]).join(early, [*by, "place"]).join(again, [*by, "place"], "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
-    same = F.col("top_kind") == F.col("usual")
-    text = same & (F.col("top_kind") == "text")
     one = lambda x: x.cast("int")
-    data = 2 * one(F.col("recurs")) + one(text & F.array_contains("shapes", value_shape(F.col("top_bare")))) + one(same & ~text)
-    header = one(text & labels_a_column(F.col("top_bare"))) + one(text & ~F.col("recurs") & F.col("repeats")) + F.when(~same, F.when((F.col("top_kind") == "text") & F.col("usual").isin("numeric", "date", "boolean"), 2).otherwise(1)).otherwise(0)
-    scores = each.groupBy(*by).agg(F.sum(data).alias("data"), F.sum(header).alias("header"))
-    first = top.groupBy(*by).agg((2 * F.count_if(F.col("top_kind") != "text") > F.count("*")).alias("mostly"), (F.countDistinct("top") == F.count("top")).cast("int").alias("unique"))
-    counts = t.rows.groupBy(*by).agg(F.count("*").alias("n_rows"))
-    none = lambda c, x: F.coalesce(F.col(c), F.lit(x))
-    joined = t.tables.select(*by).join(counts, by, "left").join(first, by, "left").join(scores, by, "left")
-    return joined.select(*by, none("n_rows", 0).alias("n_rows"), none("mostly", False).alias("mostly_data"), none("data", 0).cast("long").alias("data_score"), (none("header", 0) + none("unique", 0)).cast("long").alias("header_score"))
+
+    def points(top: Column, later: Column, usual: Column) -> Column:
+        bare, early = top["bare"], F.transform(F.slice(later, 1, COMPARED), lambda c: c["bare"])
+        recurs = F.exists(later, lambda c: c["bare"] == bare)
+        alike = F.exists(early, lambda x: value_shape(x) == value_shape(bare))
+        repeats = F.size(F.array_distinct(early)) < F.size(early)
+        as_text = one(alike) - one(labels_a_column(bare)) - one(~recurs & repeats)
+        other = F.when((top["kind"] == "text") & usual.isin("numeric", "date", "boolean"), 2).otherwise(1)
+        return 2 * one(recurs) + F.when(top["kind"] != usual, -other).when(usual == "text", as_text).otherwise(1)
+
+    below = lambda c: F.slice(c, 2, F.size(c))
+    told = bound(below(cells), lambda later: bound(usual_kind(later), lambda usual: points(F.get(cells, F.lit(0)), later, usual)))
+    return F.when((F.size(cells) > 1) & (F.get(cells, F.lit(0))["at"] == 0), told).otherwise(0)
+
+
+def modes(t: Tables) -> DataFrame:
+    """grids with header_mode, skip (rows that are a header) and empty.
+
+    A first row whose values mostly aren't text is data; so is one of a shown table that looks more like data by its columns (data_over_header) and by 1 for values that are all unique.
+    """
+    columns = [c for c in t.grids.columns if c not in t.by]
+    df = worked(t.grids, [*t.by, *columns], real=F.transform("cells", lambda g: F.filter(g, lambda c: c["kind"] != "null")))
+    top = F.filter(F.transform("real", lambda g: F.get(g, F.lit(0))), lambda c: c["at"] == 0)
+    df = worked(df, [*t.by, *columns, "real"], top=top)
+    mostly = 2 * F.size(F.filter("top", lambda c: c["kind"] != "text")) > F.size("top")
+    values = F.transform("top", lambda c: c["value"])
+    unique = ((F.size("top") > 0) & (F.size(F.array_distinct(values)) == F.size("top"))).cast("int")
+    more = F.aggregate(F.transform("real", data_over_header), F.lit(0), lambda a, x: a + x) - unique
+    n_rows, empty = F.size("rows"), (F.size("columns") == 0) | (F.size("rows") == 0)
+    mode = F.when(empty, F.when(F.col("shown"), "headerless").otherwise("")).when(mostly, "headerless").when(F.col("shown") & (n_rows > 1), F.when(more >= 1, "headerless").otherwise("header_row")).otherwise("header_row")
+    df = worked(df, [*t.by, *columns], header_mode=mode, empty=empty)
+    return df.withColumn("skip", (F.col("header_mode") == "header_row").cast("int"))
 
 
 def analysed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(tables, columns) of the analysis.
+    """(tables, columns) of the analysis; each is worked out from the texts where it is used.
 
     tables: by..., row_count, header_row, header_mode, framing, used_range, region_id, token_count, sample_rows. columns: by..., place, position, name, and what profile() tells of the values
     below the header: non_null_count, null_count, unique_count, dtype, statistics, sample_values. Columns without a name in their header have an empty name; names that occur twice get their position.
     """
     by = t.by
-    scores = first_row_scores(t)
-    plain = t.tables.select(*by, "shown", "columns")
-    told = plain.join(scores, by)
-    by_score = F.col("shown") & (F.col("n_rows") > 1) & (F.col("data_score") >= F.col("header_score") + 1)
-    empty = (F.size("columns") == 0) | (F.col("n_rows") == 0)
-    mode = F.when(empty, F.when(F.col("shown"), "headerless").otherwise("")).when(F.col("mostly_data") | by_score, "headerless").otherwise("header_row")
-    told = written_by(told.select(*by, mode.alias("header_mode"), F.when(mode == "header_row", 1).otherwise(0).alias("skip"), empty.alias("empty"), "n_rows"), "table-modes", by)
-    data_rows = t.rows.join(told.select(*by, "skip", "empty"), by).filter(~F.col("empty") & (F.col("at") >= F.col("skip")))
-    heads = t.rows.filter("at = 0").select(*by, F.col("number").alias("first_number"))
-    shown = samples(t, data_rows.select(*by, "at", "number", "line"))
-    tables = t.tables.join(told, by).join(heads, by, "left").join(shown, by, "left")
-    count = F.when(F.col("empty"), F.lit(0)).otherwise(F.col("n_rows") - F.col("skip")).cast("long")
-    summary = tables.select(*by, count.alias("row_count"), F.when(F.col("header_mode") == "header_row", F.col("first_number")).otherwise(0).cast("long").alias("header_row"), "header_mode", "framing", "used_range", "region_id", "token_count", F.coalesce("sample_rows", F.array().cast("array<string>")).alias("sample_rows"))
-    return summary, column_profiles(t, told)
-
-
-def samples(t: Tables, data_rows: DataFrame) -> DataFrame:
-    """by..., sample_rows: the first HEAD and the last TAIL rows as pipe rows, all if there are no more."""
-    by = t.by
-    place = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    kept = data_rows.withColumn("low", place("at")).withColumn("high", place(F.desc("at"))).filter((F.col("low") <= HEAD) | (F.col("high") <= TAIL))
-    escaped = F.replace(F.replace("value", F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
-    cells = t.cells.join(kept.select(*by, "at"), [*by, "at"], "left_semi").groupBy(*by, "at").agg(F.map_from_entries(F.collect_list(F.struct("place", escaped.alias("v")))).alias("values"))  # one row's cells
-    wide = kept.join(cells, [*by, "at"], "left").join(t.tables.select(*by, "shown", "columns"), by)
-    values = F.transform(F.sequence(F.lit(1), F.size("columns")), lambda i: F.coalesce(F.try_element_at("values", i.cast("long")), F.lit("")))
-    line = F.when(F.col("shown"), F.concat(F.lit("| "), F.col("number").cast("string"), F.lit(" | "), F.array_join(values, " | "), F.lit(" |"))).otherwise(F.col("line"))
-    return wide.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line"))))["line"].alias("sample_rows"))
-
-
-def column_profiles(t: Tables, told: DataFrame) -> DataFrame:
-    by = t.by
-    columns = t.tables.select(*by, F.posexplode("columns").alias("i", "position")).join(told.filter("not empty"), by).withColumn("place", (F.col("i") + 1).cast("long"))
-    tops = t.cells.filter("at = 0").select(*by, "place", F.col("value").alias("top"))
-    named = columns.join(tops, [*by, "place"], "left")
-    name = F.when(F.col("header_mode") == "headerless", F.col("position")).otherwise(F.coalesce(F.when(F.col("shown"), unescaped(F.col("top"))).otherwise(F.col("top")), F.lit("")))
-    named = named.join(t.tables.select(*by, "shown"), by).withColumn("raw_name", name)
-    twice = F.count("*").over(Window.partitionBy(*by, "raw_name")) > 1
-    named = named.withColumn("name", F.when(twice & (F.col("position") != ""), F.concat("raw_name", F.lit(" ("), "position", F.lit(")"))).otherwise(F.col("raw_name")))
-    data = t.cells.join(told.filter("not empty").select(*by, "skip"), by).filter((F.col("at") >= F.col("skip")) & (stripped(F.col("value")) != ""))
-    own = [*by, "place"]
-    keyed = data.select(*own, "value", F.col("at").alias("row"))
-    stats = profiles.profile(keyed.drop("row"), own).drop("null_count").withColumnRenamed("row_count", "non_null_count")
-    kinds = lambda kind, *cols: [F.when(F.col("dtype").isin(*kind), F.col(c)).alias(c) for c in cols]
-    stats = stats.select(*own, "non_null_count", "unique_count", "dtype", *kinds(["numeric"], "min_number", "max_number", "mean"), *kinds(["date"], "min_date", "max_date"), *kinds(["boolean"], "true_count", "false_count"), *kinds(["text", "mixed"], "min_length", "max_length", "avg_length"))
-    first = profiles.first_samples(keyed, own).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("sample_values"))
-    spread = profiles.value_distribution(keyed.drop("row"), own).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("spread"))
-    spread = spread.select(*own, F.map_from_entries(F.transform("spread", lambda s: F.struct(s["value"], s["n"]))).alias("value_distribution"))
-    joined = named.join(stats, [*by, "place"], "left").join(first, [*by, "place"], "left").join(spread, [*by, "place"], "left")
-    full = F.coalesce("non_null_count", F.lit(0)).cast("long")
-    numbers = ["min_number", "max_number", "mean", "min_date", "max_date", "true_count", "false_count", "min_length", "max_length", "avg_length"]
-    return joined.select(
-        *by, "place", "position", "name", F.coalesce("dtype", F.lit("text")).alias("dtype"), full.alias("non_null_count"), (F.col("n_rows") - F.col("skip") - full).cast("long").alias("null_count"),
-        F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"), *numbers, F.when(F.col("dtype").isin("text", "mixed"), F.col("value_distribution")).alias("value_distribution"),
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+    told = modes(t)
+    count = F.when(F.col("empty"), F.lit(0)).otherwise(F.size("rows") - F.col("skip")).cast("long")
+    header_row = F.when(F.col("header_mode") == "header_row", F.get("rows", F.lit(0))["number"]).otherwise(0).cast("long")
+    summary = told.select(*by, count.alias("row_count"), header_row.alias("header_row"), "header_mode", "framing", "used_range", "region_id", "token_count", F.when(F.col("empty"), none_of("string")).otherwise(samples()).alias("sample_rows"))
+    return summary, column_profiles(told, by)
+
+
+def samples() -> Column:
+    """The first HEAD and the last TAIL rows below the header as pipe rows, all if there are no more."""
+    first, n = F.col("skip"), F.size("rows")
+    low = F.filter(F.transform(F.array(*map(F.lit, range(HEAD))), lambda i: first + i), lambda at: at < n)
+    high = F.filter(F.transform(F.array(*map(F.lit, range(TAIL, 0, -1))), lambda i: n - i), lambda at: at >= first + HEAD)
+    found = lambda g, at: F.when(F.get(g, at)["at"] == at, F.get(g, at)["value"]).otherwise(F.get(F.filter(g, lambda c: c["at"] == at), F.lit(0))["value"])
+    escaped = lambda x: F.replace(F.replace(x, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+    values = lambda at: F.array_join(F.transform("cells", lambda g: escaped(F.coalesce(found(g, at), F.lit("")))), " | ")
+    row = lambda at: F.get("rows", at)
+    line = lambda at: F.when(F.col("shown"), F.concat(F.lit("| "), row(at)["number"].cast("string"), F.lit(" | "), values(at), F.lit(" |"))).otherwise(row(at)["line"])
+    return F.transform(F.concat(low, high), line)
+
+
+def column_profiles(told: DataFrame, by: list[str]) -> DataFrame:
+    top = lambda g: F.when(F.get(g, F.lit(0))["at"] == 0, F.get(g, F.lit(0))["value"])
+    own = lambda g: F.coalesce(F.when(F.col("shown"), unescaped(top(g))).otherwise(top(g)), F.lit(""))
+    raw_names = F.when(F.col("header_mode") == "headerless", F.col("columns")).otherwise(F.transform("cells", own))
+    df = worked(told.filter("not empty"), [*by, "columns", "cells", "rows", "skip"], raw_names=raw_names)
+    twice = bound(F.sort_array("raw_names"), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+    df = worked(df, [*by, "columns", "cells", "rows", "skip", "raw_names"], twice=twice)
+    data = lambda g: F.filter(g, lambda c: (c["at"] >= F.col("skip")) & (c["kind"] != "null"))
+    name = lambda x, position: F.when(F.array_contains("twice", x) & (position != ""), F.concat(x, F.lit(" ("), position, F.lit(")"))).otherwise(x)
+    each = F.transform("columns", lambda p, i: F.struct(p.alias("position"), name(F.get("raw_names", i), p).alias("name"), data(F.get("cells", i)).alias("data")))
+    df = df.select(*by, (F.size("rows") - F.col("skip")).alias("n_rows"), F.posexplode(each).alias("i", "column")).select(*by, "n_rows", (F.col("i") + 1).cast("long").alias("place"), "column.*")
+    pick = lambda field: F.transform("data", lambda c: c[field])
+    df = worked(df, [*by, "n_rows", "place", "position", "name", "data"], values=pick("value"), kinds=F.array_distinct(pick("kind")))
+    df = worked(df, [*by, "n_rows", "place", "position", "name", "data", "values", "kinds"], unlike=F.array_distinct("values"))
+    full = F.size("data").cast("long")
+    dtype = F.when(F.size("kinds") == 0, "text").when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).otherwise("mixed")
+    of = lambda kinds, x: F.when(dtype.isin(*kinds) & (full > 0), x)
+    text, lengths, numbers = ("text", "mixed"), F.transform("values", lambda x: F.length(x).cast("long")), pick("number")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    true = F.size(F.filter("data", lambda c: F.upper(c["bare"]) == "TRUE")).cast("long")
+    spread = F.transform("unlike", lambda x: F.struct((-F.size(F.filter("values", lambda y: y == x))).alias("n"), x.alias("value")))
+    spread = F.map_from_entries(F.transform(F.sort_array(spread), lambda s: F.struct(s["value"], (-s["n"]).cast("long"))))
+    return df.select(
+        *by, "place", "position", "name", dtype.alias("dtype"), full.alias("non_null_count"), (F.col("n_rows") - full).cast("long").alias("null_count"), F.size("unlike").cast("long").alias("unique_count"),
+        of(["numeric"], F.array_min(numbers)).alias("min_number"), of(["numeric"], F.array_max(numbers)).alias("max_number"), of(["numeric"], F.round(total(numbers) / full, 4)).alias("mean"),
+        of(["date"], F.array_min("values")).alias("min_date"), of(["date"], F.array_max("values")).alias("max_date"), of(["boolean"], true).alias("true_count"), of(["boolean"], full - true).alias("false_count"),
+        of(text, F.array_min(lengths)).alias("min_length"), of(text, F.array_max(lengths)).alias("max_length"), of(text, F.round(total(lengths) / full, 1)).alias("avg_length"),
+        of(text, F.when(F.size("unlike") <= profiles.LISTED, spread)).alias("value_distribution"), F.slice("unlike", 1, profiles.SAMPLES).alias("sample_values"),
     )

@@ -244,3 +244,21 @@ def test_raw_rows_parse_each_text_once(spark):
     assert sorted(map(str, ((r.id, r.at, r.place, r.reason) for r in rejected.collect()))) == sorted(map(str, own + whole))
     for found in (cells, rejected):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_a_table_is_analysed_in_its_row(spark):
+    """Before, cells were written six times and joined and sorted by table; rows and cells that occur twice, rows that are only listed, and columns that are only listed count as they did."""
+    cell = lambda c, v: {"column_number": c, "value": v}
+    rows = [{"row_number": 7, "cells": [cell(2, "lost")]}, {"row_number": 5, "cells": [cell(2, "Name"), cell(4, "x"), cell(2, "Bank"), cell(9, "no column")]}, {"row_number": 7, "cells": [cell(2, "a"), cell(4, " ")]}, {"row_number": 3, "cells": [cell(2, "b"), cell(4, "1")]}]
+    regions = [(1, json.dumps({"rows": rows, "column_numbers": [4, 2, 3], "row_numbers": [5, 6, 7]})), (2, json.dumps({"rows": rows}))]
+    found = ta.analysed(ta.from_regions(spark.createDataFrame(regions, "id long, raw string"), ["id"]))
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Exchange", "Window", "scratch_")), plan
+    tables, columns = ({r.id: r for r in found[0].collect()}, [r for r in found[1].orderBy("id", "place").collect()])
+    assert (tables[1].row_count, tables[1].header_row, tables[1].sample_rows) == (3, 5, ["| 6 |  |  |  |", "| 7 | a |  |   |", "| 3 | b |  | 1 |"])
+    assert (tables[2].row_count, tables[2].header_mode, tables[2].sample_rows) == (2, "header_row", ["| 5 | Bank | x | no column |", "| 7 | a |   |  |"])
+    assert [(r.id, r.position, r.name, r.dtype, r.non_null_count, r.null_count, r.sample_values) for r in columns] == [
+        (1, "B", "Bank", "text", 2, 1, ["a", "b"]), (1, "C", "", "text", 0, 3, []), (1, "D", "x", "numeric", 1, 2, ["1"]),
+        (2, "B", "b", "text", 2, 0, ["Bank", "a"]), (2, "D", "1", "text", 1, 1, ["x"]), (2, "I", "", "text", 1, 1, ["no column"]),
+    ]
