@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.citations import page_link
-from quillspark.functions.text import stripped, xml_escaped
+from quillspark.functions.text import trimmed, xml_escaped
 from quillspark.sources.scratch import written
 
 STATUSES = ("answered", "needs_deep_research", "irrelevant")
@@ -22,11 +22,25 @@ def validated(batch: DataFrame, decisions: DataFrame, by: list[str]) -> DataFram
     first = F.row_number().over(Window.partitionBy(*by, "document_index").orderBy("at"))
     once = decisions.withColumn("turn", first).filter("turn = 1").drop("turn", "at")
     joined = batch.join(once, [*by, "document_index"], "left")
-    text = stripped(F.coalesce("finding", F.lit("")))
-    status = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("needs_deep_research")
+    return joined.select(*by, "document_index", "document_id", *decision(F.col("status"), F.col("finding"), F.col("page")))
+
+
+def decision(status: Column, finding: Column, page: Column) -> list[Column]:
+    """The valid decision that a proposal, or none, is: status, finding, page."""
+    text = trimmed(F.coalesce(finding, F.lit("")))
+    status = F.when(status.isin(*STATUSES), status).otherwise("needs_deep_research")
     status = F.when((status == "answered") & (text == ""), "needs_deep_research").otherwise(status)
-    finding = F.when((status == "irrelevant") & (text == ""), IRRELEVANT).otherwise(text)
-    return joined.select(*by, "document_index", "document_id", status.alias("status"), finding.alias("finding"), F.when(status == "answered", F.col("page")).alias("page"))
+    said = F.when((status == "irrelevant") & (text == ""), IRRELEVANT).otherwise(text)
+    return [status.alias("status"), said.alias("finding"), F.when(status == "answered", page).alias("page")]
+
+
+def validated_in_place(batch: DataFrame, proposals: str) -> DataFrame:
+    """validated() of documents that carry their proposals, a list of (at, status, finding, page) or null: the first of them counts, the other columns stay."""
+    kept = [c for c in batch.columns if c != proposals]
+    once = lambda x, name: F.explode(F.array(x)).alias(name)  # noqa: E731  # worked out once: filters and later columns would name the whole of it again
+    first = batch.select(*kept, once(F.array_min(proposals), "proposal"))
+    told = F.struct(*decision(F.col("proposal.status"), F.col("proposal.finding"), F.col("proposal.page")))
+    return first.select(*kept, once(told, "decision")).select(*kept, "decision.*")
 
 
 def findings_of(decisions: DataFrame) -> DataFrame:

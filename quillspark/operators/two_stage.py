@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import xml_escaped
 from quillspark.operators import chunk_store, findings, vector_cells
@@ -27,16 +28,40 @@ def numbered_in(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str
     return whole.alias("a").join(first.alias("b"), same).select(*[f"a.{c}" for c in rows.columns], (F.col(f"a.{number}") - F.col("b.first_number") + 1).alias(number))
 
 
-def ranked_documents(documents: DataFrame, questions: DataFrame, batch_size: int, digits: int = 6) -> DataFrame:
-    """Every question's documents with similarity, document_index (from 1, best first, ties by id) and batch (from 0).
+def ranked_documents(documents: DataFrame, questions: DataFrame, batch_size: int, digits: int = 6, chunks: DataFrame | None = None, n: int = 0) -> DataFrame:
+    """Every question's documents with similarity, document_index (from 1, best first, ties by id) and batch (from 0); with chunks, also best: the n best chunks of the document (chunk_id, score).
 
-    documents: document_id, data_source, summary_embedding, ...; questions: question_id, data_source, query_embedding. Documents without a summary's vector come last.
+    documents: document_id, data_source, summary_embedding, ...; questions: question_id, data_source, query_embedding; chunks: document_id, chunk_id, embedding. Documents without a summary's vector come last.
+    A source's documents are ranked in one cell with their chunks, for some questions at a time; where its vectors are too large for that, pairs are scored in smaller cells, sorted by ranges and numbered.
     """
+    if chunks is not None:
+        chunks = chunks.select("document_id", "chunk_id", "embedding").join(documents.select("document_id", "data_source"), "document_id")
+    large = vector_cells.whole_sources(documents, chunks, "data_source", "summary_embedding", "embedding").filter("large").select("data_source")
+    parts = [(documents, chunks)]
+    if not large.isEmpty():
+        large = F.broadcast(large)  # each has more than COMPONENTS
+        split = lambda how: [None if t is None else t.join(large, "data_source", how) for t in (documents, chunks)]
+        parts = [split("left_anti"), split("left_semi")]
+    rows = vector_cells.ranked(parts[0][0], "summary_embedding", "data_source", "document_id", questions, "question_id", "query_embedding", digits, parts[0][1], n=n)
+    if len(parts) > 1:
+        rows = rows.unionByName(ranked_by_pairs(*parts[1], questions, digits, n, rows.schema["best"].dataType))
+    return in_batches(rows if chunks is not None else rows.drop("best"), batch_size)
+
+
+def ranked_by_pairs(documents: DataFrame, chunks: DataFrame | None, questions: DataFrame, digits: int, n: int, kind: T.DataType) -> DataFrame:
+    """ranked_documents() for sources of any size: every pair of a question and a document is a row that is moved."""
     vectors = questions.select("question_id", "query_embedding").dropDuplicates(["question_id"])
-    met = vector_cells.scored(documents, "summary_embedding", "data_source", "document_id", vectors, "question_id", "query_embedding", questions.select("question_id", "data_source"), digits)
+    pairs = questions.select("question_id", "data_source").distinct()
+    met = vector_cells.scored(documents, "summary_embedding", "data_source", "document_id", vectors, "question_id", "query_embedding", pairs, digits)
     rows = met.select(*[c for c in documents.columns if c != "summary_embedding"], "question_id", F.col("score").alias("similarity"))
     indexed = numbered_in(rows, ["question_id", "data_source"], [F.col("similarity").desc_nulls_last(), "document_id"], "document_index")
-    return in_batches(indexed, batch_size)
+    if chunks is None:
+        return indexed.withColumn("best", F.array().cast(kind))
+    wanted = documents.select("document_id", "data_source").join(pairs, "data_source").select("question_id", "document_id").distinct()
+    own = chunks.drop("data_source").dropDuplicates(["document_id", "chunk_id"])
+    lists = best_chunks(own, questions, wanted, n, digits).groupBy("question_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("best"))
+    best = F.coalesce(F.transform("best", lambda x: F.struct(x["chunk_id"], x["score"])), F.array()).cast(kind)
+    return indexed.join(lists, ["question_id", "document_id"], "left").withColumn("best", best)
 
 
 def in_batches(indexed: DataFrame, size: int) -> DataFrame:
@@ -77,12 +102,20 @@ def decided(ranked: DataFrame, proposals: DataFrame) -> DataFrame:
     return findings.validated(ranked.select(*by, "document_index", "document_id"), proposals, by)
 
 
-def metadata_findings(decisions: DataFrame, documents: DataFrame) -> DataFrame:
+def decided_in_place(ranked: DataFrame) -> DataFrame:
+    """decided() of ranked documents that carry their proposals, a list of (at, status, finding, page) or null: the other columns stay, and nothing is joined."""
+    return findings.validated_in_place(ranked, "proposals")
+
+
+def metadata_findings(decisions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Findings of decisions that are answered or to be researched, with the names of their documents: question_id, data_source, document_index, document_id, document_name, file_name, file_link, page, finding, source.
 
     decisions: question_id, data_source, document_index, document_id, status, finding, page; documents: document_id, document_name, file_name. Decisions on unknown documents have none.
+    Without documents, decisions have these names themselves.
     """
-    named = findings.findings_of(decisions).join(documents.select("document_id", "document_name", F.nullif("file_name", F.lit("")).alias("own_file")), "document_id")
+    own = F.nullif("file_name", F.lit("")).alias("own_file")
+    rows = findings.findings_of(decisions)
+    named = rows.withColumn("own_file", own) if documents is None else rows.join(documents.select("document_id", "document_name", own), "document_id")
     return named.select("question_id", "data_source", "document_index", "document_id", "document_name", F.coalesce("own_file", "document_name").alias("file_name"), F.coalesce("own_file", F.lit("")).alias("file_link"), "page", "finding", F.lit("metadata").alias("source"))
 
 

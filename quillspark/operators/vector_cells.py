@@ -2,6 +2,8 @@
 
 Rows have a group (a document, a cluster, a source), and a query asks for groups. Rows of a group are dealt to portions of about ROWS, so a large group is many cells;
 queries are dealt to portions of about QUERIES. Each portion of rows goes to all portions of queries, once each.
+
+ranked() takes a source of documents whole instead, with their chunks, to portions of questions: places and best chunks are known in the cell, and no pair of a question and a document is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Rows and queries of a cell, and scores that are computed at once.
 ROWS, QUERIES, AT_ONCE = 2048, 256, 1 << 16
+#: Of ranked(): questions of a cell; components of a source's vectors in one (8 bytes each); scores that are computed at once; rows that are handed on at once.
+ASKED, COMPONENTS, SCORES, OUT = 512, 1 << 24, 1 << 20, 1 << 15
 
 
 def components(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -140,3 +144,116 @@ def scored(rows: DataFrame, vector: str, group: str, key: str, queries: DataFram
     own = lambda table: table.select(*[F.col(c).alias(c) for c in table.columns]).repartition(n, *cells)  # noqa: E731  # columns of its own: both sides may come of one table
     mine, right = own(left), own(asked.unionByName(vectors))
     return mine.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, schema)
+
+
+def scores_of(rows: tuple, row_lengths: np.ndarray, asked: tuple, asked_lengths: np.ndarray, digits: int) -> np.ndarray:
+    """Cosines of each asked vector (a row) and all rows (columns), NaN too where there is none. They are products of matrices; where the order of adding could change a rounded digit, they are added up as a scan does."""
+    width = min(len(rows[0]), len(asked[0]))
+    size = row_lengths[None, :] * asked_lengths[:, None]
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        plain = (asked[0][:width].T @ rows[0][:width]) / size
+        part = np.abs(plain) * 10.0**digits
+        unsure = ~(np.abs(part - np.floor(part) - 0.5) > 1e-5) | ~((size > 1e-200) & (size < 1e200))
+        j, i = np.nonzero(unsure)
+        if len(i):
+            plain[j, i] = products(rows, i, asked, j) / size[j, i]
+    return rounded(plain.ravel(), digits).reshape(plain.shape)
+
+
+def whole_sources(documents: DataFrame, chunks: DataFrame | None, source: str, vector: str, chunk_vector: str) -> DataFrame:
+    """Sources with whether their vectors, and those of their documents' chunks, have more than COMPONENTS: source, large."""
+    sizes = documents.select(source, F.coalesce(F.size(vector), F.lit(0)).alias("n"))
+    if chunks is not None:
+        sizes = sizes.unionByName(chunks.select(source, F.coalesce(F.size(chunk_vector), F.lit(0)).alias("n")))
+    return sizes.filter(F.col(source).isNotNull()).groupBy(source).agg((F.sum(F.greatest("n", F.lit(1))) > COMPONENTS).alias("large"))
+
+
+def ranked(documents: DataFrame, vector: str, source: str, key: str, questions: DataFrame, question: str, question_vector: str, digits: int, chunks: DataFrame | None = None, chunk_key: str = "chunk_id", chunk_vector: str = "embedding", n: int = 0) -> DataFrame:
+    """Each question's documents of the sources that it asks for: question, the columns of documents without the vector, similarity, document_index (from 1, best first, ties by key, without a vector last), and best.
+
+    best: the n best of the document's chunks (chunk_key, score), ties to the smaller key, none without a score. questions: question, source, question_vector; chunks: source, key, chunk_key, chunk_vector.
+    A source's vectors are in one task for ASKED questions at a time, so a source is to have COMPONENTS at most.
+    """
+    n_questions = questions.select(question).distinct().count()
+    portions = max(1, -(-n_questions // ASKED))
+    portion = F.pmod(F.xxhash64(question), F.lit(portions)).cast("int").alias("cell_portion")
+    every = F.explode(F.sequence(F.lit(0), F.lit(portions - 1))).alias("cell_portion")
+    names = [c for c in documents.columns if c != vector]
+    nothing = lambda table, c: F.lit(None).cast(table.schema[c].dataType).alias(c)
+    floats = lambda x: F.col(x).cast("array<double>").alias("cell_vector") if any(t.schema[c].dataType != T.ArrayType(T.FloatType()) for t, c in vectors) else F.col(x).alias("cell_vector")
+    vectors = [(documents, vector), (questions, question_vector)] + ([] if chunks is None else [(chunks, chunk_vector)])
+    of_chunk = T.LongType() if chunks is None else chunks.schema[chunk_key].dataType
+    no_chunk, no_question = F.lit(None).cast(of_chunk).alias("cell_chunk"), F.lit(None).cast(questions.schema[question].dataType).alias("cell_question")
+    rows = documents.filter(F.col(source).isNotNull()).select(F.lit(0).alias("cell_kind"), *names, no_chunk, no_question, floats(vector), every)
+    if chunks is not None:
+        carried = [c if c in (source, key) else nothing(documents, c) for c in names]
+        rows = rows.unionByName(chunks.filter(F.col(source).isNotNull() & F.col(chunk_vector).isNotNull()).select(F.lit(1).alias("cell_kind"), *carried, F.col(chunk_key).alias("cell_chunk"), no_question, floats(chunk_vector), every))
+    asked = questions.filter(F.col(source).isNotNull()).dropDuplicates([question, source])
+    rows = rows.unionByName(asked.select(F.lit(2).alias("cell_kind"), *[F.col(c) if c == source else nothing(documents, c) for c in names], no_chunk, F.col(question).alias("cell_question"), floats(question_vector), portion))
+    best = T.ArrayType(T.StructType().add(chunk_key, of_chunk).add("score", "double"))
+    schema = T.StructType([T.StructField(question, questions.schema[question].dataType), *[documents.schema[c] for c in names]]).add("similarity", "double").add("document_index", "long").add("best", best)
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        docs, parts, questions = (whole.filter(pc.equal(whole.column("cell_kind"), kind)) for kind in range(3))
+        if not (docs.num_rows and questions.num_rows):
+            return
+        docs = docs.take(pc.sort_indices(docs, [(key, "ascending")], null_placement="at_start"))
+        plain = docs.select(names).combine_chunks()
+        sides = [components(t.column("cell_vector")) for t in (docs, parts, questions)]
+        sizes = [lengths(x[0]) for x in sides]
+        # chunks by the place of their document, then by their key; a document that occurs twice has them twice
+        owner = parts.select([key, "cell_chunk"]).append_column("part", pa.array(np.arange(parts.num_rows))).join(docs.select([key]).append_column("doc", pa.array(np.arange(docs.num_rows))), key, join_type="inner")
+        owner = owner.take(pc.sort_indices(owner, [("doc", "ascending"), ("cell_chunk", "ascending")], null_placement="at_start"))
+        part, doc = (owner.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(int) for c in ("part", "doc"))
+        keep = sides[1][2][part]
+        part, doc, chunk_ids = part[keep], doc[keep], owner.column("cell_chunk").combine_chunks().filter(pa.array(keep))
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
+        mine = (sides[1][0][:, part], None if sides[1][1] is None else sides[1][1][:, part])
+        runs = np.diff(np.r_[starts, len(doc)])
+        types = pa.schema([pa.field(question, questions.schema.field("cell_question").type), *[plain.schema.field(c) for c in names], pa.field("similarity", pa.float64()), pa.field("document_index", pa.int64()), pa.field("best", pa.list_(pa.struct([pa.field(chunk_key, chunk_ids.type), pa.field("score", pa.float64())])))])
+        step = max(1, SCORES // max(docs.num_rows, len(doc), 1))
+        for start in range(0, questions.num_rows, step):
+            at = slice(start, start + step)
+            asks = (sides[2][0][:, at], None if sides[2][1] is None else sides[2][1][:, at])
+            similar = scores_of(sides[0], sizes[0], asks, sizes[2][at], digits)
+            scores = scores_of(mine, sizes[1][part], asks, sizes[2][at], digits) if n and len(doc) else None
+            for j in range(len(similar)):
+                size = sizes[2][start + j]
+                there = sides[0][2] & sides[2][2][start + j] & ~(sizes[0] * size <= 0)
+                order = np.argsort(np.where(there, np.where(np.isnan(similar[j]), -np.inf, -similar[j]), np.inf), kind="stable")
+                taken, of, upto = np.zeros(0, int), np.zeros(0), np.zeros(docs.num_rows + 1, int)
+                if scores is not None and sides[2][2][start + j]:
+                    taken, upto = best_of(np.where(sizes[1][part] * size <= 0, -np.inf, scores[j]), starts, runs, doc, docs.num_rows, n)
+                    of = scores[j][taken]
+                for first in range(0, len(order), OUT):
+                    some = order[first : first + OUT]
+                    counts = upto[some + 1] - upto[some]
+                    ends = np.cumsum(counts)
+                    chosen = np.repeat(upto[some] - ends + counts, counts) + np.arange(ends[-1])
+                    listed = pa.StructArray.from_arrays([chunk_ids.take(pa.array(taken[chosen])), pa.array(of[chosen])], names=[chunk_key, "score"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), listed)
+                    out = plain.take(pa.array(some)).combine_chunks()
+                    said = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out.columns]
+                    ask = questions.column("cell_question").take(pa.array(np.full(len(some), start + j))).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ask, *said, pa.array(similar[j][some], mask=~there[some]), pa.array(first + 1 + np.arange(len(some))), lists], schema=types)
+
+    n_tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(portions * 8, 4096))
+    dealt = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn("cell_source", F.col(source)).repartition(n_tasks, "cell_portion", "cell_source")
+    return dealt.groupBy("cell_portion", "cell_source").applyInArrow(cell, schema)
+
+
+def best_of(scores: np.ndarray, starts: np.ndarray, runs: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(taken, upto): the places of the n best scores of each run, best first and of equal ones the first, NaN before all, minus infinity never; document d has taken[upto[d]:upto[d + 1]]."""
+    left = np.where(np.isnan(scores), np.inf, scores)
+    found = []
+    for _ in range(min(n, int(runs.max(initial=0)))):
+        top = np.maximum.reduceat(left, starts)
+        hits = np.flatnonzero(left == np.repeat(top, runs))
+        place = hits[np.searchsorted(hits, starts)]
+        found.append(place[top > -np.inf])
+        left[place] = -np.inf
+    taken = np.concatenate(found)
+    turns = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    taken = taken[np.lexsort((turns, doc[taken]))]
+    return taken, np.searchsorted(doc[taken], np.arange(n_docs + 1))
